@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import order_minhash
+from . import leakage, mojibake, order_minhash, packing, quality, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,70 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p1(spark, sf_dir).per_record().select(F.col("id").alias("raw_id"), "class_id", "n_links")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes}
+def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_quality(table(spark, sf_dir, "raw_docs"), "raw_id", "page_content").withColumnRenamed("id", "raw_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5(spark, sf_dir).filter("kind <> 'prose'").select("raw_id", "kind")
+
+
+def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and kind of every record."""
+    return _p5(spark, sf_dir)
+
+
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "size_limits").filter("purpose = 'split'").select("max_tokens", "overlap_tokens").first()
+    return splitting.split(table(spark, sf_dir, "raw_docs"), "raw_id", "page_content", limits.max_tokens, limits.overlap_tokens or 0).withColumnRenamed("id", "raw_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p6(spark, sf_dir).filter("piece = 0").select("raw_id")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every oversized record, with its place in the text."""
+    return _p6(spark, sf_dir)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """limit_id, bin, doc_id, piece, n_tokens: the documents' containers for every capacity."""
+    limits = table(spark, sf_dir, "size_limits").filter("purpose = 'pack'").select("limit_id", "max_tokens").distinct().collect()
+    sizes = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, {r.limit_id: r.max_tokens for r in limits}).withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, items, tokens and the share of the space that is used."""
+    packed = p7_containers(spark, sf_dir).groupBy("limit_id", "capacity", "bin").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n"))
+    return packed.groupBy("limit_id", "capacity").agg(
+        F.count("*").alias("n_bins"), F.sum("n").alias("n_items"), F.sum("used").alias("n_tokens"),
+        F.max("used").alias("fullest"), F.round(F.sum("used") / F.sum("capacity"), 6).alias("fill"),
+    )
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, and the words and edits of the longest tolerant overlap."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected documents with the restored text and whether all of it could be restored."""
+    return mojibake.repair(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_restored(spark, sf_dir).select("doc_id")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (p1_found, p1_classes, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
+}
 
 ORACLES: dict[str, str] = {}
