@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mojibake, order_minhash, packing, quality, splitting
+from . import leakage, mojibake, order_minhash, packing, pairs, quality, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p1(spark, sf_dir).per_record().select(F.col("id").alias("raw_id"), "class_id", "n_links")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "conversations"))
+
+
 def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(table(spark, sf_dir, "raw_docs"), "raw_id", "page_content").withColumnRenamed("id", "raw_id")
 
@@ -93,7 +97,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
+    for f in (p1_found, p1_classes, p3_found, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
 }
 
 ORACLES: dict[str, str] = {}
