@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mojibake, order_minhash, packing, pairs, quality, splitting
+from . import leakage, mojibake, order_minhash, packing, pairs, quality, scans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "conversations"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(table(spark, sf_dir, "raw_docs")).noise
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with noise as continuous paragraphs."""
+    docs = table(spark, sf_dir, "raw_docs")
+    return scans.repair(docs, scans.scan_noise(docs))
+
+
 def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(table(spark, sf_dir, "raw_docs"), "raw_id", "page_content").withColumnRenamed("id", "raw_id")
 
@@ -97,7 +107,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p3_found, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
+    for f in (p1_found, p1_classes, p3_found, p4_found, p4_repaired, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
 }
 
 ORACLES: dict[str, str] = {}
