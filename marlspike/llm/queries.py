@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mojibake, order_minhash, packing, pairs, quality, scans, splitting
+from . import leakage, mojibake, order_minhash, packing, pairs, personal, quality, scans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,25 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p1(spark, sf_dir).per_record().select(F.col("id").alias("raw_id"), "class_id", "n_links")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of chats and reports once: tab, rec_id, field, msg_idx, text."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", F.posexplode("messages").alias("i", "m"))
+    said = chats.select(F.lit("conversations").alias("tab"), F.col("conv_id").alias("rec_id"), F.lit("content").alias("field"), F.col("i").alias("msg_idx"), F.col("m.content").alias("text"))
+    reports = table(spark, sf_dir, "reports")
+    fields = [reports.select(F.lit("reports").alias("tab"), F.col("report_id").alias("rec_id"), F.lit(f).alias("field"), F.lit(-1).alias("msg_idx"), F.col(f).alias("text")) for f in ("other_text", "msg_snippet")]
+    return said.unionByName(fields[0]).unionByName(fields[1]).filter("rec_id is not null and text is not null")
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal data."""
+    return personal.mask_texts(_texts(spark, sf_dir), table(spark, sf_dir, "users")).dropDuplicates()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = personal.mask_texts(_texts(spark, sf_dir), table(spark, sf_dir, "users"))
+    return masked.select("tab", "rec_id", "field", "msg_idx", F.explode("types").alias("pii_type")).dropDuplicates()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "conversations"))
 
@@ -107,7 +126,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p3_found, p4_found, p4_repaired, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
+    for f in (p1_found, p1_classes, p2_found, p2_masked, p3_found, p4_found, p4_repaired, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
 }
 
 ORACLES: dict[str, str] = {}
