@@ -155,7 +155,9 @@ def candidates(text: str, given: frozenset, surname: frozenset) -> list[Span]:
             if digits < 5 or any(a <= m.start() < b for a, b in emails):
                 continue
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            if s[0] == "(" and s.count("(") > s.count(")"):
+            if re.fullmatch(r"\([^()]*\)", s):
+                s, start = s[1:-1], start + 1
+            elif s[0] == "(" and s.count("(") > s.count(")"):
                 s, start = s[1:], start + 1
             elif s[-1] == ")" and s.count(")") > s.count("("):
                 s = s[:-1]
