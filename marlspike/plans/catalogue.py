@@ -1,13 +1,457 @@
-"""The registered queries over the driver's tables, with their SQL twins."""
+"""The registered queries over the driver's tables, each over whole tables; their SQL twins are in ``sql``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from ..functions import text as T
+from ..operators import chunking, conversation, layout, retrieval, store
+from ..session import table
+from . import sql
 
+Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES
 FLAGSHIP = "rrf_fusion"
+NOW = "2026-01-01 00:00:00"
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages once each: repeated rows are equal, so any of them will do."""
+    return table(spark, d, "raw_docs").dropDuplicates(["raw_id"])
+
+
+# ---- scans and filters
+
+
+@query
+def projected_scan(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "uid", "title").distinct()
+
+
+@query
+def filtered_scan(spark, d):
+    return table(spark, d, "documents").filter("lang = 'en' and n_chars >= 1000").select("doc_id", "source", "n_chars")
+
+
+@query
+def count_scan(spark, d):
+    one = lambda t, k: table(spark, d, t).agg(F.countDistinct(*k).alias("n")).select(F.lit(t).alias("tab"), "n")
+    return one("users", ["username"]).unionByName(one("conversations", ["conv_id", "uid"])).unionByName(one("raw_docs", ["raw_id"]))
+
+
+@query
+def key_lookup(spark, d):
+    return store.lookup(table(spark, d, "customer"), {"c_custkey": 7}).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query
+def index_query_desc(spark, d):
+    """Chats of the busiest account, newest first, with their position."""
+    c = conversation.fullest(table(spark, d, "conversations"))
+    top = c.groupBy("uid").count().orderBy(F.col("count").desc(), "uid").limit(1).select("uid")
+    mine = c.join(F.broadcast(top), "uid").select("uid", "conv_id", F.unix_micros(store.moment(F.col("created_at"))).alias("created"))
+    return mine.orderBy(F.col("created").desc_nulls_last(), "conv_id")
+
+
+@query
+def format_dispatch(spark, d):
+    """Sources by the reader that their extension calls for."""
+    kind = F.when(T.extension(F.col("source")) == "pdf", "pdf").when(T.extension(F.col("source")) == "docx", "docx").when(T.extension(F.col("source")).isin("txt", "md", "csv"), T.extension(F.col("source"))).otherwise("skip")
+    return table(spark, d, "raw_docs").select("source", kind.alias("reader")).distinct()
+
+
+# ---- text
+
+
+@query
+def clean_text(spark, d):
+    return pages(spark, d).select("raw_id", T.clean(F.col("page_content")).alias("cleaned"))
+
+
+@query
+def text_quality(spark, d):
+    q = pages(spark, d).select("raw_id", T.quality(F.col("page_content")).alias("q"))
+    return q.select("raw_id", "q.chars", "q.words", F.round("q.alpha_ratio", 6).alias("alpha_ratio"), T.needs_recognition(F.col("q")).alias("needs_recognition"))
+
+
+@query
+def low_value_filter(spark, d):
+    return pages(spark, d).filter(T.low_value(F.col("page_content"))).select("raw_id")
+
+
+@query
+def approx_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def sentence_split(spark, d):
+    s = table(spark, d, "documents").select("doc_id", T.merged_sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join("s", "¶").alias("sentences"))
+
+
+@query
+def page_stitch(spark, d):
+    return chunking.stitch(pages(spark, d)).select("raw_id", "stitched")
+
+
+@query
+def header_propagate(spark, d):
+    return chunking.carry_headings(chunking.stitch(pages(spark, d)), "stitched").select("raw_id", "header")
+
+
+@query
+def chunk_pack(spark, d):
+    """The whole preparation: stitched, headed, cleaned, packed with overlap, filtered, each chunk once."""
+    return chunking.chunk(pages(spark, d)).select("chunk_id", "raw_id", "source", "page", "header", "chunk_index", "text")
+
+
+@query
+def chunk_id_dedup(spark, d):
+    p = pages(spark, d).select("raw_id", T.chunk_id(F.col("source"), F.col("page"), F.lit(0), T.clean(F.col("page_content"))).alias("chunk_id"))
+    return p.groupBy("chunk_id").agg(F.min("raw_id").alias("raw_id"))
+
+
+@query
+def metadata_sanitise(spark, d):
+    entry = lambda k, c: F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value"))
+    m = F.map_from_entries(F.array(entry("source", "source"), entry("heading", "section_heading"), entry("body", "page_content"), entry("coordinates", "seq")))
+    return pages(spark, d).select("raw_id", F.array_join(F.array_sort(F.map_keys(T.sanitise_map(m))), ",").alias("kept"))
+
+
+@query
+def template_fill(spark, d):
+    t = F.lit("{date}: {name} ({id}) has {balance}")
+    return table(spark, d, "supplier").select(
+        "s_suppkey", T.fill_template(t, {"date": F.lit("January 01, 2026"), "name": F.col("s_name"), "id": F.col("s_suppkey"), "balance": F.lit(None)}).alias("filled")
+    )
+
+
+@query
+def padded_report(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.concat(T.pad(F.col("n_name"), 12), T.pad(F.col("n_regionkey").cast("string"), 6, left=True)).alias("line"))
+
+
+@query
+def display_text(spark, d):
+    r = table(spark, d, "reports").dropDuplicates(["report_id"])
+    return r.select("report_id", T.shorten(F.col("msg_snippet"), 70).alias("snippet"), F.initcap(F.trim("status")).alias("status"), T.escape_html(F.col("other_text")).alias("other"))
+
+
+@query
+def citation_rank(spark, d):
+    """Files that a text cites in order of their first appearance; the texts are made of the page table."""
+    text = F.concat(F.lit("See [SOURCE: "), "source", F.lit(" | p. "), F.coalesce("page", F.lit(0)).cast("string"), F.lit(".0, 7] and [source: manual.pdf] and [SOURCE: "), "source", F.lit(" | 3]"))
+    p = pages(spark, d).select("raw_id", text.alias("t"))
+    return conversation.cited(p, "raw_id", "t").withColumnRenamed("key", "raw_id").withColumn("number", F.col("number").cast("long"))
+
+
+@query
+def password_marks(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.password_strength(F.concat("p_brand", F.lit("-"), "p_size")).alias("strength"))
+
+
+# ---- retrieval
+
+
+@query
+def bm25_fit(spark, d):
+    return retrieval.document_frequencies(retrieval.term_counts(table(spark, d, "documents"), "doc_id", "text"))
+
+
+@query
+def bm25_stats(spark, d):
+    s = retrieval.corpus_statistics(table(spark, d, "documents"), "doc_id", "text")
+    return s.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _sparse(spark, d, k=10):
+    return retrieval.sparse_topk(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question", k)
+
+
+def _dense(spark, d, k=10):
+    """The query vector of a question is the stored one at its number modulo the size of the index."""
+    v = table(spark, d, "embeddings")
+    n = v.count()
+    q = table(spark, d, "eval_items").select("item_id", (F.col("item_id") % max(n, 1)).alias("vec_id")).join(v.select("vec_id", "embedding"), "vec_id")
+    return retrieval.dense_topk(v, "vec_id", "embedding", q, "item_id", "embedding", k)
+
+
+@query
+def bm25_topk(spark, d):
+    return _sparse(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def dense_topk(spark, d):
+    """Every vector whose id divides by 50, against all vectors."""
+    v = table(spark, d, "embeddings")
+    return retrieval.dense_topk(v, "vec_id", "embedding", v.filter("vec_id % 50 = 0"), "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def rrf_fusion(spark, d):
+    """Sparse and dense ranks of every question fused 0.4 to 0.6; vec_id stands for doc_id."""
+    fused = retrieval.fuse({"sparse": (_sparse(spark, d), 0.4), "dense": (_dense(spark, d), 0.6)})
+    return fused.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def rerank_top5(spark, d):
+    fused = retrieval.fuse({"sparse": (_sparse(spark, d), 0.4), "dense": (_dense(spark, d), 0.6)})
+    return retrieval.rerank(fused, 5).select("qkey", "key", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def context_blocks(spark, d):
+    hits = _sparse(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source", "text"), "key")
+    return retrieval.context(hits.withColumn("page", F.lit(None).cast("int")), base="library")
+
+
+# ---- records
+
+
+@query
+def upsert_latest(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "uid", "title", F.size("messages").cast("long").alias("n_messages"))
+    return store.latest(c, ["conv_id", "uid"], [F.col("n_messages")]).select("conv_id", "uid", "n_messages")
+
+
+@query
+def keyed_upsert(spark, d):
+    """Suppliers, those of nation 3 replaced by new rows."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    new = table(spark, d, "supplier").filter("s_nationkey = 3").select("s_suppkey", F.upper("s_name").alias("s_name"), F.lit(0.0).alias("s_acctbal"))
+    return store.upsert(s, new, ["s_suppkey"])
+
+
+@query
+def conditional_update(spark, d):
+    r = table(spark, d, "reports").dropDuplicates(["report_id"]).select("report_id", "status", "resolved_at")
+    open_ = F.lower("status") == "pending"
+    return store.update(r, open_, {"status": F.lit("done"), "resolved_at": F.lit("2026-01-01T00:00:00Z")})
+
+
+@query
+def keyed_delete(spark, d):
+    f = table(spark, d, "files").select("filename", "uploaded_by")
+    return store.delete_keys(f, table(spark, d, "raw_docs").filter("page is null").select(F.col("source").alias("filename")), ["filename"])
+
+
+@query
+def cascade_delete(spark, d):
+    gone = store.attributes(table(spark, d, "users").filter("userstatus = 'UNCONFIRMED'")).select(F.col("sub").alias("uid")).filter("uid is not null")
+    return store.delete_keys(table(spark, d, "conversations").select("conv_id", "uid").distinct(), gone, ["uid"]).select("conv_id", "uid")
+
+
+@query
+def predicate_delete(spark, d):
+    return store.delete_where(pages(spark, d).select("raw_id", "source"), F.lower("source").endswith(".csv"))
+
+
+@query
+def stale_cleanup(spark, d):
+    """Rows that share an address with a confirmed user but have another id go."""
+    u = store.attributes(table(spark, d, "users").dropDuplicates(["username"])).select("id", "email", "status").withColumn("email", F.nullif("email", F.lit("")))
+    return store.delete_stale(u, u.filter("status = 'CONFIRMED'"), "id", "email").select("id", "email")
+
+
+@query
+def status_counts(spark, d):
+    r = table(spark, d, "reports").dropDuplicates(["report_id"])
+    return r.groupBy(F.lower(F.trim(F.coalesce("status", F.lit("none")))).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query
+def status_list(spark, d):
+    r = table(spark, d, "reports").dropDuplicates(["report_id"]).filter(F.lower("status") == "pending")
+    return r.select("report_id", F.unix_micros(store.moment(F.col("created_at"))).alias("created")).orderBy(F.col("created").desc_nulls_last(), "report_id")
+
+
+@query
+def activity_feed(spark, d):
+    a = store.activity(table(spark, d, "files"), conversation.fullest(table(spark, d, "conversations")), table(spark, d, "users"), 5)
+    return a.select("icon", F.unix_micros("ts").alias("ts"), "description")
+
+
+@query
+def eav_pivot(spark, d):
+    u = store.attributes(table(spark, d, "users")).distinct()
+    return u.select("id", "status", "sub", "email", "role", "username")
+
+
+@query
+def consent_mask(spark, d):
+    """Details only of those who didn't say no; unknown isn't no."""
+    u = store.attributes(table(spark, d, "users")).distinct()
+    shown = ~F.coalesce(F.col("consent") == "false", F.lit(False))
+    return u.select("id", "username", F.when(shown, F.col("email")).otherwise("not shared").alias("email"))
+
+
+@query
+def relative_time(spark, d):
+    u = store.attributes(table(spark, d, "users")).distinct()
+    return u.select("id", T.relative_time(F.col("joined"), F.lit(NOW).cast("timestamp")).alias("ago"))
+
+
+@query
+def user_lookup_fallback(spark, d):
+    """The user of each report by id, else by address."""
+    u = store.attributes(table(spark, d, "users")).select("id", "sub", F.nullif("email", F.lit("")).alias("mail"))
+    r = table(spark, d, "reports").dropDuplicates(["report_id"]).select("report_id", "reporter_uid", "reporter_email")
+    return store.by_first_or_second(r, u, ("reporter_uid", "sub"), ("reporter_email", "mail"), "id").select("report_id", "id")
+
+
+@query
+def report_cutoff(spark, d):
+    r = table(spark, d, "reports").dropDuplicates(["report_id"])
+    out = conversation.reported(r, table(spark, d, "conversations"))
+    return out.select("report_id", F.col("n_messages").cast("long").alias("n_messages"), F.col("cut").cast("long").alias("cut"))
+
+
+@query
+def distinct_sources(spark, d):
+    return table(spark, d, "raw_docs").groupBy("source").agg(F.min("seq").cast("long").alias("first_seq"), F.countDistinct("raw_id").alias("n"))
+
+
+@query
+def missing_uploads(spark, d):
+    """Sources with pages but without a row of their upload."""
+    s = table(spark, d, "raw_docs").select(F.col("source").alias("filename")).distinct()
+    return s.join(table(spark, d, "files").select("filename").distinct(), "filename", "left_anti")
+
+
+@query
+def existence_flags(spark, d):
+    return table(spark, d, "users").select("username", F.exists("attributes", lambda a: a["name"] == "email").alias("has_email"), F.size("attributes").cast("long").alias("n")).distinct()
+
+
+@query
+def code_lookup(spark, d):
+    """A small table looked up by code with a default: regions of at most a few rows are sent to the workers."""
+    r = table(spark, d, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return table(spark, d, "nation").join(F.broadcast(r), "n_regionkey", "left").select("n_nationkey", F.coalesce("r_name", F.lit("other")).alias("region"))
+
+
+@query
+def positional_zip(spark, d):
+    z = F.arrays_zip(F.array("p_name", "p_brand", "p_type").alias("v"), F.array(F.lit("name"), F.lit("brand"), F.lit("type")).alias("k"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(z).alias("pos", "z")).select("p_partkey", F.col("pos").cast("long").alias("pos"), "z.k", "z.v")
+
+
+@query
+def weighted_mean(spark, d):
+    li = table(spark, d, "lineitem")
+    return layout.weighted_mean(li, ["l_suppkey"], F.col("l_discount"), F.col("l_quantity"), F.col("l_returnflag") == "N", 2)
+
+
+@query
+def yearly_rollup(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query
+def grouped_members(spark, d):
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("m"))
+    return n.select("n_regionkey", F.array_join("m", ", ").alias("members"))
+
+
+# ---- chats
+
+
+@query
+def history_last6(spark, d):
+    c = conversation.fullest(table(spark, d, "conversations"))
+    last = c.select("conv_id", F.posexplode(conversation.last_n(F.col("messages"), 6)).alias("pos", "m"))
+    return last.select("conv_id", F.col("pos").cast("long").alias("pos"), conversation.role(F.col("m.role")).alias("role"), F.col("m.content").alias("content"))
+
+
+@query
+def history_compaction(spark, d):
+    c = conversation.fullest(table(spark, d, "conversations")).filter("messages is not null")
+    m = c.select("conv_id", conversation.compact(F.col("messages")).alias("m"))
+    return m.select("conv_id", F.size("m").cast("long").alias("n"), F.length(F.coalesce(F.try_element_at("m", F.lit(1))["content"], F.lit(""))).cast("long").alias("first_length"))
+
+
+@query
+def visible_messages(spark, d):
+    c = conversation.fullest(table(spark, d, "conversations"))
+    return c.select("conv_id", F.coalesce(F.size(conversation.visible(F.col("messages"))), F.lit(0)).cast("long").alias("n"))
+
+
+@query
+def conv_title(spark, d):
+    return conversation.fullest(table(spark, d, "conversations")).select("conv_id", conversation.title(F.col("messages")).alias("derived"))
+
+
+@query
+def transcript(spark, d):
+    c = conversation.fullest(table(spark, d, "conversations")).filter("messages is not null")
+    return c.select("conv_id", conversation.transcript(F.col("messages")).alias("text"))
+
+
+# ---- layout
+
+
+def _marks(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), "l_quantity")
+
+
+@query
+def column_histogram(spark, d):
+    h = layout.histogram(_marks(spark, d), "page", F.col("l_quantity"), F.lit(60.0))
+    return h.select("page", F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"))
+
+
+@query
+def gap_islands(spark, d):
+    m = _marks(spark, d).filter("not (l_quantity between 12 and 17) and not (l_quantity between 36 and 41)")
+    return layout.gaps(layout.histogram(m, "page", F.col("l_quantity"), F.lit(60.0)), "page").select("page", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+@query
+def page_columns(spark, d):
+    m = _marks(spark, d).filter("not (l_quantity between 12 and 17) and not (l_quantity between 36 and 41)")
+    g = layout.gaps(layout.histogram(m, "page", F.col("l_quantity"), F.lit(60.0)), "page")
+    return layout.columns(g, "page").select("page", F.col("column").cast("long").alias("column"), "left", "right")
+
+
+@query
+def heading_sections(spark, d):
+    b = pages(spark, d).filter("type = 'docx_section'").select("raw_id", "source", "seq", "section_heading")
+    s = layout.sections(b, "source", ["seq", "raw_id"], F.coalesce(F.trim("section_heading"), F.lit("")) != "")
+    return s.select("raw_id", F.col("section").cast("long").alias("section"))
+
+
+@query
+def rolling_context(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return layout.rolling(o, ["o_custkey"], ["o_orderkey"], "o_orderpriority", 5).select("o_orderkey", "context")
+
+
+@query
+def merged_cells(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.concat(F.lit("region "), "n_regionkey").alias("cell"))
+    return layout.first_only(n, ["n_regionkey"], ["n_nationkey"], "cell").select("n_nationkey", "cell")
+
+
+@query
+def table_markdown(spark, d):
+    cells = F.when(F.col("n_nationkey") % 3 == 0, F.array("n_name")).otherwise(F.array("n_name", F.col("n_nationkey").cast("string")))
+    return layout.markdown(table(spark, d, "nation").select("n_regionkey", "n_nationkey", cells.alias("cells")), "n_regionkey", "n_nationkey", "cells")
+
+
+@query
+def row_text(spark, d):
+    cells = F.array("s_name", F.col("s_nationkey").cast("string"), F.when(F.col("s_nationkey") > 9, "x").otherwise(""))
+    return table(spark, d, "supplier").select("s_suppkey", layout.row_text(cells).alias("line"))
