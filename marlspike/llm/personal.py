@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vocabulary import frequent
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 SENTENCES = 2400
 LEXICON = 100_000
@@ -485,8 +487,8 @@ def lexicon(users: DataFrame, limit: int = LEXICON) -> tuple[frozenset, frozense
     last = parts.select(F.element_at("p", -1).alias("w"), "n")
 
     def top(df: DataFrame) -> frozenset:
-        often = df.groupBy("w").agg(F.sum("n").alias("n")).filter((F.length("w") >= 2) & ~F.col("w").rlike(r"\d")).orderBy(F.col("n").desc(), "w").limit(limit)
-        return frozenset(r.w.rstrip(".") for r in often.collect())
+        counted = df.groupBy("w").agg(F.sum("n").alias("n")).filter((F.length("w") >= 2) & ~F.col("w").rlike(r"\d"))
+        return frozenset(w.rstrip(".") for w in frequent(counted, "w", "n", limit))
 
     return top(first), top(last) - THINGS - SUFFIXES
 
