@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, conversation, layout, retrieval, store
+from .. import session
 from ..session import table
+from ..streaming import chat
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,3 +457,37 @@ def table_markdown(spark, d):
 def row_text(spark, d):
     cells = F.array("s_name", F.col("s_nationkey").cast("string"), F.when(F.col("s_nationkey") > 9, "x").otherwise(""))
     return table(spark, d, "supplier").select("s_suppkey", layout.row_text(cells).alias("line"))
+
+
+# ---- streams, run over their whole input at once
+
+
+def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream; its directory is watched for this file alone."""
+    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _drain(df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream until its input is used up and return what it wrote, from files in the shared folder."""
+    spark = df.sparkSession
+    root = f"{session.shared_folder(spark)}/stream-{spark.sql('SELECT uuid()').first()[0]}"
+    if mode == "append":
+        q = df.writeStream.format("parquet").option("path", f"{root}/out")
+    else:
+        q = df.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out")).outputMode(mode)
+    q.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+@query
+def stream_counts(spark, d):
+    """Counts by type kept by a stream over the events, as of its end."""
+    events = _streamed(spark, d, "events")
+    return _drain(events.groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+
+
+@query
+def stream_windows(spark, d):
+    """Five-minute windows of the events; complete mode keeps every window, so nothing is too late."""
+    w = chat.windowed(_streamed(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return _drain(w, "complete").select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))

@@ -181,5 +181,7 @@ ORACLES: dict[str, str] = {
     "table_markdown": """SELECT n_regionkey, string_agg(l || CASE WHEN rn = 1 THEN chr(10) || CASE WHEN w = 2 THEN '| --- | --- |' ELSE '| --- |' END ELSE '' END, chr(10) ORDER BY n_nationkey) AS markdown FROM (
         SELECT *, '| ' || n_name || CASE WHEN k = 2 THEN ' | ' || n_nationkey WHEN w = 2 THEN ' | ' ELSE '' END || ' |' AS l FROM (
         SELECT *, max(k) OVER (PARTITION BY n_regionkey) AS w, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM (SELECT *, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END AS k FROM nation))) GROUP BY 1""",
+    "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "stream_windows": "SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "row_text": "SELECT s_suppkey, 'Row: ' || s_name || ' | ' || s_nationkey || CASE WHEN s_nationkey > 9 THEN ' | x' ELSE '' END AS line FROM supplier",
 }

@@ -24,17 +24,26 @@ def build(app: str = "marlspike", master: str | None = None, shuffle_partitions:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, a single machine) a temporary one is made.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="marlspike-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and continue from the files.
+    """Write ``df`` to the shared checkpoint folder and continue from the files.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a single machine) a temporary one is made. Executors may be
-    lost afterwards: the files are read again by whoever is left.
+    Executors may be lost afterwards: the files are read again by whoever is left.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlspike-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
