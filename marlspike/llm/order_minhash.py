@@ -62,13 +62,18 @@ def labelled(codes: np.ndarray, counts: np.ndarray, k: int, occurrences: int | N
     return out, np.bincount(doc, minlength=len(counts))
 
 
-def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: int) -> np.ndarray:
-    """One row of ``len(orders)`` keys per text with at least one k-mer (texts without are left out)."""
+#: orders whose very least k-mer is kept beside the keys, in 16 bits
+AGREE = 32
+
+
+def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """``len(orders)`` keys and the least k-mers of up to ``AGREE`` orders, per text with at least one k-mer."""
     sizes = sizes[sizes > 0]
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     at = (np.arange(len(kmers)) - np.repeat(starts, sizes)).astype(np.uint64)
     mask = ~((np.uint64(1) << POSITION_BITS) - np.uint64(1))
     out = np.empty((len(sizes), len(orders)), np.uint64)
+    least = np.zeros((len(sizes), AGREE), np.uint16)
     picked = np.empty((len(sizes), samples), np.int64)
     for i, a in enumerate(orders):
         h = kmers * a
@@ -80,12 +85,14 @@ def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: in
             pos = np.where(low == TOP, -1, (low & ~mask).astype(np.int64))
             picked[:, j] = np.where(pos >= 0, pos, picked[:, j - 1] if j else 0)
             h[starts + picked[:, j]] = TOP
+        if i < AGREE:
+            least[:, i] = (kmers[starts + picked[:, 0]] & np.uint64(0xFFFF)).astype(np.uint16)
         picked.sort(axis=1)
         key = np.full(len(sizes), i + 1, np.uint64)
         for j in range(samples):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + kmers[starts + picked[:, j]])
         out[:, i] = key
-    return out
+    return out, least
 
 
 def _sketches(k: int, orders_n: int, samples: int, min_words: int, occurrences: int | None):
@@ -100,8 +107,7 @@ def _sketches(k: int, orders_n: int, samples: int, min_words: int, occurrences:
                 sel = np.repeat(ok, counts)
                 kept, kc = codes[sel], counts[ok]
                 kmers, sizes = labelled(kept, kc, k, occurrences)
-                keys = sketch(kmers, sizes, orders, samples) if len(kmers) else np.empty((0, orders_n), np.uint64)
-                distinct = sizes if occurrences == 1 else labelled(kept, kc, k, 1)[1]
+                keys, least = sketch(kmers, sizes, orders, samples) if len(kmers) else (np.empty((0, orders_n), np.uint64), np.empty((0, AGREE), np.uint16))
                 ids = np.asarray(part.column(0).to_pylist(), object)[ok]
                 same = [xxhash.xxh3_128_digest(codes[e - c : e].tobytes()) for e, c in zip(ends[ok], kc)]
                 flat = pa.array(keys.view(np.int64).ravel())
@@ -109,10 +115,11 @@ def _sketches(k: int, orders_n: int, samples: int, min_words: int, occurrences:
                     [
                         pa.array(ids, pa.int64()),
                         pa.array(same, pa.binary()),
-                        pa.array(distinct.astype(np.int32)),
+                        pa.array(sizes[sizes > 0].astype(np.int32)),
+                        pa.array([x.tobytes() for x in least], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * orders_n), flat),
                     ],
-                    names=["id", "same", "size", "keys"],
+                    names=["id", "same", "size", "least", "keys"],
                 )
 
     return run
@@ -205,6 +212,29 @@ def _verify(k: int, threshold: float, band_share: float, band_most: int):
     return run
 
 
+def _agreeing(needed: int):
+    """The pairs whose least k-mers agree in ``needed`` orders or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, AGREE) for i in (2, 3))
+                batch = batch.filter(pa.array((a == b).sum(axis=1) >= needed))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id_a", "id_b"])
+
+    return run
+
+
+def agreement(threshold: float, k: int, sketch_k: int) -> int:
+    """Orders of ``AGREE`` that agree for a pair at ``threshold``, less three standard deviations.
+
+    Edits scattered over the text hurt longer k-mers more: a share s of common k-mers becomes s ** (sketch_k / k).
+    """
+    shared = (2 * threshold / (1 + threshold)) ** max(1.0, sketch_k / k)
+    p = shared / (2 - shared)
+    return max(0, int(AGREE * p - 3 * (AGREE * p * (1 - p)) ** 0.5))
+
+
 class NearDuplicates:
     """The classes of copies (``members``: id, rep) and the links between them (``links``)."""
 
@@ -242,27 +272,36 @@ def near_duplicates(
     samples: int = 2,
     band_share: float = 0.25,
     band_most: int = 256,
+    sketch_k: int | None = None,
 ) -> NearDuplicates:
     """Group the records of ``df`` whose similarity is at least ``threshold``.
 
     ``measure`` "edit" links by the banded alignment (1 - edits / longer length);
     "jaccard" links by the shared part of the distinct k-mers, whatever the
-    alignment says (a reordered text has none). ``id_col`` is a bigint.
+    alignment says (a reordered text has none). ``id_col`` is a bigint. Sketches take k-mers of ``sketch_k``
+    words (``k`` if not given). With "jaccard" the least k-mers of the sketches, a few bytes a record, settle most
+    candidates before any text is moved.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    sk = cut(rows.mapInArrow(_sketches(k, sketches, samples, min_words or k, 1 if measure == "jaccard" else None), "id long, same binary, size int, keys array<long>"))
-    reps = sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    by_sets = measure == "jaccard"
+    ks = sketch_k or k
+    run = _sketches(ks, sketches, samples, max(min_words or k, k), 1 if by_sets else None)
+    sk = cut(rows.mapInArrow(run, "id long, same binary, size int, least binary, keys array<long>"))
+    reps = sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("keys").alias("keys"))
     members = sk.select("id", "same").join(reps.select("same", "rep"), "same").select("id", "rep").dropDuplicates(["id"])
     keyed = reps.select("rep", "size", F.explode("keys").alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    fits = F.lit(True)
-    if measure == "jaccard":
-        fits = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(threshold)
+    # sizes in k-mers of another length than the measure's are compared with room to spare
+    fits = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(threshold * (1.0 if ks == k else 0.75)) if by_sets else F.lit(True)
     pairs = (
         a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & fits)
         .select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b"))
         .distinct()
     )
+    if by_sets:
+        small = reps.select("rep", "least")
+        both = pairs.join(small.withColumnsRenamed({"rep": "id_a", "least": "la"}), "id_a").join(small.withColumnsRenamed({"rep": "id_b", "least": "lb"}), "id_b")
+        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(agreement(threshold, k, ks)), "id_a long, id_b long")
     pairs = cut(pairs)
     need = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     texts = rows.join(need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
