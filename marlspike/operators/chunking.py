@@ -13,30 +13,54 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def stitch(pages: DataFrame, keep: int = 40) -> DataFrame:
+#: pages of a source that one task orders
+BLOCK = 4096
+
+
+def _blocks(pages: DataFrame, block: int) -> DataFrame:
+    return pages.withColumn("block", F.floor(F.coalesce("seq", F.lit(0)) / block).cast("long"))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys are equal."""
+    b = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return a.join(b, cond, "left").drop(*[f"__{k}" for k in keys])
+
+
+def stitch(pages: DataFrame, keep: int = 40, block: int = BLOCK) -> DataFrame:
     """Each page with the last ``keep`` words of the page before it in the same source (``stitched``).
 
-    The neighbour comes by an equi-join on (source, rank of the page), whose keys are as many as the
-    pages, so one source with a third of all rows is spread out; only ids and numbers are ranked.
+    Sources are ordered in blocks of ``block`` sequence numbers, of which only the last id is handed
+    on, so a source with a third of all pages is spread over many tasks; texts move by an equi-join on ids.
     """
-    order = pages.select("source", "seq", "raw_id")
-    ranked = order.withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("seq", "raw_id")))
-    here = pages.join(ranked.select("raw_id", "n"), "raw_id")
-    before = here.select("source", (F.col("n") + 1).alias("n"), T.tail_words(F.coalesce("page_content", F.lit("")), keep).alias("tail"))
+    order = _blocks(pages.select("source", "seq", "raw_id"), block)
+    inside = order.withColumn("in_block", F.lag("raw_id").over(W.partitionBy("source", "block").orderBy("seq", "raw_id")))
+    ends = order.groupBy("source", "block").agg(F.max_by("raw_id", F.struct("seq", "raw_id")).alias("end"))
+    handed = ends.select("source", "block", F.lag("end").over(W.partitionBy("source").orderBy("block")).alias("before_block"))
+    previous = _same(inside, handed, ["source", "block"]).select("raw_id", F.coalesce("in_block", "before_block").alias("previous"))
     body = F.coalesce("page_content", F.lit(""))
-    joined = here.join(before, ["source", "n"], "left")
-    return joined.withColumn("stitched", F.when(F.coalesce(F.length("tail"), F.lit(0)) > 0, F.concat("tail", F.lit("\n"), body)).otherwise(body)).drop("n", "tail")
+    tails = pages.select(F.col("raw_id").alias("previous"), T.tail_words(body, keep).alias("tail"))
+    joined = pages.join(previous, "raw_id").join(tails, "previous", "left")
+    return joined.withColumn("stitched", F.when(F.coalesce(F.length("tail"), F.lit(0)) > 0, F.concat("tail", F.lit("\n"), body)).otherwise(body)).drop("previous", "tail")
 
 
-def carry_headings(pages: DataFrame, text: str, default: str = T.DEFAULT_HEADING) -> DataFrame:
+def carry_headings(pages: DataFrame, text: str, default: str = T.DEFAULT_HEADING, block: int = BLOCK) -> DataFrame:
     """The heading in force on each page (``header``): its own, or the last one before it in the source.
 
-    Only pages that are headings, and the numbers of all pages, go through the window.
+    Ordered in blocks like ``stitch``; of a block only its last heading is handed on.
     """
-    own = pages.select("source", "seq", "raw_id", T.heading(T.clean(F.col(text))).alias("own"))
-    w = W.partitionBy("source").orderBy("seq", "raw_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = own.select("raw_id", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit(default)).alias("header"))
-    return pages.join(carried, "raw_id")
+    own = _blocks(pages.select("source", "seq", "raw_id", T.heading(T.clean(F.col(text))).alias("own")), block)
+    upto = W.partitionBy("source", "block").orderBy("seq", "raw_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = own.withColumn("in_block", F.last("own", ignorenulls=True).over(upto))
+    last = own.filter("own is not null").groupBy("source", "block").agg(F.max_by("own", F.struct("seq", "raw_id")).alias("last"))
+    all_blocks = _same(own.select("source", "block").distinct(), last, ["source", "block"])
+    before = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    handed = all_blocks.select("source", "block", F.last("last", ignorenulls=True).over(before).alias("before_block"))
+    header = _same(inside, handed, ["source", "block"]).select("raw_id", F.coalesce("in_block", "before_block", F.lit(default)).alias("header"))
+    return pages.join(header, "raw_id")
 
 
 def count_tokens(text: str) -> int:

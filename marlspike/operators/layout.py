@@ -33,10 +33,19 @@ def columns(gap: DataFrame, page: str, buckets: int = 10) -> DataFrame:
     return edges.select(page, F.explode(pairs).alias("c")).select(page, "c.column", "c.left", "c.right")
 
 
-def sections(blocks: DataFrame, doc: str, order: list[str], is_heading: Column) -> DataFrame:
-    """Blocks with ``section``: a heading begins a new one; what stands before the first is section 0."""
-    w = W.partitionBy(doc).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return blocks.withColumn("section", F.sum(F.coalesce(is_heading, F.lit(False)).cast("int")).over(w))
+def sections(blocks: DataFrame, doc: str, number: str, key: str, is_heading: Column, block: int = 4096) -> DataFrame:
+    """Blocks with ``section``: a heading begins a new one; what stands before the first is section 0.
+
+    ``number`` orders a document, ``key`` breaks ties. Headings are counted in runs of ``block`` numbers and the
+    runs' totals added up, so a long document is spread over many tasks.
+    """
+    flagged = blocks.withColumns({"__h": F.coalesce(is_heading, F.lit(False)).cast("int"), "__b": F.floor(F.coalesce(number, F.lit(0)) / block)})
+    upto = W.partitionBy(doc, "__b").orderBy(number, key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    totals = flagged.groupBy(doc, "__b").agg(F.sum("__h").alias("n"))
+    before = W.partitionBy(doc).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    handed = totals.select(F.col(doc).alias("__d"), F.col("__b").alias("__c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
+    joined = flagged.withColumn("__s", F.sum("__h").over(upto)).join(handed, F.col(doc).eqNullSafe(F.col("__d")) & (F.col("__b") == F.col("__c")), "left")
+    return joined.withColumn("section", F.col("__s") + F.col("__n")).drop("__h", "__b", "__s", "__d", "__c", "__n")
 
 
 def rolling(blocks: DataFrame, by: list[str], order: list[str], text: str, n: int = 5) -> DataFrame:

@@ -431,7 +431,7 @@ def page_columns(spark, d):
 @query
 def heading_sections(spark, d):
     b = pages(spark, d).filter("type = 'docx_section'").select("raw_id", "source", "seq", "section_heading")
-    s = layout.sections(b, "source", ["seq", "raw_id"], F.coalesce(F.trim("section_heading"), F.lit("")) != "")
+    s = layout.sections(b, "source", "seq", "raw_id", F.coalesce(F.trim("section_heading"), F.lit("")) != "")
     return s.select("raw_id", F.col("section").cast("long").alias("section"))
 
 

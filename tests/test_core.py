@@ -132,6 +132,18 @@ def test_chunks(spark):
     assert chunking.chunk(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_blocks_hand_on_what_the_next_needs(spark):
+    rows = [(i, "ab"[i % 2], i, None, "CHAPTER NINE" if i == 4 else None if i == 7 else f"text {i} " * 30) for i in range(40)]
+    df = spark.createDataFrame(rows, PAGE)
+    for block in (1, 3, 1000):
+        st = {r.raw_id: r.stitched for r in chunking.stitch(df, 5, block).collect()}
+        assert st[0] == rows[0][4] and st[2].startswith("0 text 0 text 0\n") and st[9] == rows[9][4] and len(st) == 40
+        hd = {r.raw_id: r.header for r in chunking.carry_headings(df, "page_content", "none", block).collect()}
+        assert hd[2] == "none" and hd[4] == hd[38] == "CHAPTER NINE" and hd[5] == "none"
+        sec = {r.raw_id: r.section for r in layout.sections(df, "source", "seq", "raw_id", F.col("raw_id") % 10 == 0, block).collect()}
+        assert sec[0] == 1 and sec[8] == 1 and sec[10] == 2 and sec[39] == 0 and sec[38] == 4
+
+
 def test_retrieval_by_hand(spark):
     docs = spark.createDataFrame([(1, "boat safety drill"), (2, "library fines fines"), (3, None), (4, "")], "doc_id long, text string")
     qs = spark.createDataFrame([(9, "library fines?"), (8, "nothing here matches"), (7, None)], "q long, t string")
