@@ -58,6 +58,7 @@ ADDRESS = re.compile(
     r"(?<![\w/:.,-])(?:(?:#|no\.?\s?|house\s(?:no\.?\s?|number\s|#\s?)?|unit\s(?:no\.?\s?)?|blk\.?\s?|block\s|lot\s|purok\s|phase\s|room\s|window\s|sitio\s)#?\s?)*#?\d{1,4}(?:-?[A-Za-z])?\b"
     r"(?:,?\s+(?:lot|blk\.?|block|phase|unit|purok)\s?\d{1,4}[A-Za-z]?\b)*", re.I
 )
+POSSESSIVE = re.compile(r"['’]s$", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*\.?|\d+|[^\w\s]")
 
 
@@ -104,7 +105,7 @@ def _number_features(s: str) -> list[str]:
 def _classes(words: list[str], given: frozenset, surname: frozenset, at: int) -> str:
     out = []
     for i, w in enumerate(words):
-        base = w.rstrip(".").lower()
+        base = POSSESSIVE.sub("", w.rstrip(".")).lower()
         if base in TITLES and (w[0].isupper() or base != "g"):
             c = "I" if len(base) == 1 and w.endswith(".") else "T"
         elif base in SUFFIXES and i == len(words) - 1 and i:
@@ -228,7 +229,7 @@ def _address_features(s: str, head: str) -> list[str]:
 
 def _names(text: str, given: frozenset, surname: frozenset, emails: list[tuple[int, int]]) -> Iterator[Span]:
     found = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-    low = [w.rstrip(".").lower() for *_, w in found]
+    low = [POSSESSIVE.sub("", w.rstrip(".")).lower() for *_, w in found]
     # a name has a surname of the lexicon, or a title, or an initial or given name before a capital
     seeds = [i for i, b in enumerate(low) if b in surname or b in given or (b in TITLES and found[i][2][0].isupper() and len(b) > 1)]
     seen = set()
@@ -340,7 +341,7 @@ def _person(r: random.Random) -> str:
     g, s, i = r.choice(_GIVEN), r.choice(_SURNAME), r.choice("ABCDEFGHJKLMNRSTVWXYZ")
     if r.random() < 0.1:
         s = "dela " + s
-    form = r.choice(["{g} {s}"] * 4 + ["{g} {i}. {s}", "{s}, {g}", "{s}, {g} {i}.", "{i}. {s}", "Ms. {g} {s}", "Prof. {s}", "Dr. {s}", "Ma. {g} {s}", "{g} {s} Jr.", "Mr. {s}", "Engr. {g} {i}. {s}"])
+    form = r.choice(["{g} {s}"] * 4 + ["{g} {i}. {s}", "{s}, {g}", "{s}, {g} {i}.", "{s} {g}", "{i}. {s}", "Ms. {g} {s}", "Prof. {s}", "Dr. {s}", "Ma. {g} {s}", "{g} {s} Jr.", "Mr. {s}", "Engr. {g} {i}. {s}"])
     out = form.format(g=g, s=s, i=i)
     x = r.random()
     if x < 0.15 and "." not in out:

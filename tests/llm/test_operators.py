@@ -123,6 +123,7 @@ def test_held_out_sentences(model):
         ("The payment reference is 20391048821.", set()),
         ("I was told to go to Room 204, Almazor Hall.", set()),
         ("My name is Carla Bantigue.", {"name"}),
+        ("Bantigue Carla asked for Mr. Esguer's permit.", {"name"}),
         ("I live at Purok 4, Barangay San Rafael, Port Aurora.", {"address"}),
         ("My ID is PSN 1234-5678-9012-3456", {"id_number"}),
         ("", set()),
