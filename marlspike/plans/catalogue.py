@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -491,3 +492,74 @@ def stream_windows(spark, d):
     """Five-minute windows of the events; complete mode keeps every window, so nothing is too late."""
     w = chat.windowed(_streamed(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return _drain(w, "complete").select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+# ---- further forms
+
+
+@query
+def known_reporters(spark, d):
+    """Reports by somebody in the user table."""
+    u = store.attributes(table(spark, d, "users")).select(F.col("sub").alias("reporter_uid")).filter("reporter_uid is not null").distinct()
+    return table(spark, d, "reports").select("report_id", "reporter_uid").distinct().join(u, "reporter_uid", "left_semi").select("report_id", "reporter_uid")
+
+
+@query
+def running_total(spark, d):
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("total"))
+
+
+@query
+def top_per_group(spark, d):
+    """The three dearest orders of each customer; the rank's limit is pushed below the shuffle."""
+    w = W.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    o = table(spark, d, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    return o.select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def longest_recent_word(spark, d):
+    """The longest of a text's last eight words that is no number and longer than three; the first of equals."""
+    last = F.slice(F.reverse(T.words(F.coalesce("text", F.lit("")))), 1, 8)
+    good = F.filter(F.reverse(last), lambda w: (F.length(w) > 3) & ~w.rlike(r"^[0-9.,]+$"))
+    ranked = F.transform(good, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w")))
+    return table(spark, d, "documents").select("doc_id", F.array_max(ranked)["w"].alias("word"))
+
+
+@query
+def url_encoded(spark, d):
+    return table(spark, d, "files").select("filename", F.url_encode("filename").alias("encoded")).distinct()
+
+
+@query
+def date_display(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MMMM dd, yyyy").alias("shown"))
+
+
+@query
+def base64_text(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.base64(F.encode("n_name", "utf-8")).alias("b"))
+
+
+@query
+def session_events(spark, d):
+    """Sessions of users' events: runs without a gap of half an hour."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.unix_micros("s.start").alias("start"), "n")
+
+
+@query
+def history_merge(spark, d):
+    """A chat's history with the turn that follows: arrays concatenated, then counted by role."""
+    turn = F.array(F.struct(F.lit("user").alias("role"), F.lit("And then?").alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("That is all.").alias("content")))
+    c = conversation.fullest(table(spark, d, "conversations"))
+    m = c.select("conv_id", F.explode(F.concat(F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")), turn)).alias("m"))
+    return m.groupBy("conv_id", conversation.role(F.col("m.role")).alias("role")).agg(F.count("*").alias("n"))
+
+
+@query
+def server_events(spark, d):
+    """Regions as the lines that a browser reads."""
+    return chat.server_events(table(spark, d, "region").select(F.lit("chunk").alias("type"), F.col("r_name").alias("text")))

@@ -181,6 +181,19 @@ ORACLES: dict[str, str] = {
     "table_markdown": """SELECT n_regionkey, string_agg(l || CASE WHEN rn = 1 THEN chr(10) || CASE WHEN w = 2 THEN '| --- | --- |' ELSE '| --- |' END ELSE '' END, chr(10) ORDER BY n_nationkey) AS markdown FROM (
         SELECT *, '| ' || n_name || CASE WHEN k = 2 THEN ' | ' || n_nationkey WHEN w = 2 THEN ' | ' ELSE '' END || ' |' AS l FROM (
         SELECT *, max(k) OVER (PARTITION BY n_regionkey) AS w, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM (SELECT *, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END AS k FROM nation))) GROUP BY 1""",
+    "known_reporters": f"SELECT DISTINCT report_id, reporter_uid FROM reports WHERE EXISTS (SELECT 1 FROM {USERS} u WHERE u.sub = reporter_uid)",
+    "running_total": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS total FROM orders",
+    "top_per_group": "SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
+    "longest_recent_word": f"""SELECT d.doc_id, w AS word FROM documents d LEFT JOIN (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, i) AS rn FROM (
+        SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_slice({words("coalesce(text, '')")}, -8, -1) AS x FROM documents)) WHERE length(w) > 3 AND NOT regexp_matches(w, '^[0-9.,]+$')) g ON g.doc_id = d.doc_id AND rn = 1""",
+    "url_encoded": "SELECT DISTINCT filename, replace(url_encode(filename), '%20', '+') AS encoded FROM files",
+    "date_display": "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS shown FROM orders",
+    "base64_text": "SELECT n_nationkey, base64(encode(n_name)) AS b FROM nation",
+    "session_events": """SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+        SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
+    "history_merge": f"""SELECT conv_id, role, count(*) AS n FROM (SELECT conv_id, {role('m.role')} AS role FROM (SELECT conv_id, unnest(messages) AS m FROM {LATEST})
+        UNION ALL SELECT conv_id, unnest(['user', 'assistant']) FROM {LATEST}) GROUP BY 1, 2""",
+    "server_events": """SELECT 'data: {"type":"chunk","text":"' || r_name || '"}' || chr(10) || chr(10) AS line FROM region""",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_windows": "SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "row_text": "SELECT s_suppkey, 'Row: ' || s_name || ' | ' || s_nationkey || CASE WHEN s_nationkey > 9 THEN ' | x' ELSE '' END AS line FROM supplier",
