@@ -4,8 +4,9 @@ A length in (C/(j+1), C/j] belongs to class j, and every container of class j
 takes exactly j items, whichever they are: no item needs to know of another, so
 workers fill containers of every class on their own, and only the last container
 of a class and worker may stay open. Lengths of at most C/``classes`` form the last
-class; its small items first fill the space that the other containers of the
-worker leave (``top_up``), then containers of their own, one after the other.
+class, whose containers are filled one after the other. Items of class ``top_up`` and
+smaller first fill the space that the containers of larger classes leave; each worker
+tries several ``top_up`` for a capacity and keeps the one with the fewest containers.
 
 Defined cases: an item over the capacity is cut into full containers and a rest,
 which is packed like an item; null and empty texts have no tokens and take part in
@@ -63,39 +64,32 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str | None = N
     return rows.mapInArrow(_count(path or default_ranks()), "id long, n_tokens int").dropDuplicates(["id"])
 
 
-def fill(lengths: np.ndarray, capacity: int, classes: int, top_up: bool) -> tuple[np.ndarray, int]:
-    """The container (from 0) of each length in 1..capacity, and the number of containers."""
+def fill(lengths: np.ndarray, capacity: int, classes: int, top_up: int) -> tuple[np.ndarray, int]:
+    """The container (from 0) of each length in 1..capacity, and the number of containers.
+
+    ``top_up`` is the first class whose items fill open space before they get containers of their own; 0: none.
+    """
     bins = np.full(len(lengths), -1, np.int64)
     cls = np.minimum(capacity // lengths, classes)
     n = 0
-    for j in range(1, classes):
-        at = np.flatnonzero(cls == j)
+
+    def harmonic(at: np.ndarray, j: int) -> None:
+        nonlocal n
         # neighbours in length share a container: what each container leaves is then even within a class
         at = at[np.argsort(-lengths[at], kind="stable")]
         bins[at] = n + np.arange(len(at)) // j
         n += -(-len(at) // j)
-    small = np.flatnonzero(cls == classes)
-    small = small[np.argsort(-lengths[small], kind="stable")]
-    free = capacity - np.bincount(bins[bins >= 0], weights=lengths[bins >= 0], minlength=n).astype(np.int64)
-    low, high = 0, len(small)
-    rest: list[int] = []
+
+    large = top_up or classes
+    for j in range(1, large):
+        harmonic(np.flatnonzero(cls == j), j)
+    rest = np.flatnonzero(cls >= large)
     if top_up and n:
-        # containers by falling room: an item too large for a fresh one is too large for all that follow
-        for b in np.argsort(-free, kind="stable"):
-            room = int(free[b])
-            while low < high and lengths[small[low]] > room:
-                rest.append(int(small[low]))
-                low += 1
-            if low == high:
-                break
-            while low < high and lengths[small[low]] <= room:
-                bins[small[low]], room, low = b, room - int(lengths[small[low]]), low + 1
-            while low < high and lengths[small[high - 1]] <= room:
-                high -= 1
-                bins[small[high]], room = b, room - int(lengths[small[high]])
-    rest += small[low:high].tolist()
+        rest = _top_up(bins, lengths, capacity, n, rest)
+    for j in range(large, classes):
+        harmonic(rest[cls[rest] == j], j)
     room = 0
-    for i in rest:
+    for i in rest[cls[rest] == classes]:
         if lengths[i] > room:
             n, room = n + 1, capacity
         bins[i] = n - 1
@@ -103,7 +97,30 @@ def fill(lengths: np.ndarray, capacity: int, classes: int, top_up: bool) -> tupl
     return bins, n
 
 
-def _pack(classes: int, top_up: bool):
+def _top_up(bins: np.ndarray, lengths: np.ndarray, capacity: int, n: int, small: np.ndarray) -> np.ndarray:
+    """Put what fits of ``small`` into the open space of the n containers; returns what is left."""
+    small = small[np.argsort(-lengths[small], kind="stable")]
+    done = bins >= 0
+    free = capacity - np.bincount(bins[done], weights=lengths[done], minlength=n).astype(np.int64)
+    low, high = 0, len(small)
+    left: list[int] = []
+    # containers by falling room: an item too large for a fresh one is too large for all that follow
+    for b in np.argsort(-free, kind="stable"):
+        room = int(free[b])
+        while low < high and lengths[small[low]] > room:
+            left.append(int(small[low]))
+            low += 1
+        if low == high:
+            break
+        while low < high and lengths[small[low]] <= room:
+            bins[small[low]], room, low = b, room - int(lengths[small[low]]), low + 1
+        while low < high and lengths[small[high - 1]] <= room:
+            high -= 1
+            bins[small[high]], room = b, room - int(lengths[small[high]])
+    return np.array(left + small[low:high].tolist(), np.int64)
+
+
+def _pack(classes: int, top_up: tuple[int, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -115,7 +132,8 @@ def _pack(classes: int, top_up: bool):
             full, rest = n // c, n % c
             piece_of = np.repeat(np.arange(len(n)), full)
             at = np.flatnonzero(rest > 0)
-            bins, used = fill(rest[at], c, classes, top_up)
+            # each choice of the classes that top up is tried; the fewest containers win
+            bins, used = min((fill(rest[at], c, classes, t) for t in top_up), key=lambda x: x[1])
             yield pd.DataFrame(
                 {
                     "limit_id": np.int32(limit),
@@ -130,7 +148,7 @@ def _pack(classes: int, top_up: bool):
     return run
 
 
-def pack(sizes: DataFrame, capacities: dict[int, int], classes: int = 8, top_up: bool = True, workers: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, capacities: dict[int, int], classes: int = 8, top_up: tuple[int, ...] = (2, 3, 4, 6, 8), workers: int | None = None) -> DataFrame:
     """limit_id, bin, id, piece, n_tokens, capacity: every item's container for every capacity.
 
     ``sizes``: id, n_tokens; ``capacities``: limit_id -> tokens. Items are dealt out evenly over ``workers``

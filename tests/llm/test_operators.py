@@ -311,7 +311,7 @@ def test_packing(spark):
         for x in mine:
             whole.setdefault(x.id, []).append(x.n_tokens)
         assert all((len(v) == 1) == (dict(sizes)[k] <= cap) for k, v in whole.items())
-    bins, n = packing.fill(np.array([300] * 4 + [170] * 6), 512, 8, False)
+    bins, n = packing.fill(np.array([300] * 4 + [170] * 6), 512, 8, 0)
     assert n == 6 and np.bincount(bins).tolist() == [1, 1, 1, 1, 3, 3]
     assert packing.pack(df.limit(0), {2: 512}).count() == 0 and packing.pack(df, {}).count() == 0
 
