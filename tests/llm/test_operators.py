@@ -56,7 +56,7 @@ def test_near_duplicates_against_all_pairs(spark):
             rows.append((len(rows), " ".join(text), "extra"))
     rows += [(900, rows[0][1].upper(), "copy"), (901, None, ""), (902, "", ""), (903, "few words", ""), (904, "few words", ""), rows[5]]
     df = spark.createDataFrame(rows, "raw_id long, page_content string, same string")
-    got = order_minhash.near_duplicates(df, "raw_id", "page_content", k=3, threshold=0.6, measure="jaccard", min_words=30, sketches=48, samples=3, sketch_k=4)
+    got = order_minhash.near_duplicates(df, "raw_id", "page_content", k=3, threshold=0.6, measure="jaccard", min_words=30, sketches=40, samples=3, sketch_k=4)
     sets = {i: shingle_set(t, 3) for i, t, _ in rows if t and len(re.findall(r"[^\W_]+", t)) >= 30}
     ids = sorted(sets)
     want = {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
