@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 from .words import code_batch, mix, shingles
 
 POSITION_BITS = np.uint64(24)
@@ -260,6 +260,20 @@ class NearDuplicates:
         return own.unionByName(x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
 
 
+def _candidates(sk: DataFrame, ratio: float, needed: int) -> DataFrame:
+    """The pairs of representatives with a key in common, of sizes and least k-mers that allow the similarity."""
+    reps = sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("keys").alias("keys"))
+    keyed = reps.select("rep", F.explode("keys").alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b")).distinct()
+    if ratio > 0:
+        small = reps.select("rep", "size", "least")
+        both = pairs.join(small.withColumnsRenamed({"rep": "id_a", "size": "sa", "least": "la"}), "id_a").join(small.withColumnsRenamed({"rep": "id_b", "size": "sb", "least": "lb"}), "id_b")
+        both = both.filter(F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(ratio))
+        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(needed), "id_a long, id_b long")
+    return cut(pairs)
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str,
@@ -287,22 +301,12 @@ def near_duplicates(
     ks = sketch_k or k
     run = _sketches(ks, sketches, samples, max(min_words or k, k), 1 if by_sets else None)
     sk = cut(rows.mapInArrow(run, "id long, same binary, size int, least binary, keys array<long>"))
-    reps = sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("keys").alias("keys"))
-    members = sk.select("id", "same").join(reps.select("same", "rep"), "same").select("id", "rep").dropDuplicates(["id"])
-    keyed = reps.select("rep", "size", F.explode("keys").alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    reps = sk.groupBy("same").agg(F.min("id").alias("rep"))
+    members = sk.select("id", "same").join(reps, "same").select("id", "rep").dropDuplicates(["id"])
     # sizes in k-mers of another length than the measure's are compared with room to spare
-    fits = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(threshold * (1.0 if ks == k else 0.75)) if by_sets else F.lit(True)
-    pairs = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & fits)
-        .select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b"))
-        .distinct()
-    )
-    if by_sets:
-        small = reps.select("rep", "least")
-        both = pairs.join(small.withColumnsRenamed({"rep": "id_a", "least": "la"}), "id_a").join(small.withColumnsRenamed({"rep": "id_b", "least": "lb"}), "id_b")
-        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(agreement(threshold, k, ks)), "id_a long, id_b long")
-    pairs = cut(pairs)
+    ratio = threshold * (1.0 if ks == k else 0.75) if by_sets else 0.0
+    pairs = _candidates(sk, ratio, agreement(threshold, k, ks) if by_sets else 0)
+    release(df.sparkSession)
     need = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     texts = rows.join(need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     wide = pairs.join(texts.withColumnsRenamed({"id": "id_a", "text": "ta"}), "id_a").join(texts.withColumnsRenamed({"id": "id_b", "text": "tb"}), "id_b")
