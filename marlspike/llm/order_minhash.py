@@ -62,8 +62,8 @@ def labelled(codes: np.ndarray, counts: np.ndarray, k: int, occurrences: int | N
     return out, np.bincount(doc, minlength=len(counts))
 
 
-#: orders whose very least k-mer is kept beside the keys, in 16 bits
-AGREE = 32
+#: orders, at most, whose very least k-mer is kept beside the keys, in 16 bits
+AGREE = 48
 
 
 def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: in
     at = (np.arange(len(kmers)) - np.repeat(starts, sizes)).astype(np.uint64)
     mask = ~((np.uint64(1) << POSITION_BITS) - np.uint64(1))
     out = np.empty((len(sizes), len(orders)), np.uint64)
-    least = np.zeros((len(sizes), AGREE), np.uint16)
+    least = np.zeros((len(sizes), min(AGREE, len(orders))), np.uint16)
     picked = np.empty((len(sizes), samples), np.int64)
     for i, a in enumerate(orders):
         h = kmers * a
@@ -85,7 +85,7 @@ def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: in
             pos = np.where(low == TOP, -1, (low & ~mask).astype(np.int64))
             picked[:, j] = np.where(pos >= 0, pos, picked[:, j - 1] if j else 0)
             h[starts + picked[:, j]] = TOP
-        if i < AGREE:
+        if i < least.shape[1]:
             least[:, i] = (kmers[starts + picked[:, 0]] & np.uint64(0xFFFF)).astype(np.uint16)
         picked.sort(axis=1)
         key = np.full(len(sizes), i + 1, np.uint64)
@@ -107,7 +107,7 @@ def _sketches(k: int, orders_n: int, samples: int, min_words: int, occurrences:
                 sel = np.repeat(ok, counts)
                 kept, kc = codes[sel], counts[ok]
                 kmers, sizes = labelled(kept, kc, k, occurrences)
-                keys, least = sketch(kmers, sizes, orders, samples) if len(kmers) else (np.empty((0, orders_n), np.uint64), np.empty((0, AGREE), np.uint16))
+                keys, least = sketch(kmers, sizes, orders, samples) if len(kmers) else (np.empty((0, orders_n), np.uint64), np.empty((0, 1), np.uint16))
                 ids = np.asarray(part.column(0).to_pylist(), object)[ok]
                 same = [xxhash.xxh3_128_digest(codes[e - c : e].tobytes()) for e, c in zip(ends[ok], kc)]
                 flat = pa.array(keys.view(np.int64).ravel())
@@ -212,27 +212,27 @@ def _verify(k: int, threshold: float, band_share: float, band_most: int):
     return run
 
 
-def _agreeing(needed: int):
+def _agreeing(needed: int, orders: int):
     """The pairs whose least k-mers agree in ``needed`` orders or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, AGREE) for i in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, orders) for i in (2, 3))
                 batch = batch.filter(pa.array((a == b).sum(axis=1) >= needed))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id_a", "id_b"])
 
     return run
 
 
-def agreement(threshold: float, k: int, sketch_k: int) -> int:
-    """Orders of ``AGREE`` that agree for a pair at ``threshold``, less three standard deviations.
+def agreement(threshold: float, k: int, sketch_k: int, orders: int) -> int:
+    """Of so many orders those that agree for a pair at ``threshold``, less three standard deviations.
 
     Edits scattered over the text hurt longer k-mers more: a share s of common k-mers becomes s ** (sketch_k / k).
     """
     shared = (2 * threshold / (1 + threshold)) ** max(1.0, sketch_k / k)
     p = shared / (2 - shared)
-    return max(0, int(AGREE * p - 3 * (AGREE * p * (1 - p)) ** 0.5))
+    return max(0, int(orders * p - 3 * (orders * p * (1 - p)) ** 0.5))
 
 
 class NearDuplicates:
@@ -260,7 +260,7 @@ class NearDuplicates:
         return own.unionByName(x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
 
 
-def _candidates(sk: DataFrame, ratio: float, needed: int) -> DataFrame:
+def _candidates(sk: DataFrame, ratio: float, needed: int, orders: int) -> DataFrame:
     """The pairs of representatives with a key in common, of sizes and least k-mers that allow the similarity."""
     reps = sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("keys").alias("keys"))
     keyed = reps.select("rep", F.explode("keys").alias("key"))
@@ -270,7 +270,7 @@ def _candidates(sk: DataFrame, ratio: float, needed: int) -> DataFrame:
         small = reps.select("rep", "size", "least")
         both = pairs.join(small.withColumnsRenamed({"rep": "id_a", "size": "sa", "least": "la"}), "id_a").join(small.withColumnsRenamed({"rep": "id_b", "size": "sb", "least": "lb"}), "id_b")
         both = both.filter(F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(ratio))
-        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(needed), "id_a long, id_b long")
+        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(needed, orders), "id_a long, id_b long")
     return cut(pairs)
 
 
@@ -305,7 +305,8 @@ def near_duplicates(
     members = sk.select("id", "same").join(reps, "same").select("id", "rep").dropDuplicates(["id"])
     # sizes in k-mers of another length than the measure's are compared with room to spare
     ratio = threshold * (1.0 if ks == k else 0.75) if by_sets else 0.0
-    pairs = _candidates(sk, ratio, agreement(threshold, k, ks) if by_sets else 0)
+    orders = min(AGREE, sketches)
+    pairs = _candidates(sk, ratio, agreement(threshold, k, ks, orders) if by_sets else 0, orders)
     release(df.sparkSession)
     need = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     texts = rows.join(need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
