@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ..session import cut, release
 from .words import code_batch, mix, shingles
 
+#: ids of candidates, 8 bytes each, up to which they are broadcast
+FEW = 500_000
 POSITION_BITS = np.uint64(24)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -309,7 +311,9 @@ def near_duplicates(
     pairs = _candidates(sk, ratio, agreement(threshold, k, ks, orders) if by_sets else 0, orders)
     release(df.sparkSession)
     need = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    texts = rows.join(need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    # ids of a checked number are sent to the scan, so that only their texts move; more of them are joined
+    few = need.limit(FEW + 1).count() <= FEW
+    texts = rows.join(F.broadcast(need) if few else need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     wide = pairs.join(texts.withColumnsRenamed({"id": "id_a", "text": "ta"}), "id_a").join(texts.withColumnsRenamed({"id": "id_b", "text": "tb"}), "id_b")
     done = wide.select("id_a", "id_b", "ta", "tb").mapInArrow(_verify(k, threshold, band_share, band_most), "id_a long, id_b long, jaccard double, edit_similarity double")
     by = F.col("jaccard" if measure == "jaccard" else "edit_similarity")
