@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 
 #: pages of a source that one task orders
@@ -118,7 +119,8 @@ def chunk(pages: DataFrame, limit: int = 1000, overlap: int = 150) -> DataFrame:
     Pages within the limit are one chunk and never leave the JVM; only longer ones are packed in Python.
     """
     ready = carry_headings(stitch(pages), "stitched").select("raw_id", "source", "page", "header", T.clean(F.col("stitched")).alias("cleaned"))
-    ready = ready.filter("cleaned <> ''")
+    # read three times below: written once
+    ready = cut(ready.filter("cleaned <> ''"))
     short = ready.filter(T.approx_tokens(F.col("cleaned")) <= limit).select("raw_id", "source", "page", "header", F.array("cleaned").alias("chunks"))
     long = ready.filter(T.approx_tokens(F.col("cleaned")) > limit)
     packed = long.select("raw_id", "cleaned").mapInArrow(_pack_rows(limit, overlap), "raw_id long, chunks array<string>")
