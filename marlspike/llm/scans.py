@@ -41,7 +41,10 @@ EDGE = ".,;:()[]{}\"'“”’‘?*–—…`"
 PLAIN = re.compile(r"[^\W\d_]+(?:[-'’‑][^\W\d_]+)*")
 CUT = re.compile(rf"([^\W_][\w!|†¢$-]*)[{HYPHENS}]\s*$")
 NEXT = re.compile(r"\s*([^\W_][\w!|†¢$'’-]*)")
-NUMBER_LINE = re.compile(r"\W*(?:(?:page|p|pg|pahina)\b\.?\s*)?([0-9OoIlS|!]{1,4}|[ivxlcIVXLC]{1,7})\W*(?:(?:of|/)\s*\d{1,4}\W*)?", re.I)
+#: a number of any length; the possessive parts keep the time for long lines of marks in proportion to their length
+NUMBER_LINE = re.compile(
+    r"(?:\W*+(?=\w)|[^\w|!]*+(?=[|!]))(?:(?:page|p|pg|pahina)\b\.?\s*+)?((?:[0-9IlS|!]|o(?!f))++|[ivxlc]++)\W*(?:(?:of|/)\s*+\d++\W*+)?", re.I
+)
 
 
 def tokens(line: str) -> list[str]:
@@ -142,15 +145,19 @@ def skeleton(line: str) -> str:
 def number_of(line: str) -> tuple[int | None, bool]:
     """(value, decorated) of a line that holds nothing but a page number."""
     s = line.strip()
-    m = NUMBER_LINE.fullmatch(s) if 0 < len(s) <= 16 else None
+    m = NUMBER_LINE.fullmatch(s)
     if not m:
         return None, False
     raw = m.group(1)
+    marks = not raw.strip("|!")
+    if marks and (len(s) > 16 or re.search(r"[|!]", s[m.end(1) :])):
+        return None, False  # cells and rules of a table, not a misread number
     digits = raw.translate(str.maketrans("OoIlS|!", "0011511"))
     # a mark before it, a word, or a total behind it; a full stop alone also ends a sentence
     decorated = m.start(1) > 0 or re.search(r"[/)\]>~|–—-]|of", s[m.end(1) :]) is not None
-    if digits.isdigit() and (any(map(str.isdigit, raw)) or decorated):
-        return int(digits), decorated
+    if digits.isdigit() and (any(map(str.isdigit, raw)) or decorated or marks and len(raw) > 1):
+        # beyond 18 digits no page is numbered: such a number is in no sequence
+        return int(digits) if len(digits) <= 18 else 10**18, decorated
     return roman(raw.lower()), decorated
 
 
@@ -166,7 +173,7 @@ def roman(s: str) -> int | None:
     return total if back == s else None
 
 
-PAGE = "raw_id long, source string, seq int, page int, prose boolean, line_no int, what string, text string, skeleton string, value int, decorated boolean, follows string, b_line int"
+PAGE = "raw_id long, source string, seq int, page int, prose boolean, line_no int, what string, text string, skeleton string, value long, decorated boolean, follows string, b_line int"
 #: lines taken at either edge of a page: two that may be noise, and the text beside them
 DEPTH = 3
 NOT_TITLE = re.compile(r"[.;,?!][\"'”’)]*$|\s\|\s|\t|^[a-z ]+: ")
@@ -231,7 +238,7 @@ def _pages(known: object, min_words: int):
                             settled.add(w)
                     broken = m is not None and i != last
             out = list(zip(*rows)) or [[]] * 13
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int32())
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[p.split()[0] for p in PAGE.split(", ")])
 
     return run

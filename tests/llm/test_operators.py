@@ -204,6 +204,27 @@ def test_numbers_and_skeletons():
     assert "office" in scans.undone("officc") and "department" in scans.undone("clepartment") and "month" in scans.undone("montb")
 
 
+def test_numbers_of_any_length():
+    for line, value in (("- 10001 -", 10001), ("- l0001 -", 10001), ("Page 14999 of 15000", 14999), ("[ 123456 / 1500000 ]", 123456), ("12of30", 12), ("~~~~~~~ 1234567 ~~~~~~~", 1234567)):
+        assert scans.number_of(line) == (value, True)
+    assert scans.number_of("10001") == (10001, False) and scans.number_of("lxxxviii") == (88, False)
+    assert scans.number_of("- " + "9" * 5000 + " -") == (10**18, True)
+    assert scans.number_of("- | -") == (1, True) and scans.number_of("- || -") == (11, True) and scans.number_of("||") == (11, False)
+    for line in ("|---|---|---|---|---|", "|   |   |   |   |   |", "|" * 50_000 + "z", "1" + "|/" * 50_000 + "z", "Total 10001"):
+        assert scans.number_of(line)[0] is None
+
+
+def test_pages_beyond_9999(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(8):
+        n = f"- {10001 + i} -" if i != 3 else "- l0004 -"
+        title = "Harbor Gazette of the College" if i else "Quarterly Accounts Overview"
+        rows.append((i, "m.pdf", i, 10001 + i, "\n".join([n, title, *(sentence(r) for _ in range(6))])))
+    noise = {(x.raw_id, x.line_no, x.noise) for x in scans.scan_noise(spark.createDataFrame(rows, "raw_id long, source string, seq int, page int, page_content string")).noise.collect()}
+    assert noise == {(i, 0, "page_number") for i in range(8)} | {(i, 1, "header") for i in range(1, 8)}
+
+
 def test_scanned_pages(spark):
     r = random.Random(9)
     rows, clean = [], {}
