@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -244,14 +244,50 @@ def _pages(known: object, min_words: int):
     return run
 
 
-def titles(edges: DataFrame, salts: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(source, salt, skeletons) of the repeated titles, and the skeletons that are titles in several sources."""
-    seen = edges.filter(F.length("skeleton") >= 6).groupBy("source", "skeleton").agg(F.count("*").alias("n"), F.sum(F.col("prose").cast("int")).alias("on_prose"))
+def near(line: str, title: str | Column) -> Column:
+    """Whether ``line`` is within a quarter of the title's length; a distance over 16 isn't computed further."""
+    t = F.col(title) if isinstance(title, str) else title
+    distance = F.levenshtein(F.col(line), t, 16)
+    return (F.abs(F.length(line) - F.length(t)) <= F.length(t) / 4) & (distance >= 0) & (distance <= F.greatest(F.lit(1), F.length(t) / 4))
+
+
+def titles(edges: DataFrame, salts: int = 16, listed: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(source, salt, titles) of the most frequent titles, the skeletons that are titles in several sources,
+    and (source, skeleton) of the edge lines that are one of the other titles, or near one.
+
+    The list is a shortcut that settles most lines without a join; it bounds nothing.
+    """
+    lines = edges.filter(F.length("skeleton") >= 4)
+    seen = lines.filter(F.length("skeleton") >= 6).groupBy("source", "skeleton").agg(F.count("*").alias("n"), F.sum(F.col("prose").cast("int")).alias("on_prose"))
     # the last lines of tables repeat too, but they never stand on pages of prose
-    mine = seen.filter("n >= 2 and on_prose * 3 >= n")
+    mine = cut(seen.filter("n >= 2 and on_prose * 3 >= n"))
     many = mine.groupBy("skeleton").agg(F.count("*").alias("n_sources"), F.sum("n").alias("n")).filter("n_sources >= 2").select("skeleton")
-    by_source = mine.groupBy("source").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "skeleton")), asc=False), 1, 8).alias("t"))
-    return by_source.select("source", F.col("t.skeleton").alias("titles"), F.explode(F.array(*map(F.lit, range(salts)))).alias("salt")), many
+    top = mine.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), F.desc("skeleton")))).filter(F.col("rank") <= listed)
+    by_source = top.groupBy("source").agg(F.collect_list("skeleton").alias("titles"))
+    # lines of text recur by chance in a long source; what runs stands on neighbouring pages: half of it has itself within four
+    placed = lines.join(mine.join(top, ["source", "skeleton"], "left_anti"), ["source", "skeleton"], "left_semi").withColumn("shift", F.explode(F.array(F.lit(0), F.lit(2))))
+    placed = placed.groupBy("source", "skeleton", "shift", F.floor((F.col("seq") + F.col("shift")) / 4).alias("block")).agg(F.countDistinct("raw_id").alias("n"))
+    runs = placed.groupBy("source", "skeleton", "shift").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= 2, F.col("n"))).alias("beside")).filter("beside * 2 >= n")
+    rest = cut(runs.select("source", "skeleton").distinct())
+    others = lines.join(rest.select("source").distinct(), "source", "left_semi").select("source", "skeleton").distinct().join(rest, ["source", "skeleton"], "left_anti")
+    return by_source.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts))))), many, cut(rest.unionByName(near_titles(others, rest)))
+
+
+def near_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """The (source, skeleton) of ``lines`` that are near one of the source's ``titles``, every one of them.
+
+    Of k + 1 pieces of a title at least one is untouched by k edits, and at most k places from where it was:
+    lines and titles meet on the first three characters of the pieces (two, where a piece has no more).
+    """
+    n = F.length("title")
+    parts = titles.select("source", F.col("skeleton").alias("title")).withColumn("k", F.greatest(F.lit(1), F.least(F.lit(16), F.floor(n / 4))).cast("int"))
+    parts = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    parts = parts.withColumn("at", F.expr("cast(i * length(title) div (k + 1) as int) + 1")).withColumn("end", F.expr("cast((i + 1) * length(title) div (k + 1) as int) + 1"))
+    parts = parts.withColumn("gram", F.expr("substring(title, at, least(3, end - at))"))
+    grams = lines.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("skeleton") - 1)))
+    grams = grams.withColumn("gram", F.explode(F.array(F.expr("substring(skeleton, p, 3)"), F.expr("if(length(skeleton) between 6 and 10, substring(skeleton, p, 2), null)")))).filter("gram is not null")
+    met = grams.join(parts, ["source", "gram"]).filter((F.abs(F.col("p") - F.col("at")) <= F.col("k")) & near("skeleton", "title"))
+    return met.select("source", "skeleton").distinct()
 
 
 class Scans:
@@ -273,14 +309,12 @@ def scan_noise(df: DataFrame, known_words: int = 65_536, min_words: int = 20, sa
     found = cut(pages.mapInArrow(_pages(known, min_words), PAGE))
 
     edges = found.filter(F.col("what").rlike("^(top|end)")).dropDuplicates(["raw_id", "line_no"])
-    by_source, many = titles(edges.filter(F.col("what").isin("top0", "top1", "end0", "end1")), salts)
+    by_source, many, others = titles(edges.filter(F.col("what").isin("top0", "top1", "end0", "end1")), salts)
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("raw_id"), F.lit(salts)).cast("int")).join(by_source, ["source", "salt"], "left").join(many.withColumn("everywhere", F.lit(True)), "skeleton", "left")
-    # within a quarter of the title's length; a distance over 16 isn't computed further
-    distance = lambda t: F.levenshtein(F.col("skeleton"), t, 16)
-    near = lambda t: (F.abs(F.length("skeleton") - F.length(t)) <= F.length(t) / 4) & (distance(t) >= 0) & (distance(t) <= F.greatest(F.lit(1), F.length(t) / 4))
+    salted = salted.join(others.withColumn("other", F.lit(True)), ["source", "skeleton"], "left")
     numbered = edges.filter(F.col("value").isNotNull() & F.col("what").isin("top0", "top1", "end0", "end1")).groupBy("source", (F.col("value") - F.col("page")).alias("offset")).agg(F.countDistinct("raw_id").alias("n_offset"))
     numbered = numbered.filter("n_offset >= 2").select("source", "offset", F.lit(True).alias("in_sequence"))
-    is_title = F.when(F.length("skeleton") >= 4, F.coalesce("everywhere", F.lit(False)) | F.coalesce(F.exists("titles", near), F.lit(False))).otherwise(F.lit(False))
+    is_title = F.when(F.length("skeleton") >= 4, F.coalesce("everywhere", "other", F.lit(False)) | F.coalesce(F.exists("titles", lambda t: near("skeleton", t)), F.lit(False))).otherwise(F.lit(False))
     judged = salted.withColumn("offset", F.col("value") - F.col("page")).join(numbered, ["source", "offset"], "left")
     is_number = F.col("value").isNotNull() & (F.col("decorated") | (F.col("offset") == 0) | F.coalesce("in_sequence", F.lit(False)))
     judged = judged.withColumn("noise", F.when(is_number, "page_number").when(is_title, "header"))

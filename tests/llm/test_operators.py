@@ -225,6 +225,38 @@ def test_pages_beyond_9999(spark):
     assert noise == {(i, 0, "page_number") for i in range(8)} | {(i, 1, "header") for i in range(1, 8)}
 
 
+def test_any_number_of_titles(spark):
+    r = random.Random(8)
+    names = [" ".join(r.choice(NOUNS).capitalize() + r.choice("aeou") * 2 for _ in range(3)) for _ in range(14)]
+    rows = [(i, "merged.pdf", i, i + 1, "\n".join([names[i // 4], *(sentence(r) for _ in range(6))])) for i in range(56)]
+    # the last page of every title has one letter more
+    rows = [(*x[:4], x[4].replace(" ", "q ", 1)) if x[0] % 4 == 3 else x for x in rows]
+    # lines that come again far from each other are text
+    rows += [(60 + i, "merged.pdf", 60 + i, 61 + i, "\n".join([f"Students of {NOUNS[i % 10].upper() * 3} meet", *(sentence(r) for _ in range(6))])) for i in range(20)]
+    noise = {(x.raw_id, x.line_no, x.noise) for x in scans.scan_noise(spark.createDataFrame(rows, "raw_id long, source string, seq int, page int, page_content string")).noise.collect()}
+    assert {x for x in noise if x[2] == "header"} == {(i, 0, "header") for i in range(56)}
+
+
+def test_near_titles_against_all_pairs(spark):
+    r = random.Random(2)
+    text = lambda n: "".join(r.choice("abcde ") for _ in range(n)).strip() or "a"
+    known = list({("s", text(n)) for n in range(6, 90) for _ in range(2)} - {("s", "a")})
+    known = [x for x in known if len(x[1]) >= 6]
+    lines = set()
+    for _, t in known:
+        for edits in (1, len(t) // 4, len(t) // 4 + 1):
+            x = list(t)
+            for _ in range(edits):
+                k = r.randrange(len(x))
+                x[k : k + 1] = r.choice(([], ["z"], [x[k], "z"]))
+                x = x or ["a"]
+            lines.add(("s", "".join(x)))
+    lines = [x for x in lines if len(x[1]) >= 4]
+    a, b = spark.createDataFrame(lines, "source string, skeleton string"), spark.createDataFrame(known, "source string, skeleton string")
+    want = a.join(b.withColumnRenamed("skeleton", "title"), "source").filter(scans.near("skeleton", "title")).select("skeleton").distinct().collect()
+    assert len(want) > 100 and {x.skeleton for x in want} == {x.skeleton for x in scans.near_titles(a, b).collect()}
+
+
 def test_scanned_pages(spark):
     r = random.Random(9)
     rows, clean = [], {}
