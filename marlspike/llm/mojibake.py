@@ -56,8 +56,7 @@ def garbled() -> dict[str, str]:
                 for again in (encoding, "cp1252"):
                     twice = decode(once.encode(), again)
                     table.setdefault(twice, chr(point))
-    # two capitals side by side are also how capitals are written; of Cyrillic ones restore() checks the neighbours
-    return {s: c for s, c in table.items() if not (len(s) == 2 and s.isalpha() and s.isupper()) or s[0] in "ГРВ"}
+    return table
 
 
 @lru_cache(maxsize=1)
@@ -118,6 +117,10 @@ def restore(text: str) -> tuple[str, int, bool]:
         before, after = text[start - 1 : start], text[end + 1 : end + 2]
         if "Ѐ" <= seq[0] < "Ԁ" and ("Ѐ" <= before < "Ԁ" or "Ѐ" <= after < "Ԁ") and not _in_garble(text, start, end):
             continue  # inside a Cyrillic word
+        if len(seq) == 2 and seq.isalpha() and seq.isupper() and seq[0] not in "ГРВ":
+            # two capitals side by side are also how capitals are written; Cyrillic ones also stand alone
+            if before.isupper() or after.isupper() or "Ѐ" <= seq[0] < "Ԁ" and not (before.islower() or after.islower()):
+                continue
         if seq[-1] == "\xa0" and len(seq) == 2 and before.isupper():
             continue  # a capital, then a no-break space
         out += (text[last:start], char)

@@ -427,6 +427,12 @@ def test_correct_text_stays(text):
     assert mojibake.restore(text) == (text, 0, True)
 
 
+@pytest.mark.parametrize("original", ["Große Straße", "È vero", "Être", "Česko", "dağ", "maşa", "plzeň"])
+def test_garbled_pairs_of_capitals(original):
+    assert mojibake.restore(mojibake.decode(original.encode(), "cp1252"))[0] == original
+    assert mojibake.restore("DER ÃŸE UND ЕЇ") == ("DER ÃŸE UND ЕЇ", 0, True)
+
+
 def test_repair_rows(spark):
     df = spark.createDataFrame([(1, "cafÃ©"), (2, None), (3, ""), (4, "café")], "i long, t string")
     assert [(r.id, r.restored) for r in mojibake.repair(df, "i", "t").collect()] == [(1, "café")]
