@@ -318,6 +318,31 @@ def test_chunks_merge_to_the_whole():
         assert parts[0].total() == whole
 
 
+def test_counts_are_the_same_at_every_chunk_size():
+    r = random.Random(16)
+    words_ = lambda n: " ".join(r.choice(NOUNS) for _ in range(n))
+    texts = ["x" * 30_000, words_(4000), "ab " + "Q9" * 9000 + " cd\r\n" + words_(30), " " * 9000 + "word", "| a | b " * 2000, ". ".join(words_(6) for _ in range(900)) + "."]
+    texts += ["\n".join([words_(2500), *(sentence(r) for _ in range(9)), "é" * 700 + "!", words_(1700)])]
+    for text in texts:
+        whole = quality.Summary.of(text).total()
+        assert quality.kind_only(text) == quality.kind_of(whole)
+        for size in (777, 3000, 10_000):
+            parts = [quality.Summary.of(text[i : i + size]) for i in range(0, len(text), size)]
+            parts = [quality.Summary.unpack(*x.pack()) for x in parts]
+            while len(parts) > 1:
+                parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            assert parts[0].total() == whole
+    assert quality.Summary.of(texts[0]).total()[quality.AT["words"]] == 1
+
+
+def test_both_ways_to_a_kind_agree():
+    r = random.Random(17)
+    bits = ["The clinic keeps", "GE 101", "|", "12.50", "- item", "q", "7f 3a", "Name:", "a, b, c, d", "MWF", "......... 7", "Xq9Zt7Bw", "pending.", "krtz"]
+    for _ in range(400):
+        text = "\n".join(" ".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 9)))
+        assert quality.kind_only(text) == quality.kind_of(quality.Summary.of(text).total())
+
+
 def test_quality_of_odd_rows(spark):
     huge = "The registrar keeps the ledger. " * 9000
     rows = [(1, None), (2, ""), (3, huge), (4, "word " * 30), (4, "word " * 30), (None, "x")]
