@@ -1,6 +1,6 @@
 """Noise of scanned pages found and repaired: cut words, misread characters, running titles, page numbers.
 
-Titles are edge lines of pages that come again on other pages of the source, compared
+Titles are edge lines that come again on neighbouring pages of the source, compared
 by a skeleton in which characters that recognition confuses are one. Page numbers are
 edge lines of nothing but a number, decorated, or in sequence with the pages. A word
 cut at a line's end is rejoined by the corpus vocabulary: the joined form against the
@@ -40,6 +40,9 @@ HYPHENS = "-‐\xad¬‑–"
 EDGE = ".,;:()[]{}\"'“”’‘?*–—…`"
 PLAIN = re.compile(r"[^\W\d_]+(?:[-'’‑][^\W\d_]+)*")
 CUT = re.compile(rf"([^\W_][\w!|†¢$-]*)[{HYPHENS}]\s*$")
+LINE_END_CUT = re.compile(rf"[{HYPHENS}][^\S\n]*\n")
+#: a run of more code points is no word
+LONGEST = 64
 NEXT = re.compile(r"\s*([^\W_][\w!|†¢$'’-]*)")
 #: a number of any length; the possessive parts keep the time for long lines of marks in proportion to their length
 NUMBER_LINE = re.compile(
@@ -65,7 +68,7 @@ def undone(token: str) -> list[str]:
             once[token[:at] + right + token[at + len(wrong) :]] = None
             at = token.find(wrong, at + 1)
     out = dict(once)
-    if len(token) >= 6 and len(once) <= 12:
+    if len(token) >= 6:
         for t in once:
             for wrong, right in CONFUSED[:4] + CONFUSED[6:22]:
                 at = t.find(wrong)
@@ -84,28 +87,40 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            before = False
-            for line in _lines(text or ""):
-                words = line.split()
-                if not words:
-                    continue
-                if before:
-                    del words[0]
-                before = bool(words) and words[-1][-1] in HYPHENS and CUT.search(line) is not None
-                if before:
-                    words.pop()
-                counts.update(words)
+            counts.update(text.split())
+            if LINE_END_CUT.search(text):
+                counts.subtract(_pieces(text))
         if len(counts) > 300_000:
             yield _emit(counts)
             counts = Counter()
     yield _emit(counts)
 
 
+def _pieces(text: str) -> list[str]:
+    """The pieces of the words that are cut at line ends."""
+    out: list[str] = []
+    before = False
+    for line in _lines(text):
+        end = line.rstrip()
+        if not end:
+            continue
+        if before:
+            words = line.split()
+            out.append(words[0])
+            if len(words) == 1:
+                before = False
+                continue
+        before = end[-1] in HYPHENS and CUT.search(end) is not None
+        if before:
+            out.append(end.split()[-1])
+    return out
+
+
 def _emit(counts: Counter) -> pa.RecordBatch:
     out: Counter = Counter()
     for word, n in counts.items():
         t = word.strip(EDGE)
-        if 1 < len(t) <= 40 and any(map(str.isalpha, t)):
+        if n > 0 and 1 < len(t) <= LONGEST and any(map(str.isalpha, t)):
             out[form(t)] += n
     return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["token", "n"])
 
@@ -173,104 +188,133 @@ def roman(s: str) -> int | None:
     return total if back == s else None
 
 
-PAGE = "raw_id long, source string, seq int, page int, prose boolean, line_no int, what string, text string, skeleton string, value long, decorated boolean, follows string, b_line int"
+EDGE_ROW = (("line_no", pa.int32()), ("what", pa.string()), ("skeleton", pa.string()), ("value", pa.int64()), ("decorated", pa.bool_()), ("first", pa.string()), ("cut", pa.string()))
+CUT_ROW = (("line_no", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("b_line", pa.int32()))
+TOKEN_ROW = (("line_no", pa.int32()), ("token", pa.string()))
+PAGE = (
+    "raw_id long, source string, seq int, page int, prose boolean, edges array<struct<line_no int, what string, skeleton string, value long, decorated boolean, first string, cut string>>, "
+    "cuts array<struct<line_no int, a string, b string, b_line int>>, tokens array<struct<line_no int, token string>>"
+)
 #: lines taken at either edge of a page: two that may be noise, and the text beside them
 DEPTH = 3
 NOT_TITLE = re.compile(r"[.;,?!][\"'”’)]*$|\s\|\s|\t|^[a-z ]+: ")
 TITLE_START = re.compile(r"\W*(?:page |p\. ?)?[\w|!†$¢]*\W*(?:[0-9|!†$¢]|[^\W\d_a-z])")
+#: a title is printed on one line: a line of more code points is none
+TITLE_LENGTH = 300
 
 
 def title_like(line: str) -> bool:
-    """A short line that begins with a capital or number and doesn't end like a sentence."""
-    return line.count(" ") < 12 and NOT_TITLE.search(line) is None and TITLE_START.match(line) is not None
+    """A line that begins with a capital or number and doesn't end like a sentence."""
+    return len(line) <= TITLE_LENGTH and NOT_TITLE.search(line) is None and TITLE_START.match(line) is not None
+
+
+def _lists(rows: list[list[tuple]], fields: tuple) -> pa.ListArray:
+    offsets = [0]
+    for r in rows:
+        offsets.append(offsets[-1] + len(r))
+    cols = list(zip(*(x for r in rows for x in r))) or [()] * len(fields)
+    flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
 def _pages(known: object, min_words: int):
-    """Rows of three sorts: edge lines ("top0" to "top2", "end2" to "end0"), breaks ("cut"), unknown tokens ("token")."""
+    """One row a page that isn't junk: its edge lines ("top0" to "top2", "end2" to "end0"), words cut at line ends, unknown tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure = known.value
         # spellings with marks that have been looked up before
         settled: set[str] = set()
         for batch in batches:
-            rows = []
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for raw_id, source, seq, page, text in zip(*cols):
+            heads, edges, cuts, tokens = [], [], [], []
+            for raw_id, source, seq, page, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 kind = quality.kind_only(text, min_words)
                 if kind is None or kind == "junk":
                     continue
-                head = (raw_id, source, seq, page, kind == "prose")
-                bare = (raw_id, None, None, None, None)
-                lines = _lines(text)
-                full = [i for i, x in enumerate(lines) if x.strip()]
-                edges = {i: f"top{k}" for k, i in enumerate(full[:DEPTH])} | {i: f"end{k}" for k, i in enumerate(full[: -DEPTH - 1 : -1]) if i not in full[:DEPTH]}
-                broken, last = False, full[-1]
                 if len(settled) > 200_000:
                     settled.clear()
+                heads.append((raw_id, source, seq, page, kind == "prose"))
+                unknown = {}
+                for w in set(text.split()) - settled:
+                    t = w.strip(EDGE)
+                    f = form(t) if t else t
+                    if t and f not in sure and len(t) <= LONGEST and any(map(str.isalpha, t)):
+                        unknown[w] = f
+                    else:
+                        settled.add(w)
+                lines = _lines(text)
+                full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+                at_edge = {i: f"top{k}" for k, i in enumerate(full[:DEPTH])} | {i: f"end{k}" for k, i in enumerate(full[: -DEPTH - 1 : -1]) if i not in full[:DEPTH]}
+                own_edges, own_cuts, own_tokens = [], [], []
+                broken = False
                 for at, i in enumerate(full):
                     line = lines[i]
-                    words = line.split()
-                    what = edges.get(i)
-                    m = CUT.search(line) if words[-1][-1] in HYPHENS else None
+                    m = CUT.search(line) if line.rstrip()[-1] in HYPHENS else None
+                    what = at_edge.get(i)
                     if what:
                         trimmed = line.strip()
                         value, decorated = number_of(trimmed)
                         first = NEXT.match(line)
-                        title = skeleton(trimmed)[:120] if what[-1] < "2" and title_like(trimmed) else None
-                        rows.append((*head, i, what, None, title, value, decorated, f"{first.group(1) if first else ''}\t{m.group(1) if m else ''}", None))
+                        title = skeleton(trimmed) if what[-1] < "2" and value is None and title_like(trimmed) else None
+                        own_edges.append((i, what, title, value, decorated, first.group(1) if first else "", m.group(1) if m else ""))
                     if m and at + 1 < len(full):
-                        j = full[at + 1]
-                        n = NEXT.match(lines[j])
+                        n = NEXT.match(lines[full[at + 1]])
                         if n:
-                            rows.append((*bare, i, "cut", m.group(1), None, None, None, n.group(1).strip("'’"), j))
-                    if broken:
-                        del words[0]
-                    if m and words:
-                        words.pop()
-                    for w in words:
-                        if w in sure or w in settled:
-                            continue
-                        t = w.strip(EDGE)
-                        f = form(t) if t else t
-                        if t and f not in sure and len(t) <= 40 and any(map(str.isalpha, t)):
-                            rows.append((*bare, i, "token", f, None, None, None, None, None))
-                        else:
-                            settled.add(w)
-                    broken = m is not None and i != last
-            out = list(zip(*rows)) or [[]] * 13
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[p.split()[0] for p in PAGE.split(", ")])
+                            own_cuts.append((i, m.group(1), n.group(1).strip("'’"), full[at + 1]))
+                    if unknown:
+                        words = line.split()
+                        if not unknown.keys().isdisjoint(words):
+                            # the pieces of cut words are no tokens
+                            words = words[broken : len(words) - (m is not None)]
+                            own_tokens += [(i, f) for f in dict.fromkeys(unknown[w] for w in words if w in unknown)]
+                    broken = m is not None
+                edges.append(own_edges)
+                cuts.append(own_cuts)
+                tokens.append(own_tokens)
+            cols = list(zip(*heads)) or [()] * 5
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(cols, types)), _lists(edges, EDGE_ROW), _lists(cuts, CUT_ROW), _lists(tokens, TOKEN_ROW)],
+                names=["raw_id", "source", "seq", "page", "prose", "edges", "cuts", "tokens"],
+            )
 
     return run
 
 
 def near(line: str, title: str | Column) -> Column:
-    """Whether ``line`` is within a quarter of the title's length; a distance over 16 isn't computed further."""
+    """Whether ``line`` is within a quarter of the title's length."""
     t = F.col(title) if isinstance(title, str) else title
-    distance = F.levenshtein(F.col(line), t, 16)
-    return (F.abs(F.length(line) - F.length(t)) <= F.length(t) / 4) & (distance >= 0) & (distance <= F.greatest(F.lit(1), F.length(t) / 4))
+    most = F.greatest(F.lit(1), F.floor(F.length(t) / 4)).cast("int")
+    return (F.abs(F.length(line) - F.length(t)) <= most) & (F.levenshtein(F.col(line), t) <= most)
+
+
+#: pages of a block in which a title has to come again, and titles of a source that are compared without a join
+BESIDE, LISTED = 16, 16
 
 
-def titles(edges: DataFrame, salts: int = 16, listed: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source, salt, titles) of the most frequent titles, the skeletons that are titles in several sources,
-    and (source, skeleton) of the edge lines that are one of the other titles, or near one.
+def titles(edges: DataFrame, salts: int = 16) -> DataFrame:
+    """(source, skeleton) of the edge lines that are titles, or near one: source, seq, prose, skeleton of edge lines.
 
-    The list is a shortcut that settles most lines without a join; it bounds nothing.
+    A title comes again in its source, on neighbouring pages for half of its occurrences (a line of text comes
+    again by chance, far away), and stands on pages of prose for a third (the last lines of tables repeat too).
+    A title of two sources is one everywhere. Sources of few titles carry them as a list to their lines, those of
+    more are joined by pieces; both ways give the same.
     """
     lines = edges.filter(F.length("skeleton") >= 4)
-    seen = lines.filter(F.length("skeleton") >= 6).groupBy("source", "skeleton").agg(F.count("*").alias("n"), F.sum(F.col("prose").cast("int")).alias("on_prose"))
-    # the last lines of tables repeat too, but they never stand on pages of prose
-    mine = cut(seen.filter("n >= 2 and on_prose * 3 >= n"))
-    many = mine.groupBy("skeleton").agg(F.count("*").alias("n_sources"), F.sum("n").alias("n")).filter("n_sources >= 2").select("skeleton")
-    top = mine.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), F.desc("skeleton")))).filter(F.col("rank") <= listed)
-    by_source = top.groupBy("source").agg(F.collect_list("skeleton").alias("titles"))
-    # lines of text recur by chance in a long source; what runs stands on neighbouring pages: half of it has itself within four
-    placed = lines.join(mine.join(top, ["source", "skeleton"], "left_anti"), ["source", "skeleton"], "left_semi").withColumn("shift", F.explode(F.array(F.lit(0), F.lit(2))))
-    placed = placed.groupBy("source", "skeleton", "shift", F.floor((F.col("seq") + F.col("shift")) / 4).alias("block")).agg(F.countDistinct("raw_id").alias("n"))
-    runs = placed.groupBy("source", "skeleton", "shift").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= 2, F.col("n"))).alias("beside")).filter("beside * 2 >= n")
-    rest = cut(runs.select("source", "skeleton").distinct())
-    others = lines.join(rest.select("source").distinct(), "source", "left_semi").select("source", "skeleton").distinct().join(rest, ["source", "skeleton"], "left_anti")
-    return by_source.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts))))), many, cut(rest.unionByName(near_titles(others, rest)))
+    placed = lines.groupBy("source", "skeleton", F.floor(F.col("seq") / BESIDE).alias("block")).agg(F.count("*").alias("n"), F.sum(F.col("prose").cast("int")).alias("on_prose"))
+    # of the first level every block is one row, so a title on all pages of a hot source is no task's alone
+    beside = F.sum(F.when(F.col("n") >= 2, F.col("n")).otherwise(0))
+    seen = cut(placed.groupBy("source", "skeleton").agg(F.sum("n").alias("n"), F.sum("on_prose").alias("on_prose"), beside.alias("beside")))
+    mine = seen.filter((F.length("skeleton") >= 6) & (F.col("n") >= 2) & (F.col("on_prose") * 3 >= F.col("n")) & (F.col("beside") * 2 >= F.col("n"))).select("source", "skeleton")
+    many = mine.groupBy("skeleton").agg(F.count("*").alias("n")).filter("n >= 2").select("skeleton")
+    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("skeleton"))).filter(F.col("rank") <= LISTED + 1)
+    lists = ranked.groupBy("source").agg(F.collect_list("skeleton").alias("titles"))
+    few = lists.filter(F.size("titles") <= LISTED).withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    salted = seen.select("source", "skeleton", F.pmod(F.xxhash64("skeleton"), F.lit(salts)).cast("int").alias("salt"))
+    listed = salted.join(few, ["source", "salt"]).filter(F.exists("titles", lambda t: near("skeleton", t))).select("source", "skeleton")
+    long = lists.filter(F.size("titles") > LISTED).select("source")
+    joined = near_titles(seen.join(long, "source", "left_semi").select("source", "skeleton"), mine.join(long, "source", "left_semi"))
+    everywhere = seen.join(many, "skeleton", "left_semi").select("source", "skeleton")
+    return listed.unionByName(joined).unionByName(everywhere).distinct()
 
 
 def near_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
@@ -280,12 +324,12 @@ def near_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
     lines and titles meet on the first three characters of the pieces (two, where a piece has no more).
     """
     n = F.length("title")
-    parts = titles.select("source", F.col("skeleton").alias("title")).withColumn("k", F.greatest(F.lit(1), F.least(F.lit(16), F.floor(n / 4))).cast("int"))
+    parts = titles.select("source", F.col("skeleton").alias("title")).withColumn("k", F.greatest(F.lit(1), F.floor(n / 4)).cast("int"))
     parts = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
     parts = parts.withColumn("at", F.expr("cast(i * length(title) div (k + 1) as int) + 1")).withColumn("end", F.expr("cast((i + 1) * length(title) div (k + 1) as int) + 1"))
     parts = parts.withColumn("gram", F.expr("substring(title, at, least(3, end - at))"))
     grams = lines.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("skeleton") - 1)))
-    grams = grams.withColumn("gram", F.explode(F.array(F.expr("substring(skeleton, p, 3)"), F.expr("if(length(skeleton) between 6 and 10, substring(skeleton, p, 2), null)")))).filter("gram is not null")
+    grams = grams.withColumn("gram", F.explode(F.array(F.expr("substring(skeleton, p, 3)"), F.expr("if(length(skeleton) between 4 and 10, substring(skeleton, p, 2), null)")))).filter("gram is not null")
     met = grams.join(parts, ["source", "gram"]).filter((F.abs(F.col("p") - F.col("at")) <= F.col("k")) & near("skeleton", "title"))
     return met.select("source", "skeleton").distinct()
 
@@ -299,73 +343,57 @@ class Scans:
 
 def scan_noise(df: DataFrame, known_words: int = 65_536, min_words: int = 20, salts: int = 16) -> Scans:
     """Noise of the pages of ``df``: raw_id, source, seq, page, page_content (a driver table's column names)."""
-    spark = df.sparkSession
     rows = df.select("raw_id", "source", "seq", "page", "page_content").filter("raw_id is not null and page_content is not null")
     vocabulary = cut(rows.select("page_content").mapInArrow(_vocabulary, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
     misread = cut(misread_tokens(vocabulary))
     # frequent words that aren't misread: at most known_words of them, whatever the corpus
-    known = spark.sparkContext.broadcast(frequent(vocabulary.join(misread, "token", "left_anti"), "token", "n", known_words))
-    pages = rows.filter("page is not null and source is not null and seq is not null")
-    found = cut(pages.mapInArrow(_pages(known, min_words), PAGE))
-
-    edges = found.filter(F.col("what").rlike("^(top|end)")).dropDuplicates(["raw_id", "line_no"])
-    by_source, many, others = titles(edges.filter(F.col("what").isin("top0", "top1", "end0", "end1")), salts)
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("raw_id"), F.lit(salts)).cast("int")).join(by_source, ["source", "salt"], "left").join(many.withColumn("everywhere", F.lit(True)), "skeleton", "left")
-    salted = salted.join(others.withColumn("other", F.lit(True)), ["source", "skeleton"], "left")
-    numbered = edges.filter(F.col("value").isNotNull() & F.col("what").isin("top0", "top1", "end0", "end1")).groupBy("source", (F.col("value") - F.col("page")).alias("offset")).agg(F.countDistinct("raw_id").alias("n_offset"))
-    numbered = numbered.filter("n_offset >= 2").select("source", "offset", F.lit(True).alias("in_sequence"))
-    is_title = F.when(F.length("skeleton") >= 4, F.coalesce("everywhere", "other", F.lit(False)) | F.coalesce(F.exists("titles", lambda t: near("skeleton", t)), F.lit(False))).otherwise(F.lit(False))
-    judged = salted.withColumn("offset", F.col("value") - F.col("page")).join(numbered, ["source", "offset"], "left")
-    is_number = F.col("value").isNotNull() & (F.col("decorated") | (F.col("offset") == 0) | F.coalesce("in_sequence", F.lit(False)))
-    judged = judged.withColumn("noise", F.when(is_number, "page_number").when(is_title, "header"))
-    judged = cut(judged.select("raw_id", "source", "seq", "line_no", "what", "noise", "follows"))
+    known = df.sparkSession.sparkContext.broadcast(frequent(vocabulary.join(misread, "token", "left_anti"), "token", "n", known_words))
+    pages = rows.filter("page is not null and source is not null and seq is not null").mapInArrow(_pages(known, min_words), PAGE)
+    pages = cut(pages.dropDuplicates(["raw_id"]))
+
+    # the two outer lines of either edge: numbers and titles
+    edges = pages.select("raw_id", "source", "seq", "page", "prose", F.explode("edges").alias("e")).filter(F.col("e.what").isin("top0", "top1", "end0", "end1"))
+    marked = edges.filter("e.skeleton is not null").select("raw_id", "source", "seq", "prose", "e.what", "e.line_no", "e.skeleton")
+    headers = marked.join(titles(marked, salts), ["source", "skeleton"], "left_semi").select("raw_id", "what", "line_no", F.lit("header").alias("noise"))
+    numbers = edges.filter("e.value is not null").select("raw_id", "source", (F.col("e.value") - F.col("page")).alias("offset"), "e.decorated", "e.what", "e.line_no")
+    # a bare number counts if it is the page's, or runs with the numbers of other pages
+    running = numbers.groupBy("source", "offset").agg(F.min("raw_id").alias("x"), F.max("raw_id").alias("y")).filter("x < y").select("source", "offset")
+    alone = F.col("decorated") | (F.col("offset") == 0)
+    counted = numbers.filter(alone).drop("decorated").unionByName(numbers.filter(~alone).drop("decorated").join(running, ["source", "offset"], "left_semi"))
+    noted = headers.unionByName(counted.select("raw_id", "what", "line_no", F.lit("page_number").alias("noise")))
+    # at most four a page
+    noted = noted.groupBy("raw_id").agg(F.collect_list(F.struct("what", "line_no", "noise")).alias("noted"))
+
+    none = "cast(array() as array<struct<what string, line_no int, noise string>>)"
+    x = pages.join(noted, "raw_id", "left").withColumn("noted", F.coalesce("noted", F.expr(none)))
     # the second line of an edge counts if the outer one does
-    outer = judged.filter(F.col("noise").isNotNull() & F.col("what").isin("top0", "end0")).select("raw_id", F.substring("what", 1, 3).alias("side"), F.lit(True).alias("outer"))
-    marked = judged.withColumn("side", F.substring("what", 1, 3)).join(outer, ["raw_id", "side"], "left")
-    marked = marked.withColumn("noise", F.when(F.col("what").isin("top0", "end0") | (F.col("what").isin("top1", "end1") & F.coalesce("outer", F.lit(False))), F.col("noise")))
-    heads = cut(marked.filter("noise is not null").select("raw_id", "line_no", "noise"))
-
-    # breaks within a page: the line that follows may be a title at the foot
-    within = found.filter("what = 'cut'").select("raw_id", "line_no", F.col("text").alias("a"), F.col("follows").alias("b"), "b_line").dropDuplicates(["raw_id", "line_no"])
-    gone = heads.select("raw_id", F.col("line_no").alias("b_line"))
-    within = within.join(heads.select("raw_id", "line_no"), ["raw_id", "line_no"], "left_anti").join(gone, ["raw_id", "b_line"], "left_anti")
-    within = within.select("raw_id", "line_no", "a", "b", F.col("raw_id").alias("b_id"), "b_line")
-    # breaks across pages: the last line of text of one page, the first of the next
-    body = marked.filter("noise is null")
-    first = body.groupBy("source", "seq", "raw_id").agg(F.min(F.struct("line_no", F.split("follows", "\t")[0].alias("b"))).alias("f"))
-    last = body.groupBy("source", "seq", "raw_id").agg(F.max(F.struct("line_no", F.split("follows", "\t")[1].alias("a"))).alias("l"))
-    across = (
-        last.filter("l.a <> ''").withColumn("next", F.col("seq") + 1).alias("x").join(first.alias("y"), (F.col("x.source") == F.col("y.source")) & (F.col("x.next") == F.col("y.seq")))
-        .select("x.raw_id", "l.line_no", "l.a", F.col("f.b").alias("b"), F.col("y.raw_id").alias("b_id"), F.col("f.line_no").alias("b_line")).filter("b <> ''")
+    x = x.withColumn("heads", F.expr("filter(noted, m -> right(m.what, 1) = '0' or exists(noted, o -> o.what = concat(left(m.what, 3), '0')))"))
+    x = x.withColumn("gone", F.expr("transform(heads, h -> h.line_no)"))
+    x = x.withColumn("body", F.expr("array_sort(filter(edges, e -> not array_contains(gone, e.line_no)))"))
+    x = cut(
+        x.select(
+            "raw_id", "source", "seq", "heads", F.expr("try_element_at(body, 1)").alias("first"), F.expr("try_element_at(body, -1)").alias("last"),
+            F.expr("filter(cuts, c -> not array_contains(gone, c.line_no) and not array_contains(gone, c.b_line))").alias("cuts"),
+            F.expr("filter(tokens, t -> not array_contains(gone, t.line_no))").alias("tokens"),
+        )
     )
-    breaks = cut(within.unionByName(across.join(within.select("raw_id", "line_no"), ["raw_id", "line_no"], "left_anti")).dropDuplicates(["raw_id", "line_no"]))
-    ab = breaks.select("a", "b").distinct().withColumns({"joined": F.lower(F.concat("a", "b")), "hyphened": F.lower(F.concat("a", F.lit("-"), "b")), "la": F.lower("a"), "lb": F.lower("b")})
-    for key in ("joined", "hyphened", "la", "lb"):
-        ab = ab.join(vocabulary.select(F.col("token").alias(key), F.col("n").alias(f"n_{key}")), key, "left")
-    # a joined form with a misread character is looked up corrected
-    loose = ab.filter("n_joined is null and n_hyphened is null").select(F.explode(F.array(F.concat("a", "b"), F.concat("a", F.lit("-"), "b"))).alias("token"), F.lit(0).cast("long").alias("n")).distinct()
-    fixed = misread_tokens_of(loose, vocabulary)
-    ab = ab.join(fixed.select(F.col("token").alias("j"), F.col("word").alias("w_joined")), F.concat("a", "b") == F.col("j"), "left").join(
-        fixed.select(F.col("token").alias("h"), F.col("word").alias("w_hyphened")), F.concat("a", F.lit("-"), "b") == F.col("h"), "left"
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    # both pieces words, neither form known: two words of a compound; otherwise a cut word
-    compound = (zero("n_hyphened") >= zero("n_joined")) & (zero("n_hyphened") > 0)
-    unknown = (zero("n_hyphened") == 0) & (zero("n_joined") == 0)
-    words = (zero("n_la") >= 20) & (zero("n_lb") >= 20)
-    ab = ab.withColumn("whole", ~compound & ~(unknown & F.col("w_joined").isNull() & (F.col("w_hyphened").isNotNull() | words)))
-    lower = F.col("b").rlike(r"^[\p{Ll}0-9!|†¢$]") | (F.upper("a") == F.col("a"))
-    ab = ab.withColumn("whole", F.col("whole") & lower).select("a", "b", "whole", F.coalesce(F.when(F.col("n_joined").isNull(), F.col("w_joined")), F.when(F.col("n_hyphened").isNull(), F.col("w_hyphened"))).alias("word"))
-    cuts = cut(breaks.join(ab, ["a", "b"]))
+    heads = x.select("raw_id", F.explode("heads").alias("h")).select("raw_id", "h.line_no", "h.noise")
+
+    # words cut within a page, and across pages: the last line of text of one page, the first of the next
+    within = x.select("raw_id", F.explode("cuts").alias("c")).select("raw_id", "c.line_no", "c.a", "c.b", F.col("raw_id").alias("b_id"), "c.b_line")
+    ends = x.filter(F.expr("last.cut <> '' and not exists(cuts, c -> c.line_no = last.line_no)")).select("raw_id", "source", (F.col("seq") + 1).alias("seq"), "last.line_no", F.col("last.cut").alias("a"))
+    starts = x.filter("first.first <> ''").select("source", "seq", F.col("raw_id").alias("b_id"), F.col("first.first").alias("b"), F.col("first.line_no").alias("b_line"))
+    across = ends.join(starts, ["source", "seq"]).select("raw_id", "line_no", "a", "b", "b_id", "b_line").dropDuplicates(["raw_id"])
+    breaks = within.unionByName(across)
+    cuts = cut(breaks.join(cut_words(breaks.select("a", "b").distinct(), vocabulary), ["a", "b"]))
 
     hyphen = cuts.filter("whole").select("raw_id", "line_no", F.lit("hyphen").alias("noise"))
     # where a corrected cut word differs from its pieces: in the first or in the second line
     in_a = ~F.startswith(F.col("word"), F.lower("a"))
     broken = cuts.filter("word is not null").select(F.when(in_a, F.struct("raw_id", "line_no")).otherwise(F.struct(F.col("b_id").alias("raw_id"), F.col("b_line").alias("line_no"))).alias("x")).select("x.*")
-    bad = found.filter("what = 'token'").select("raw_id", "line_no", F.col("text").alias("token")).distinct().join(misread, "token")
+    bad = x.select("raw_id", F.explode("tokens").alias("t")).select("raw_id", "t.line_no", "t.token").join(misread, "token")
     lines = bad.select("raw_id", "line_no").unionByName(broken).distinct()
-    body_lines = lines.join(heads.select("raw_id", "line_no"), ["raw_id", "line_no"], "left_anti")
-    noise = heads.unionByName(hyphen).unionByName(body_lines.withColumn("noise", F.lit("misread"))).dropDuplicates()
+    noise = heads.unionByName(hyphen).unionByName(lines.withColumn("noise", F.lit("misread")))
     none = F.lit(None).cast("string")
     fixes = (
         heads.select("raw_id", "line_no", F.lit("drop").alias("action"), none.alias("a"), none.alias("b"))
@@ -376,11 +404,38 @@ def scan_noise(df: DataFrame, known_words: int = 65_536, min_words: int = 20, sa
     return Scans(noise, fixes)
 
 
-def misread_tokens_of(loose: DataFrame, vocabulary: DataFrame, least: int = 3) -> DataFrame:
-    """token, word for strings that aren't in the vocabulary themselves."""
-    made = loose.mapInArrow(_candidates, "token string, n long, word string")
-    found = made.join(vocabulary.select(F.col("token").alias("word"), F.col("n").alias("n_word")), "word").filter(F.col("n_word") >= least)
-    return found.groupBy("token").agg(F.max_by("word", F.struct("n_word", "word")).alias("word"))
+def cut_words(ab: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """a, b, whole, word: whether the pieces make one word, and its corrected form where a character is misread."""
+    forms = {"joined": F.concat("a", "b"), "hyphened": F.concat("a", F.lit("-"), "b"), "la": F.col("a"), "lb": F.col("b")}
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lower(c).alias("token")) for k, c in forms.items()))).alias("k")
+    counted = ab.select("a", "b", keys).select("a", "b", "k.kind", "k.token").join(vocabulary, "token")
+    count = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"n_{kind}")
+    ab = ab.join(counted.groupBy("a", "b").agg(*map(count, forms)), ["a", "b"], "left").fillna(0, [f"n_{k}" for k in forms])
+    ab = cut(ab)
+    # a joined form with a misread character is looked up corrected
+    loose = ab.filter("n_joined = 0 and n_hyphened = 0").select("a", "b").mapInArrow(_corrected, "a string, b string, kind string, word string")
+    loose = loose.join(vocabulary.filter("n >= 3").withColumnRenamed("token", "word"), "word")
+    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("n", "word")))["word"].alias(f"w_{kind}")
+    ab = ab.join(loose.groupBy("a", "b").agg(best("joined"), best("hyphened")), ["a", "b"], "left")
+    # both pieces words, neither form known: two words of a compound; otherwise a cut word
+    compound = (F.col("n_hyphened") >= F.col("n_joined")) & (F.col("n_hyphened") > 0)
+    unknown = (F.col("n_hyphened") == 0) & (F.col("n_joined") == 0)
+    words = (F.col("n_la") >= 20) & (F.col("n_lb") >= 20)
+    whole = ~compound & ~(unknown & F.col("w_joined").isNull() & (F.col("w_hyphened").isNotNull() | words))
+    lower = F.col("b").rlike(r"^[\p{Ll}0-9!|†¢$]") | (F.upper("a") == F.col("a"))
+    return ab.select("a", "b", (whole & lower).alias("whole"), F.coalesce("w_joined", "w_hyphened").alias("word"))
+
+
+def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that the pieces, joined or hyphenated, may stand for."""
+    for batch in batches:
+        rows = [
+            (a, b, kind, word)
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for kind, token in (("joined", a + b), ("hyphened", f"{a}-{b}"))
+            for word in undone(token)
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * 4], names=["a", "b", "kind", "word"])
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -227,14 +227,14 @@ def test_pages_beyond_9999(spark):
 
 def test_any_number_of_titles(spark):
     r = random.Random(8)
-    names = [" ".join(r.choice(NOUNS).capitalize() + r.choice("aeou") * 2 for _ in range(3)) for _ in range(14)]
-    rows = [(i, "merged.pdf", i, i + 1, "\n".join([names[i // 4], *(sentence(r) for _ in range(6))])) for i in range(56)]
+    names = [" ".join(r.choice(NOUNS).capitalize() + r.choice("aeou") * 2 for _ in range(3)) for _ in range(22)]
+    rows = [(i, "merged.pdf", i, i + 1, "\n".join([names[i // 4], *(sentence(r) for _ in range(6))])) for i in range(88)]
     # the last page of every title has one letter more
     rows = [(*x[:4], x[4].replace(" ", "q ", 1)) if x[0] % 4 == 3 else x for x in rows]
-    # lines that come again far from each other are text
-    rows += [(60 + i, "merged.pdf", 60 + i, 61 + i, "\n".join([f"Students of {NOUNS[i % 10].upper() * 3} meet", *(sentence(r) for _ in range(6))])) for i in range(20)]
+    # lines that come again far from each other are text: two of them, every 40 pages
+    rows += [(100 + i, "merged.pdf", 100 + 20 * i, 101 + i, "\n".join([f"Students of {NOUNS[i % 2].upper() * 3} meet", *(sentence(r) for _ in range(6))])) for i in range(20)]
     noise = {(x.raw_id, x.line_no, x.noise) for x in scans.scan_noise(spark.createDataFrame(rows, "raw_id long, source string, seq int, page int, page_content string")).noise.collect()}
-    assert {x for x in noise if x[2] == "header"} == {(i, 0, "header") for i in range(56)}
+    assert {x for x in noise if x[2] == "header"} == {(i, 0, "header") for i in range(88)}
 
 
 def test_near_titles_against_all_pairs(spark):
