@@ -2,21 +2,21 @@
 
 Every mask is laid at every word position; the words at its ones are hashed, those
 at its zeros are ignored, so a changed word under a zero doesn't break the seed.
-The hashes of the passages form a sorted table (its size is that of the held-out
-set, which is checked before it is sent to the workers); corpus texts look theirs
-up, and around the hits the longest tolerant overlap is found by chaining the
-equal runs of passage and text.
+The hashes of the corpus are joined with those of the passages, hits are counted by
+document and passage, and the pairs that every mask hits as often as the tolerance
+demands are verified: around the hits the longest tolerant overlap is found by
+chaining the equal runs of passage and text. A bit table of the passages' hashes, of
+a fixed largest size, keeps most positions of the corpus out of the join.
 
 Defined cases: null and empty texts and passages take part in nothing; an opening
-sentence that many passages share (an instruction) is cut off first; repeated rows
-and repeated passages are reported once; empty tables give an empty result; other
-columns are ignored.
+sentence that many passages share (an instruction, counted over all passages) is cut
+off first; repeated rows and repeated passages are reported once; empty tables give
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .words import MIX, code_batch, mix
 
-#: the first finds every overlap with at most one edit in seven words (some run of five is whole); the others
-#: see through substitutions
-MASKS = ("11111", "1101011", "1110111", "11011011")
-#: above this the held-out set is joined in blocks instead of being sent whole
-BLOCK_PASSAGES = 20_000
+#: all of one length, with one word in five ignored
+MASKS = ("11011", "10111", "11101")
+SPAN = 5
+#: bits to a hash in the bit table, and the most bits (as a power of two: 16 MB)
+BITS_EACH, MOST_BITS = 64, 27
+#: parts that a hash of many documents is dealt out to
+SALTS = 8
+
+
+def least_hits(least: int, per: int) -> int:
+    """How often each mask hits an overlap of ``least`` words or more with at most one edit in ``per``.
+
+    n words with e edits leave n - e equal ones in at most e + 1 runs, and so n - e - (e + 1)(span - 1) places
+    where a mask lies on equal words alone; places with a changed word under a zero come on top.
+    """
+    return max(1, min(n - n // per - (n // per + 1) * (SPAN - 1) for n in range(least, 8 * least)))
 
 
 def seeds(codes: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,101 +84,176 @@ def overlap(p: np.ndarray, d: np.ndarray, least: int, per: int) -> tuple[int, in
     Stretches begin and end with equal runs; between two runs of a chain the edits are the longer gap.
     Returns (words of p, edits), or None.
     """
-    # a run of one word counts only between larger ones, where it is near a diagonal; two words start a chain
+    # two words start a chain; a run of one word counts where it is near the diagonal of a longer one
     segs = sorted(runs(p, d, 2))
+    most = max(1, len(p) // per)
     ones = [r for r in runs(p, d, 1) if r[2] == 1] if segs else []
     if ones:
         near = {a[1] - a[0] + s for a in segs if a[2] >= 4 for s in range(-3, 4)}
-        segs = sorted(segs + [r for r in ones if r[1] - r[0] in near])
+        wide = sorted(segs + [r for r in ones if r[1] - r[0] in near])
+        found = _chain(wide, len(p), least, per, most)
+        if found is None:
+            near = {a[1] - a[0] + s for a in segs if a[2] >= 3 for s in range(-most, most + 1)}
+            found = _chain(sorted(segs + [r for r in ones if r[1] - r[0] in near]), len(p), least, per, most)
+        return found
+    return _chain(segs, len(p), least, per, most)
+
+
+def _chain(segs: list[tuple[int, int, int]], n_passage: int, least: int, per: int, most: int) -> tuple[int, int] | None:
     best = None
+    # the least number of edits of each chain, by its first and last run
     for s, (pi, di, n) in enumerate(segs):
-        if n < 2:
+        if n < 2 or n_passage - pi < least or best and n_passage - pi <= best[0]:
             continue
-        # score: words of the stretch less ``per`` for each edit
-        score = {s: (n, 0)}
+        edits_to = {s: 0}
         for t in range(s, len(segs)):
-            if t not in score:
+            if t not in edits_to:
                 continue
-            got, edits = score[t]
+            edits = edits_to[t]
             a, b, m = segs[t]
+            got = a + m - pi
             if got >= least and edits * per <= got and (best is None or got > best[0]):
                 best = (got, edits)
             for u in range(t + 1, len(segs)):
                 x, y, k = segs[u]
-                if x - (a + m) > 12:
+                if x - (a + m) > most:
                     break
                 # overlapping ends are given to the earlier run
-                cut = max(0, a + m - x, b + m - y)
-                x, y, k = x + cut, y + cut, k - cut
-                if k <= 0 or y - (b + m) > 12 or y < b + m:
+                over = max(0, a + m - x, b + m - y)
+                x, y, k = x + over, y + over, k - over
+                if k <= 0 or y - (b + m) > most:
                     continue
                 e = edits + max(x - (a + m), y - (b + m))
-                w = x + k - pi
-                if w - e * per < -2 * per:
+                # not even a passage that goes on unchanged would make up for so many edits
+                if e * per > n_passage - pi:
                     continue
-                old = score.get(u)
-                if old is None or w - per * e > old[0] - per * old[1]:
-                    score[u] = (w, e)
+                if e < edits_to.get(u, e + 1):
+                    edits_to[u] = e
     return best
 
 
-def _scan(items: list[int], words: list[np.ndarray], least: int, per: int):
-    counts = np.array([len(w) for w in words], np.int64)
-    codes = np.concatenate([*words, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(words)), counts)
-    pairs = [seeds(codes, counts, m, i) for i, m in enumerate(MASKS)]
-    hashes = np.concatenate([h for h, _ in pairs])
-    owners = np.concatenate([owner[at] for _, at in pairs])
-    order = np.argsort(hashes, kind="stable")
-    hashes, owners = hashes[order], owners[order]
-    #: one bit per low part of a hash: most positions of the corpus are settled by it
-    bits = max(20, int(len(hashes)).bit_length() + 4)
-    sieve = np.zeros(1 << bits, bool)
+SENTENCE = re.compile(r"^\s*(.{10,200}?[.!?:])\s+(?=\S)", re.S)
+
+
+def head_of(passage: str) -> str | None:
+    m = SENTENCE.match(passage)
+    return m.group(1).lower() if m else None
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([head_of(p) for p in batch.column(0).to_pylist()], pa.string())], names=["head"])
+
+
+def instructions(passages: DataFrame, text: str, share: float = 0.02) -> frozenset[str]:
+    """The opening sentences that at least ``share`` of all passages (three or more) begin with: 1 / share of them at most."""
+    heads = passages.select(text).mapInArrow(_heads, "head string").groupBy("head").agg(F.count("*").alias("n"))
+    total = passages.count()
+    return frozenset(r.head for r in heads.filter((F.col("n") >= max(3, share * total)) & F.col("head").isNotNull()).collect())
+
+
+def without_instruction(passage: str, often: frozenset[str]) -> str:
+    return SENTENCE.sub("", passage, count=1) if head_of(passage) in often else passage
+
+
+def _bare(often: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bare = [without_instruction(p, often) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bare, pa.string())], names=["item_id", "passage"])
+
+    return run
+
+
+def _passage_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, mask, hash of each mask at all places of a passage, equal ones once."""
+    for batch in batches:
+        ids = np.asarray(batch.column(0).to_pylist(), np.int64)
+        codes, counts = code_batch(batch.column(1).to_pylist())
+        owner = np.repeat(np.arange(len(counts)), counts)
+        for i, mask in enumerate(MASKS):
+            h, at = seeds(codes, counts, mask, i)
+            pairs = np.unique(np.stack([owner[at].astype(np.int64), h.view(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[0]]), pa.array(np.full(pairs.shape[1], i, np.int32)), pa.array(pairs[1])], names=["item_id", "mask", "hash"])
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64((1 << bits) - 1)
-    sieve[hashes & low] = True
-    #: L words with e edits leave L - e equal ones in at most e + 1 runs, so at least L - e - (e + 1)(w - 1) windows of w
-    w = len(MASKS[0])
-    enough = max(1, min(n - n // per - (n // per + 1) * (w - 1) for n in range(least, 8 * least)))
+    return hashes & low, (hashes >> np.uint64(32)) & low
+
+
+def _fold(bits: int, ready: bool):
+    """Partial bit tables of the hashes (or of partial tables) of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            if ready:
+                for x in batch.column(0).to_pylist():
+                    out |= np.frombuffer(x, np.uint8)
+            else:
+                for places in _places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
+                    np.bitwise_or.at(out, places >> np.uint64(3), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+def bit_table(hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """The bits of the hashes, as a power of two and a table of bytes; at most 2 ** MOST_BITS bits whatever their number."""
+    bits = min(MOST_BITS, max(16, (hashes.count() * BITS_EACH).bit_length()))
+    parts = hashes.mapInArrow(_fold(bits, False), "bits binary").coalesce(4).mapInArrow(_fold(bits, True), "bits binary").collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts:
+        out |= np.frombuffer(r.bits, np.uint8)
+    return bits, out
+
+
+def _corpus_seeds(table: object, need: int):
+    """doc_id, hash, n of the corpus's places that the bit table lets through, of documents that every mask hits often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sieve = table.value
+        known = np.unpackbits(sieve, bitorder="little").view(bool) if bits <= 25 else None
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            a, b = _places(h, bits)
+            if known is not None:
+                maybe = np.flatnonzero(known[a])
+                return maybe[known[b[maybe]]]
+            of = lambda x: (sieve[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
+            return np.flatnonzero(of(a) & of(b))
+
         for batch in batches:
-            found: list[tuple[int, int, int, int]] = []
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = part.column(0).to_pylist()
-                text_codes, n = code_batch([t or "" for t in part.column(1).to_pylist()])
+                ids = np.asarray(part.column(0).to_pylist(), np.int64)
+                codes, n = code_batch(part.column(1).to_pylist())
                 doc = np.repeat(np.arange(len(n)), n)
-                starts = np.r_[0, np.cumsum(n)]
-                where: dict[tuple[int, int], list[int]] = {}
-                whole: Counter = Counter()
-                for i, m in enumerate(MASKS):
-                    h, at = seeds(text_codes, n, m, i)
-                    maybe = np.flatnonzero(sieve[h & low])
-                    a, b = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
-                    for q, x, y in zip(at[maybe], a, b):
-                        for o in set(owners[x:y].tolist()):
-                            where.setdefault((int(doc[q]), o), []).append(int(q))
-                            whole[int(doc[q]), o] += i == 0
-                for (d, o), q in sorted(where.items()):
-                    if whole[d, o] < enough:
-                        continue
-                    p = words[o]
-                    # the stretch of the text around the hits; hits far apart are looked at one by one
-                    q.sort()
-                    groups, last = [[q[0], q[0]]], len(p) + 16
-                    for x in q[1:]:
-                        if x - groups[-1][1] > last:
-                            groups.append([x, x])
-                        groups[-1][1] = x
-                    best = None
-                    for x, y in groups:
-                        w = text_codes[max(starts[d], x - last) : min(starts[d + 1], y + last)]
-                        got = overlap(p, w, least, per)
-                        if got and (best is None or got[0] > best[0]):
-                            best = got
-                    if best:
-                        found.append((ids[d], items[o], *best))
-            cols = list(zip(*found)) or [[]] * 4
+                hits, enough = [], np.ones(len(n), bool)
+                for i, mask in enumerate(MASKS):
+                    h, at = seeds(codes, n, mask, i)
+                    k = passes(h)
+                    hits.append((doc[at[k]], h[k]))
+                    enough &= np.bincount(hits[-1][0], minlength=len(n)) >= need
+                d, h = np.concatenate([x for x, _ in hits]), np.concatenate([x for _, x in hits])
+                keep = enough[d]
+                pairs, times = np.unique(np.stack([d[keep].astype(np.int64), h[keep].view(np.int64)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[0]]), pa.array(pairs[1]), pa.array(times.astype(np.int64))], names=["doc_id", "hash", "n"])
+
+    return run
+
+
+def _verify(least: int, per: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc_id, item_id, text, passage in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                codes, counts = code_batch([passage, text])
+                got = best_overlap(codes[: counts[0]], codes[counts[0] :], least, per)
+                if got:
+                    found.append((doc_id, item_id, *got))
+            cols = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
                 names=["doc_id", "item_id", "n_words", "n_edits"],
@@ -175,33 +262,36 @@ def _scan(items: list[int], words: list[np.ndarray], least: int, per: int):
     return run
 
 
-SENTENCE = re.compile(r"^\s*(.{10,200}?[.!?:])\s+(?=\S)", re.S)
-
-
-def without_instruction(passages: list[str], share: float = 0.02) -> list[str]:
-    """The passages without an opening sentence that at least ``share`` of them (three or more) begin with."""
-    heads = [m.group(1).lower() if (m := SENTENCE.match(p)) else None for p in passages]
-    often = {h for h, n in Counter(heads).items() if h and n >= max(3, share * len(passages))}
-    return [SENTENCE.sub("", p, count=1) if h in often else p for p, h in zip(passages, heads)]
+def best_overlap(p: np.ndarray, d: np.ndarray, least: int, per: int) -> tuple[int, int] | None:
+    """The longest tolerant overlap of a passage and a text, looked for around the hits of the masks."""
+    places = []
+    for i, mask in enumerate(MASKS):
+        h, _ = seeds(p, np.array([len(p)]), mask, i)
+        g, at = seeds(d, np.array([len(d)]), mask, i)
+        places.append(at[np.isin(g, h)])
+    q = np.unique(np.concatenate(places))
+    if not len(q):
+        return None
+    # the reach of an overlap around a hit; hits farther apart are looked at one by one
+    reach = len(p) + len(p) // per + SPAN
+    groups = np.split(q, np.flatnonzero(np.diff(q) > reach) + 1)
+    found = [got for g in groups if (got := overlap(p, d[max(0, g[0] - reach) : g[-1] + reach], least, per))]
+    return max(found, default=None, key=lambda x: (x[0], -x[1]))
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, held_out: DataFrame, item_id: str, passage: str, least: int = 24, per: int = 7) -> DataFrame:
-    """doc_id, item_id, n_words, n_edits of every leak; the held-out set is taken in blocks of ``BLOCK_PASSAGES``."""
-    rows = held_out.select(F.col(item_id).alias("i"), F.col(passage).alias("p")).filter("i is not null and p is not null").dropDuplicates(["i"])
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    out, block = None, []
-
-    def scan(block: list) -> DataFrame:
-        passages = without_instruction([r.p for r in block])
-        codes, counts = code_batch(passages)
-        words = np.split(codes, np.cumsum(counts)[:-1]) if len(counts) else []
-        return corpus.mapInArrow(_scan([r.i for r in block], words, least, per), "doc_id long, item_id long, n_words int, n_edits int")
-
-    for row in rows.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK_PASSAGES:
-            out = scan(block) if out is None else out.unionByName(scan(block))
-            block = []
-    if block or out is None:
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "n_edits")).alias("x")).select("doc_id", "item_id", "x.n_words", "x.n_edits")
+    """doc_id, item_id, n_words, n_edits of every leak."""
+    rows = held_out.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage")).filter("item_id is not null and passage is not null").dropDuplicates(["item_id"])
+    items = cut(rows.mapInArrow(_bare(instructions(rows, "passage")), "item_id long, passage string"))
+    known = cut(items.mapInArrow(_passage_seeds, "item_id long, mask int, hash long"))
+    corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(known.select("hash")))
+    need = least_hits(least, per)
+    places = corpus.mapInArrow(_corpus_seeds(table, need), "doc_id long, hash long, n long").withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
+    met = places.join(known.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["hash", "salt"])
+    # an item repeats a text where every mask hits often enough; repeated rows of a document count again, which only adds candidates
+    counted = met.groupBy("doc_id", "item_id").agg(*(F.sum(F.when(F.col("mask") == i, F.col("n"))).alias(f"n{i}") for i in range(len(MASKS))))
+    pairs = cut(counted.filter(" and ".join(f"n{i} >= {need}" for i in range(len(MASKS)))).select("doc_id", "item_id"))
+    wide = pairs.join(corpus, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "passage")
+    out = wide.mapInArrow(_verify(least, per), "doc_id long, item_id long, n_words int, n_edits int")
+    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("n_edits")).alias("less"))).alias("x")).select("doc_id", "item_id", "x.n_words", (-F.col("x.less")).alias("n_edits"))

@@ -424,10 +424,36 @@ def test_leaks(spark):
     held = spark.createDataFrame([(i, "Read the passage. " + " ".join(w)) for i, w in items.items()] + [(9, None)], "item_id long, passage string")
     got = leakage.leaks(docs, "doc_id", "text", held, "item_id", "passage").collect()
     assert {(g.doc_id, g.item_id) for g in got} == want and len(got) == len(want)
+    # the hits of the masks alone decide what is verified, and other masks would do
     assert leakage.leaks(docs, "doc_id", "text", held.limit(0), "item_id", "passage").count() == 0
     assert leakage.leaks(docs.limit(0), "doc_id", "text", held, "item_id", "passage").count() == 0
 
 
+def test_every_run_of_five_broken(spark):
+    r = random.Random(25)
+    passage = [f"w{r.randrange(4000)}" for _ in range(80)]
+    copy = [w if k % 5 != 4 else "changed" for k, w in enumerate(passage[10:60])]
+    docs = spark.createDataFrame([(1, " ".join(["before"] * 20 + copy + ["after"] * 20))], "doc_id long, text string")
+    held = spark.createDataFrame([(7, " ".join(passage))], "item_id long, passage string")
+    got = leakage.leaks(docs, "doc_id", "text", held, "item_id", "passage", per=4).collect()
+    assert [(x.doc_id, x.item_id, x.n_words, x.n_edits) for x in got] == [(1, 7, 49, 9)]
+    assert leakage.leaks(docs, "doc_id", "text", held, "item_id", "passage").count() == 0
+
+
+def test_overlap_over_wide_gaps():
+    p = np.arange(1, 200, dtype=np.uint64)
+    d = np.concatenate([p[:100], np.arange(1000, 1014, dtype=np.uint64), p[100:]])
+    assert leakage.best_overlap(p, d, 24, 7) == (199, 14)
+    pieces = [p[0:2], p[3:5], p[6:8], p[9:11], p[12:28]]
+    broken = np.concatenate([x for k, q in enumerate(pieces) for x in (q, np.array([5000 + k], np.uint64))])
+    assert leakage.best_overlap(p[:28], broken, 24, 7) == (28, 4)
+
+
+def test_instructions_are_counted_over_all_passages(spark):
+    rows = [(i, f"Read the passage and answer. Item {i} says this.") for i in range(30)] + [(100 + i, f"Opening {i} of its own. And more text.") for i in range(30)]
+    assert leakage.instructions(spark.createDataFrame(rows, "i long, passage string").repartition(6), "passage") == {"read the passage and answer."}
+
+
 # ---- 9
 
 
