@@ -60,43 +60,58 @@ def seeds(codes: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tupl
     return mix(h[at]), at
 
 
-def runs(p: np.ndarray, d: np.ndarray, least: int = 1) -> list[tuple[int, int, int]]:
-    """Maximal equal runs (start in p, start in d, length) of two word sequences, as diagonals of their equality."""
-    order = np.argsort(d, kind="stable")
-    lo, hi = np.searchsorted(d[order], p, "left"), np.searchsorted(d[order], p, "right")
+def matches(p: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions at which two sequences are equal."""
+    order = np.argsort(p, kind="stable")
+    q = p[order]
+    # most of ``d`` is settled by a table of low bits
+    low = np.uint64((1 << max(10, len(p).bit_length() + 4)) - 1)
+    sieve = np.zeros(int(low) + 1, bool)
+    sieve[p & low] = True
+    at = np.flatnonzero(sieve[d & low])
+    lo, hi = np.searchsorted(q, d[at], "left"), np.searchsorted(q, d[at], "right")
     n = hi - lo
-    i = np.repeat(np.arange(len(p)), n)
-    j = order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+    return order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())], np.repeat(at, n)
+
+
+def runs(p: np.ndarray, d: np.ndarray, bands: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """Maximal equal runs (start in p, start in d, length) of two word sequences on the diagonals in ``bands``."""
+    i, j = matches(p, d)
     diag = j - i
+    if bands is not None:
+        inside = np.zeros(len(diag), bool)
+        for x, y in bands:
+            inside |= (diag >= x) & (diag <= y)
+        i, j, diag = i[inside], j[inside], diag[inside]
     o = np.lexsort((i, diag))
     i, j, diag = i[o], j[o], diag[o]
     if not len(i):
-        return []
+        return np.empty((0, 3), np.int64)
     first = np.flatnonzero(np.r_[True, (np.diff(diag) != 0) | (np.diff(i) != 1)])
-    length = np.diff(np.r_[first, len(i)])
-    keep = length >= least
-    return list(zip(i[first[keep]].tolist(), j[first[keep]].tolist(), length[keep].tolist()))
+    return np.stack([i[first], j[first], np.diff(np.r_[first, len(i)])], axis=1)
 
 
-def overlap(p: np.ndarray, d: np.ndarray, least: int, per: int) -> tuple[int, int] | None:
+def overlap(p: np.ndarray, d: np.ndarray, least: int, per: int, bands: list[tuple[int, int]] | None = None) -> tuple[int, int] | None:
     """The longest stretch of ``p`` in ``d`` with at most one edit in ``per`` words and ``least`` words or more.
 
-    Stretches begin and end with equal runs; between two runs of a chain the edits are the longer gap.
+    Stretches begin and end with equal runs; between two runs of a chain the edits are the longer gap. The runs of a
+    stretch differ by its edits in their diagonals at most, so ``bands`` tell where to look.
     Returns (words of p, edits), or None.
     """
-    # two words start a chain; a run of one word counts where it is near the diagonal of a longer one
-    segs = sorted(runs(p, d, 2))
+    all_ = runs(p, d, bands)
+    # some ``least`` words of a stretch have at most twice the tolerated edits (it may be nearly twice as long)
+    covered = np.zeros(len(p) + 1, np.int64)
+    np.add.at(covered, all_[:, 0], 1)
+    np.add.at(covered, np.minimum(all_[:, 0] + all_[:, 2], len(p)), -1)
+    sums = np.r_[0, np.cumsum(np.cumsum(covered[:-1]) > 0)]
+    if len(p) < least or (sums[least:] - sums[:-least]).max() < least - 2 * least // per:
+        return None
     most = max(1, len(p) // per)
-    ones = [r for r in runs(p, d, 1) if r[2] == 1] if segs else []
-    if ones:
-        near = {a[1] - a[0] + s for a in segs if a[2] >= 4 for s in range(-3, 4)}
-        wide = sorted(segs + [r for r in ones if r[1] - r[0] in near])
-        found = _chain(wide, len(p), least, per, most)
-        if found is None:
-            near = {a[1] - a[0] + s for a in segs if a[2] >= 3 for s in range(-most, most + 1)}
-            found = _chain(sorted(segs + [r for r in ones if r[1] - r[0] in near]), len(p), least, per, most)
-        return found
-    return _chain(segs, len(p), least, per, most)
+    segs = sorted(map(tuple, all_[all_[:, 2] >= 2].tolist()))
+    ones = all_[all_[:, 2] == 1].tolist() if segs else []
+    # a run of one word counts within the edits of a longer one
+    near = {a[1] - a[0] + s for a in segs for s in range(-most, most + 1)}
+    return _chain(sorted(segs + [tuple(r) for r in ones if r[1] - r[0] in near]), len(p), least, per, most)
 
 
 def _chain(segs: list[tuple[int, int, int]], n_passage: int, least: int, per: int, most: int) -> tuple[int, int] | None:
@@ -244,15 +259,58 @@ def _corpus_seeds(table: object, need: int):
     return run
 
 
+def _bands(passages: list[np.ndarray], texts: list[np.ndarray], need: int, per: int) -> list[list[tuple[int, int]]]:
+    """For each pair of word sequences the diagonals near which every mask hits ``need`` times or more.
+
+    All pairs at once: the seeds of a pair are made its own by its number.
+    """
+    n_p, n_d = np.array([len(x) for x in passages]), np.array([len(x) for x in texts])
+    p, d = np.concatenate(passages), np.concatenate(texts)
+    of_p, of_d = np.repeat(np.arange(len(n_p)), n_p), np.repeat(np.arange(len(n_d)), n_d)
+    from_p, from_d = np.r_[0, np.cumsum(n_p)[:-1]], np.r_[0, np.cumsum(n_d)[:-1]]
+    most = np.maximum(1, n_p // per)
+    wide = int(n_p.max() + n_d.max() + most.max() + 1)
+    out: list[list[list[tuple[int, int]]]] = []
+    for k, mask in enumerate(MASKS):
+        h, at = seeds(p, n_p, mask, k)
+        g, by = seeds(d, n_d, mask, k)
+        i, j = matches(h ^ mix(of_p[at].astype(np.uint64)), g ^ mix(of_d[by].astype(np.uint64)))
+        i, j = at[i], by[j]
+        pair = of_p[i]
+        places = np.sort(pair * (2 * wide) + (j - from_d[pair]) - (i - from_p[pair]) + wide)
+        pair = places // (2 * wide)
+        n = np.searchsorted(places, places + most[pair], "right") - np.arange(len(places))
+        good = n >= need
+        found: list[list[tuple[int, int]]] = [[] for _ in passages]
+        for q, x in zip(pair[good].tolist(), (places - pair * (2 * wide) - wide)[good].tolist()):
+            # runs that no mask hits may lie on lower diagonals too
+            own, w = found[q], int(most[q])
+            if own and x - w <= own[-1][1]:
+                own[-1] = (own[-1][0], x + w)
+            else:
+                own.append((x - w, x + w))
+        out.append(found)
+    # a stretch lies in a range of every mask's: any one of them will do for the search
+    return [min(own, key=lambda b: sum(y - x for x, y in b)) if all(own) else [] for own in zip(*out)]
+
+
 def _verify(least: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        need = least_hits(least, per)
         for batch in batches:
             found = []
-            for doc_id, item_id, text, passage in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                codes, counts = code_batch([passage, text])
-                got = best_overlap(codes[: counts[0]], codes[counts[0] :], least, per)
-                if got:
-                    found.append((doc_id, item_id, *got))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids, items, texts, passages = (part.column(i).to_pylist() for i in range(4))
+                # a document or passage of many pairs is taken apart once
+                known = {t: i for i, t in enumerate(dict.fromkeys(texts + passages))}
+                codes, counts = code_batch(list(known))
+                words = np.split(codes, np.cumsum(counts)[:-1])
+                p, d = [words[known[t]] for t in passages], [words[known[t]] for t in texts]
+                for k, bands in enumerate(_bands(p, d, need, per)):
+                    got = overlap(p[k], d[k], least, per, bands) if bands else None
+                    if got:
+                        found.append((ids[k], items[k], *got))
             cols = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
@@ -262,23 +320,6 @@ def _verify(least: int, per: int):
     return run
 
 
-def best_overlap(p: np.ndarray, d: np.ndarray, least: int, per: int) -> tuple[int, int] | None:
-    """The longest tolerant overlap of a passage and a text, looked for around the hits of the masks."""
-    places = []
-    for i, mask in enumerate(MASKS):
-        h, _ = seeds(p, np.array([len(p)]), mask, i)
-        g, at = seeds(d, np.array([len(d)]), mask, i)
-        places.append(at[np.isin(g, h)])
-    q = np.unique(np.concatenate(places))
-    if not len(q):
-        return None
-    # the reach of an overlap around a hit; hits farther apart are looked at one by one
-    reach = len(p) + len(p) // per + SPAN
-    groups = np.split(q, np.flatnonzero(np.diff(q) > reach) + 1)
-    found = [got for g in groups if (got := overlap(p, d[max(0, g[0] - reach) : g[-1] + reach], least, per))]
-    return max(found, default=None, key=lambda x: (x[0], -x[1]))
-
-
 def leaks(docs: DataFrame, doc_id: str, text: str, held_out: DataFrame, item_id: str, passage: str, least: int = 24, per: int = 7) -> DataFrame:
     """doc_id, item_id, n_words, n_edits of every leak."""
     rows = held_out.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage")).filter("item_id is not null and passage is not null").dropDuplicates(["item_id"])

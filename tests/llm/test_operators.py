@@ -443,10 +443,10 @@ def test_every_run_of_five_broken(spark):
 def test_overlap_over_wide_gaps():
     p = np.arange(1, 200, dtype=np.uint64)
     d = np.concatenate([p[:100], np.arange(1000, 1014, dtype=np.uint64), p[100:]])
-    assert leakage.best_overlap(p, d, 24, 7) == (199, 14)
+    assert leakage.overlap(p, d, 24, 7) == (199, 14)
     pieces = [p[0:2], p[3:5], p[6:8], p[9:11], p[12:28]]
     broken = np.concatenate([x for k, q in enumerate(pieces) for x in (q, np.array([5000 + k], np.uint64))])
-    assert leakage.best_overlap(p[:28], broken, 24, 7) == (28, 4)
+    assert leakage.overlap(p[:28], broken, 24, 7) == (28, 4)
 
 
 def test_instructions_are_counted_over_all_passages(spark):
