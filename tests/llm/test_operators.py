@@ -484,6 +484,32 @@ def test_garbled_pairs_of_capitals(original):
     assert mojibake.restore("DER ÃŸE UND ЕЇ") == ("DER ÃŸE UND ЕЇ", 0, True)
 
 
+@pytest.mark.parametrize(
+    "original, wrote, read",
+    [
+        ("Привет, как дела", "utf-8", "latin-1"), ("Привет мир", "utf-8", "cp1252"), ("Привет", "utf-8", "cp1251"), ("Καλημέρα κόσμε", "utf-8", "cp1252"), ("Ελλάδα και", "utf-8", "mac_roman"),
+        ("Xin chào các bạn, tiếng Việt", "utf-8", "cp1252"), ("great 😀 news", "utf-8", "latin-1"), ("你好世界 ok", "utf-8", "latin-1"), ("日本語テキスト", "utf-8", "cp1252"), ("שלום עולם", "utf-8", "cp1252"),
+        ("naïve café", "utf-8", "koi8_r"), ("Le café est fermé au señor", "cp1252", "cp437"), ("Le café est fermé", "cp1252", "cp1251"), ("Привет как дела", "koi8_r", "cp1251"), ("może słowo", "cp1250", "cp1252"),
+    ],
+)
+def test_all_pairs_and_scripts(original, wrote, read):
+    fixed, n, whole = mojibake.restore("Plain text: " + mojibake.decode(original.encode(wrote), read) + ".")
+    assert n > 0 and whole and fixed == f"Plain text: {original}."
+
+
+def test_half_restored_text_says_so():
+    fixed, n, whole = mojibake.restore(mojibake.decode("El café está allí mañana".encode("mac_roman"), "cp1252"))
+    assert n > 0 and not whole and fixed == "El café está all’ mañana"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["CAFÉ” and CAFÉ…", "«café…” dit", "группа «В» и НАТО", "В этом году ё-моё", "Él dijo: —Ámalo…", "m³/s CO₂ 5µm kΩ", "ÀÉ", "naïve Œuvre", "“École’s”", "l’École d’Été", "½ cup – 10°C", "αβγ-globulin", "Привет, мир", "iPhoneÉ", "日本語 你好 😀", "שלום"],
+)
+def test_writing_of_all_scripts_stays(text):
+    assert mojibake.restore(text) == (text, 0, True)
+
+
 def test_repair_rows(spark):
     df = spark.createDataFrame([(1, "cafÃ©"), (2, None), (3, ""), (4, "café")], "i long, t string")
     assert [(r.id, r.restored) for r in mojibake.repair(df, "i", "t").collect()] == [(1, "café")]
