@@ -3,8 +3,11 @@
 A record is the sequence of its words. For each of ``sketches`` random orders of
 the k-mers the ``samples`` least occurrence-labelled k-mers are taken and kept in
 the order in which they stand in the text; two records with one such tuple in
-common are candidates. Candidates are verified by a banded alignment of their
-words (edit similarity) and by the exact overlap of their distinct k-mers.
+common are candidates. Candidates are verified by a banded alignment of their words.
+With the edit measure it decides. With the measure of common k-mers it accepts the
+pairs whose edits are too few to destroy more k-mers than the threshold allows; the
+pairs that it can't accept, reordered ones among them, are decided by the exact
+overlap of their distinct k-mers.
 
 Copies (the same words in the same order) are folded into one class before any
 pair is made, so a group of copies costs one representative. Buckets are joined
@@ -25,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, release
+from ..session import cut
 from .words import code_batch, mix, shingles
 
 #: ids of candidates, 8 bytes each, up to which they are broadcast
 FEW = 500_000
-POSITION_BITS = np.uint64(24)
+#: no text has 2 ** 32 words: strings end at 2 GB
+POSITION_BITS = np.uint64(32)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -38,14 +42,10 @@ def seeds(n: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(f"order {i}") | 1 for i in range(n)], np.uint64)
 
 
-def labelled(codes: np.ndarray, counts: np.ndarray, k: int, occurrences: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The occurrence-labelled k-mers of each text in text order, and their number per text.
-
-    ``occurrences`` limits the labels: 1 keeps the first occurrence of a k-mer
-    (set semantics), None keeps all (multiset semantics).
-    """
+def labelled(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The occurrence-labelled k-mers of each text in text order, the text of each, and which are first occurrences."""
     if len(codes) < k:
-        return codes[:0], np.zeros(len(counts), np.int64)
+        return codes[:0], np.zeros(0, np.int64), np.zeros(0, bool)
     sh = shingles(codes, k)
     doc = np.repeat(np.arange(len(counts)), counts)
     inside = doc[: len(sh)] == doc[k - 1 :]
@@ -57,25 +57,22 @@ def labelled(codes: np.ndarray, counts: np.ndarray, k: int, occurrences: int | N
     nth = np.empty(len(run), np.int64)
     starts = np.flatnonzero(first)
     nth[order] = np.arange(len(run)) - np.repeat(starts, np.diff(np.r_[starts, len(run)]))
-    if occurrences is not None:
-        keep = nth < occurrences
-        sh, doc, nth = sh[keep], doc[keep], nth[keep]
     out = np.where(nth == 0, sh, mix(sh + nth.astype(np.uint64)))
-    return out, np.bincount(doc, minlength=len(counts))
+    return out, doc, nth == 0
 
 
-#: orders, at most, whose very least k-mer is kept beside the keys, in 16 bits
-AGREE = 48
+#: every so many-th order sees only first occurrences, for texts that differ in how often they repeat themselves
+FIRST_ONLY = 4
 
 
 def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """``len(orders)`` keys and the least k-mers of up to ``AGREE`` orders, per text with at least one k-mer."""
+    """A key and the very least k-mer (16 bits of it) of each order, per text with at least one k-mer."""
     sizes = sizes[sizes > 0]
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     at = (np.arange(len(kmers)) - np.repeat(starts, sizes)).astype(np.uint64)
     mask = ~((np.uint64(1) << POSITION_BITS) - np.uint64(1))
     out = np.empty((len(sizes), len(orders)), np.uint64)
-    least = np.zeros((len(sizes), min(AGREE, len(orders))), np.uint16)
+    least = np.zeros((len(sizes), len(orders)), np.uint16)
     picked = np.empty((len(sizes), samples), np.int64)
     for i, a in enumerate(orders):
         h = kmers * a
@@ -87,17 +84,16 @@ def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: in
             pos = np.where(low == TOP, -1, (low & ~mask).astype(np.int64))
             picked[:, j] = np.where(pos >= 0, pos, picked[:, j - 1] if j else 0)
             h[starts + picked[:, j]] = TOP
-        if i < least.shape[1]:
-            least[:, i] = (kmers[starts + picked[:, 0]] & np.uint64(0xFFFF)).astype(np.uint16)
+        least[:, i] = (kmers[starts + picked[:, 0]] & np.uint64(0xFFFF)).astype(np.uint16)
         picked.sort(axis=1)
-        key = np.full(len(sizes), i + 1, np.uint64)
+        key = np.full(len(sizes), a, np.uint64)
         for j in range(samples):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + kmers[starts + picked[:, j]])
         out[:, i] = key
     return out, least
 
 
-def _sketches(k: int, orders_n: int, samples: int, min_words: int, occurrences: int | None):
+def _sketches(k: int, orders_n: int, samples: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = seeds(orders_n)
         for batch in batches:
@@ -108,8 +104,13 @@ def _sketches(k: int, orders_n: int, samples: int, min_words: int, occurrences:
                 ok = counts >= max(min_words, k)
                 sel = np.repeat(ok, counts)
                 kept, kc = codes[sel], counts[ok]
-                kmers, sizes = labelled(kept, kc, k, occurrences)
-                keys, least = sketch(kmers, sizes, orders, samples) if len(kmers) else (np.empty((0, orders_n), np.uint64), np.empty((0, 1), np.uint16))
+                kmers, doc, first = labelled(kept, kc, k)
+                sizes = np.bincount(doc, minlength=len(kc))
+                n_all = orders_n - orders_n // FIRST_ONLY
+                keys, least = np.empty((0, orders_n), np.uint64), np.empty((0, orders_n), np.uint16)
+                if len(kmers):
+                    halves = sketch(kmers, sizes, orders[:n_all], samples), sketch(kmers[first], np.bincount(doc[first], minlength=len(kc)), orders[n_all:], samples)
+                    keys, least = (np.ascontiguousarray(np.concatenate(x, axis=1)) for x in zip(*halves))
                 ids = np.asarray(part.column(0).to_pylist(), object)[ok]
                 same = [xxhash.xxh3_128_digest(codes[e - c : e].tobytes()) for e, c in zip(ends[ok], kc)]
                 flat = pa.array(keys.view(np.int64).ravel())
@@ -117,11 +118,10 @@ def _sketches(k: int, orders_n: int, samples: int, min_words: int, occurrences:
                     [
                         pa.array(ids, pa.int64()),
                         pa.array(same, pa.binary()),
-                        pa.array(sizes[sizes > 0].astype(np.int32)),
                         pa.array([x.tobytes() for x in least], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * orders_n), flat),
                     ],
-                    names=["id", "same", "size", "least", "keys"],
+                    names=["id", "same", "least", "keys"],
                 )
 
     return run
@@ -148,8 +148,10 @@ def edit_distance_banded(a: list[np.ndarray], b: list[np.ndarray], band: int) ->
     live = np.flatnonzero(np.abs(la - lb) <= band)
     live = live[np.argsort(la[live], kind="stable")]
     width = 2 * band + 1
-    for lo in range(0, len(live), 256):
-        idx = live[lo : lo + 256]
+    # wide bands are taken few at a time
+    step = max(1, min(256, (1 << 22) // width))
+    for lo in range(0, len(live), step):
+        idx = live[lo : lo + step]
         n = int(la[idx].max(initial=0))
         x = np.zeros((len(idx), n + 1), np.uint64)
         y = np.full((len(idx), n + 1 + 2 * width), 1, np.uint64)
@@ -176,65 +178,89 @@ def edit_distance_banded(a: list[np.ndarray], b: list[np.ndarray], band: int) ->
     return np.minimum(out, band + 1)
 
 
-def _verify(k: int, threshold: float, band_share: float, band_most: int):
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats have in common."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def aligned(x: list[np.ndarray], y: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """The edits of each pair, or -1 where there are more than ``most``; in bands as wide as that, by classes of widths."""
+    out = np.full(len(x), -1, np.int64)
+    bands = 2 ** np.ceil(np.log2(np.maximum(1, most))).astype(np.int64)
+    for band in np.unique(bands[most >= 0]):
+        rows = np.flatnonzero((bands == band) & (most >= 0))
+        d = edit_distance_banded([x[r] for r in rows], [y[r] for r in rows], int(band))
+        out[rows] = np.where(d <= most[rows], d, -1)
+    return out
+
+
+def _verify(k: int, threshold: float, measure: str):
+    """id_a, id_b, edits, jaccard of the pairs that are similar; what wasn't needed to tell is null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 ia, ib = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts: dict[str, int] = {}
-                at = [[texts.setdefault(t, len(texts)) for t in part.column(c).to_pylist()] for c in (2, 3)]
+                at = np.array([[texts.setdefault(t, len(texts)) for t in part.column(c).to_pylist()] for c in (2, 3)]).reshape(2, -1)
                 codes, counts = code_batch(list(texts))
                 words = np.split(codes, np.cumsum(counts)[:-1])
-                sets = [np.unique(shingles(w, k)) for w in words]
-                jac = np.empty(len(ia))
-                for r, (x, y) in enumerate(zip(*at)):
-                    s, t = sets[x], sets[y]
-                    both = np.concatenate([s, t])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    jac[r] = shared / max(1, len(s) + len(t) - shared)
-                # q-gram filter: below half the threshold no alignment within the band exists
-                go = np.flatnonzero(jac >= threshold / 2)
-                sim = np.zeros(len(ia))
-                if len(go):
-                    la = np.array([max(len(words[at[0][r]]), len(words[at[1][r]])) for r in go])
-                    # one band per class of lengths, so that short pairs don't pay for long ones
-                    bands = np.minimum(band_most, np.maximum(4, 2 ** np.ceil(np.log2(np.maximum(1, la * band_share))).astype(int)))
-                    for band in np.unique(bands):
-                        sel = np.flatnonzero(bands == band)
-                        rows = go[sel]
-                        d = edit_distance_banded([words[at[0][r]] for r in rows], [words[at[1][r]] for r in rows], int(band))
-                        sim[rows] = np.where(d > band, 0.0, 1 - d / la[sel])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ia, pa.int64()), pa.array(ib, pa.int64()), pa.array(jac), pa.array(sim)],
-                    names=["id_a", "id_b", "jaccard", "edit_similarity"],
-                )
+                longer = np.maximum(counts[at[0]], counts[at[1]])
+                x, y = [words[i] for i in at[0]], [words[i] for i in at[1]]
+                jac = np.full(len(ia), np.nan)
+                if measure == "edit":
+                    most = np.floor((1 - threshold) * longer + 1e-9).astype(np.int64)
+                    # an edit destroys k labelled k-mers at most: with fewer in common no alignment needs to be tried
+                    bags = [np.sort(labelled(w, np.array([len(w)]), k)[0]) for w in words]
+                    common = np.array([shared(bags[i], bags[j]) for i, j in at.T], np.int64)
+                    edits = aligned(x, y, np.where(common >= longer - k + 1 - k * most, most, -1))
+                    ok = edits >= 0
+                else:
+                    sets = [np.unique(shingles(w, k)) for w in words]
+                    n = np.array([len(s) for s in sets], np.int64)
+                    na, nb = n[at[0]], n[at[1]]
+                    needed = threshold / (1 + threshold) * (na + nb)
+                    # so many edits leave as many k-mers in common as are needed
+                    edits = aligned(x, y, np.floor((np.maximum(na, nb) - needed) / k + 1e-9).astype(np.int64))
+                    rest = edits < 0
+                    # the others, moved parts among them, by their common k-mers
+                    for r in np.flatnonzero(rest):
+                        both = shared(sets[at[0][r]], sets[at[1][r]])
+                        jac[r] = both / max(1, na[r] + nb[r] - both)
+                    ok = ~rest | (jac >= threshold)
+                keep = pa.array(ok)
+                cols = [pa.array(ia, pa.int64()), pa.array(ib, pa.int64()), pa.array(edits, mask=edits < 0), pa.array(jac, mask=np.isnan(jac))]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], names=["id_a", "id_b", "edits", "jaccard"])
 
     return run
 
 
-def _agreeing(needed: int, orders: int):
-    """The pairs whose least k-mers agree in ``needed`` orders or more."""
+def _agreeing(needed: int, needed_first: int, orders: int):
+    """The pairs whose least k-mers agree often enough, in the orders of all k-mers or in those of first occurrences."""
+    n_all = orders - orders // FIRST_ONLY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, orders) for i in (2, 3))
-                batch = batch.filter(pa.array((a == b).sum(axis=1) >= needed))
+                same = a == b
+                batch = batch.filter(pa.array((same[:, :n_all].sum(axis=1) >= needed) | (same[:, n_all:].sum(axis=1) >= needed_first)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id_a", "id_b"])
 
     return run
 
 
-def agreement(threshold: float, k: int, sketch_k: int, orders: int) -> int:
-    """Of so many orders those that agree for a pair at ``threshold``, less three standard deviations.
+def agreement(threshold: float, k: int, sketch_k: int, orders: int, deviations: float = 5.0) -> int:
+    """Of so many orders those that agree for a pair at ``threshold``, less so many standard deviations: below five is one pair in three million.
 
     Edits scattered over the text hurt longer k-mers more: a share s of common k-mers becomes s ** (sketch_k / k).
     """
     shared = (2 * threshold / (1 + threshold)) ** max(1.0, sketch_k / k)
     p = shared / (2 - shared)
-    return max(0, int(orders * p - 3 * (orders * p * (1 - p)) ** 0.5))
+    return max(0, int(orders * p - deviations * (orders * p * (1 - p)) ** 0.5))
 
 
 class NearDuplicates:
@@ -262,17 +288,15 @@ class NearDuplicates:
         return own.unionByName(x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
 
 
-def _candidates(sk: DataFrame, ratio: float, needed: int, orders: int) -> DataFrame:
-    """The pairs of representatives with a key in common, of sizes and least k-mers that allow the similarity."""
-    reps = sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("keys").alias("keys"))
+def _candidates(reps: DataFrame, orders: int, needed: tuple[int, int] | None) -> DataFrame:
+    """The pairs of representatives with a key in common, of least k-mers that allow the similarity."""
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b")).distinct()
-    if ratio > 0:
-        small = reps.select("rep", "size", "least")
-        both = pairs.join(small.withColumnsRenamed({"rep": "id_a", "size": "sa", "least": "la"}), "id_a").join(small.withColumnsRenamed({"rep": "id_b", "size": "sb", "least": "lb"}), "id_b")
-        both = both.filter(F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(ratio))
-        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(needed, orders), "id_a long, id_b long")
+    if needed:
+        small = reps.select("rep", "least").dropDuplicates(["rep"])
+        both = pairs.join(small.withColumnsRenamed({"rep": "id_a", "least": "la"}), "id_a").join(small.withColumnsRenamed({"rep": "id_b", "least": "lb"}), "id_b")
+        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(*needed, orders), "id_a long, id_b long")
     return cut(pairs)
 
 
@@ -286,36 +310,34 @@ def near_duplicates(
     min_words: int | None = None,
     sketches: int = 32,
     samples: int = 2,
-    band_share: float = 0.25,
-    band_most: int = 256,
     sketch_k: int | None = None,
 ) -> NearDuplicates:
     """Group the records of ``df`` whose similarity is at least ``threshold``.
 
     ``measure`` "edit" links by the banded alignment (1 - edits / longer length);
-    "jaccard" links by the shared part of the distinct k-mers, whatever the
-    alignment says (a reordered text has none). ``id_col`` is a bigint. Sketches take k-mers of ``sketch_k``
-    words (``k`` if not given). With "jaccard" the least k-mers of the sketches, a few bytes a record, settle most
-    candidates before any text is moved.
+    "jaccard" links by the shared part of the distinct k-mers, which the alignment
+    proves where it can. ``id_col`` is a bigint. Sketches take k-mers of ``sketch_k``
+    words (``k`` if not given). With "jaccard" the least k-mers of the sketches, a few
+    bytes a record, settle most candidates before any text is moved.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     by_sets = measure == "jaccard"
     ks = sketch_k or k
-    run = _sketches(ks, sketches, samples, max(min_words or k, k), 1 if by_sets else None)
-    sk = cut(rows.mapInArrow(run, "id long, same binary, size int, least binary, keys array<long>"))
-    reps = sk.groupBy("same").agg(F.min("id").alias("rep"))
-    members = sk.select("id", "same").join(reps, "same").select("id", "rep").dropDuplicates(["id"])
-    # sizes in k-mers of another length than the measure's are compared with room to spare
-    ratio = threshold * (1.0 if ks == k else 0.75) if by_sets else 0.0
-    orders = min(AGREE, sketches)
-    pairs = _candidates(sk, ratio, agreement(threshold, k, ks, orders) if by_sets else 0, orders)
-    release(df.sparkSession)
+    run = _sketches(ks, sketches, samples, max(min_words or k, k))
+    sk = cut(rows.mapInArrow(run, "id long, same binary, least binary, keys array<long>"))
+    ids = sk.groupBy("id").agg(F.min("same").alias("same"))
+    members = cut(ids.join(ids.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep"))
+    # the sketches of copies are left out; of a checked number their ids go to the sketches, so that these don't move
+    copies = members.filter("id <> rep").select("id")
+    few = copies.limit(FEW + 1).count() <= FEW
+    first = sk.join(F.broadcast(copies) if few else copies, "id", "left_anti").select(F.col("id").alias("rep"), "least", "keys")
+    n_first = sketches // FIRST_ONLY
+    needed = (agreement(threshold, k, ks, sketches - n_first), agreement(threshold, k, ks, n_first, 3.0)) if by_sets else None
+    pairs = _candidates(first, sketches, needed)
     need = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     # ids of a checked number are sent to the scan, so that only their texts move; more of them are joined
     few = need.limit(FEW + 1).count() <= FEW
     texts = rows.join(F.broadcast(need) if few else need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     wide = pairs.join(texts.withColumnsRenamed({"id": "id_a", "text": "ta"}), "id_a").join(texts.withColumnsRenamed({"id": "id_b", "text": "tb"}), "id_b")
-    done = wide.select("id_a", "id_b", "ta", "tb").mapInArrow(_verify(k, threshold, band_share, band_most), "id_a long, id_b long, jaccard double, edit_similarity double")
-    by = F.col("jaccard" if measure == "jaccard" else "edit_similarity")
-    links = done.filter(by >= threshold).select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), "jaccard", "edit_similarity")
-    return NearDuplicates(members, links)
+    done = wide.select("id_a", "id_b", "ta", "tb").mapInArrow(_verify(k, threshold, measure), "id_a long, id_b long, edits long, jaccard double")
+    return NearDuplicates(members, done.withColumnsRenamed({"id_a": "rep_a", "id_b": "rep_b"}))

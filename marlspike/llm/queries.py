@@ -16,11 +16,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _p1(spark: SparkSession, sf_dir: str) -> order_minhash.NearDuplicates:
     """Similarity 0.6 on distinct three-word sequences of records of 30 words or more.
 
-    48 tuples of 3 four-word sequences in text order: a pair at 0.6 with scattered edits is a candidate with
-    probability above 0.999, one whose halves have changed places, or three to six blocks, with 0.82 to 0.87.
+    64 tuples of 3 four-word sequences in text order: a pair at 0.6 with scattered edits is a candidate with
+    probability above 0.9999, one whose halves have changed places with about 0.89.
     """
     docs = table(spark, sf_dir, "raw_docs")
-    return order_minhash.near_duplicates(docs, "raw_id", "page_content", k=3, threshold=0.6, measure="jaccard", min_words=30, sketches=48, samples=3, sketch_k=4)
+    return order_minhash.near_duplicates(docs, "raw_id", "page_content", k=3, threshold=0.6, measure="jaccard", min_words=30, sketches=64, samples=3, sketch_k=4)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,34 @@ def test_edit_measure_needs_order(spark):
     assert links == {(1, 2)}
 
 
+def test_texts_that_repeat_themselves_and_wide_edits(spark):
+    r = random.Random(14)
+    base = prose(r, 12)
+    long = [f"w{r.randrange(9000)}" for _ in range(1600)]
+    eighth = [w if i % 8 else f"x{i}" for i, w in enumerate(long[:600])]
+    inserted = long[:800] + [f"y{i}" for i in range(120)] + long[800:]
+    df = spark.createDataFrame([(1, base), (2, " ".join([base] * 6)), (3, " ".join(long[:600])), (4, " ".join(eighth)), (5, " ".join(long)), (6, " ".join(inserted))], "i long, t string")
+    sets = order_minhash.near_duplicates(df, "i", "t", k=3, threshold=0.6, measure="jaccard", min_words=30, sketches=64, samples=3, sketch_k=4)
+    assert (1, 2) in {(x.id_a, x.id_b) for x in sets.pairs().collect()}
+    edit = order_minhash.near_duplicates(df, "i", "t", k=3, threshold=0.8, sketches=64)
+    assert {(x.rep_a, x.rep_b, x.edits) for x in edit.links.collect()} >= {(3, 4, 75), (5, 6, 120)}
+
+
+def test_alignment_proves_what_it_accepts():
+    r = random.Random(15)
+    for _ in range(60):
+        x = [r.randrange(40) for _ in range(90)]
+        y = list(x)
+        for _ in range(r.randrange(0, 12)):
+            i = r.randrange(len(y))
+            y[i : i + r.randrange(2)] = [r.randrange(40)] * r.randrange(2)
+        a, b = (np.unique(words.shingles(np.array(z, np.uint64) + np.uint64(1), 3)) for z in (x, y))
+        most = int((max(len(a), len(b)) - 0.375 * (len(a) + len(b))) / 3)
+        d = order_minhash.edit_distance_banded([np.array(x, np.uint64)], [np.array(y, np.uint64)], max(1, most))[0]
+        both = order_minhash.shared(a, b)
+        assert d > most or both / (len(a) + len(b) - both) >= 0.6
+
+
 # ---- 2
 
 
