@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,11 +48,11 @@ def stitch(pages: DataFrame, keep: int = 40, block: int = BLOCK) -> DataFrame:
 
 
 def carry_headings(pages: DataFrame, text: str, default: str = T.DEFAULT_HEADING, block: int = BLOCK) -> DataFrame:
-    """The heading in force on each page (``header``): its own, or the last one before it in the source.
+    """The heading in force on each page (``header``): its own, if the cleaned ``text`` is one, or the last one before it in the source.
 
     Ordered in blocks like ``stitch``; of a block only its last heading is handed on.
     """
-    own = _blocks(pages.select("source", "seq", "raw_id", T.heading(T.clean(F.col(text))).alias("own")), block)
+    own = _blocks(pages.select("source", "seq", "raw_id", T.heading(F.col(text)).alias("own")), block)
     upto = W.partitionBy("source", "block").orderBy("seq", "raw_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = own.withColumn("in_block", F.last("own", ignorenulls=True).over(upto))
     last = own.filter("own is not null").groupBy("source", "block").agg(F.max_by("own", F.struct("seq", "raw_id")).alias("last"))
@@ -91,42 +90,46 @@ def pack(parts: list[str], limit: int, overlap: int, count: Callable[[str], int]
     return out
 
 
-_STOP = re.compile(r"(?<=[.!?])\s+")
-
+def _pack_rows(limit: int, overlap: int, count: Callable[[str], int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts").to_pylist()
+            # a page without parts is one chunk
+            chunks = [[t] if p is None else pack(p, limit, overlap, count) for t, p in zip(batch.column("cleaned").to_pylist(), parts)]
+            kept = [batch.column(c) for c in ("raw_id", "source", "page", "header")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(chunks, pa.list_(pa.string()))], names=["raw_id", "source", "page", "header", "chunks"])
 
-def split_sentences(text: str) -> list[str]:
-    out: list[str] = []
-    for s in filter(None, map(str.strip, _STOP.split(text.strip()))):
-        if out and len(s.split()) < 5:
-            out[-1] = f"{out[-1]} {s}"
-        else:
-            out.append(s)
-    return out
+    return run
 
 
-def _pack_rows(limit: int, overlap: int):
+def _count_rows(count: Callable[[str], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = [[t] if count_tokens(t) <= limit else pack(split_sentences(t), limit, overlap) for t in batch.column("cleaned").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("raw_id"), pa.array(chunks, pa.list_(pa.string()))], names=["raw_id", "chunks"])
+            n = [count(t) for t in batch.column("cleaned").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "tokens"])
 
     return run
 
 
-def chunk(pages: DataFrame, limit: int = 1000, overlap: int = 150) -> DataFrame:
+def chunk(pages: DataFrame, limit: int = 1000, overlap: int = 150, count: Callable[[str], int] | None = None) -> DataFrame:
     """raw_id, source, page, header, chunk_index, text, chunk_id: stitched, cleaned, packed, filtered, each once.
 
-    Pages within the limit are one chunk and never leave the JVM; only longer ones are packed in Python.
+    ``count`` is a token counter of one's own; without it tokens are quarters of code points, counted in the JVM.
+    Only pages over the limit are taken apart. Everything behind the cleaned text is evaluated once.
     """
-    ready = carry_headings(stitch(pages), "stitched").select("raw_id", "source", "page", "header", T.clean(F.col("stitched")).alias("cleaned"))
-    # read three times below: written once
-    ready = cut(ready.filter("cleaned <> ''"))
-    short = ready.filter(T.approx_tokens(F.col("cleaned")) <= limit).select("raw_id", "source", "page", "header", F.array("cleaned").alias("chunks"))
-    long = ready.filter(T.approx_tokens(F.col("cleaned")) > limit)
-    packed = long.select("raw_id", "cleaned").mapInArrow(_pack_rows(limit, overlap), "raw_id long, chunks array<string>")
-    packed = long.select("raw_id", "source", "page", "header").join(packed, "raw_id").select("raw_id", "source", "page", "header", "chunks")
-    rows = short.unionByName(packed).select("raw_id", "source", "page", "header", F.posexplode("chunks").alias("chunk_index", "body"))
+    whole = stitch(pages).select("raw_id", "source", "seq", "page", T.clean(F.col("stitched")).alias("cleaned")).filter("cleaned <> ''")
+    # read twice below, for headings and for the text: written once
+    ready = cut(whole)
+    if count:
+        ready = ready.mapInArrow(_count_rows(count), "raw_id long, source string, seq int, page int, cleaned string, tokens long")
+    else:
+        ready = ready.withColumn("tokens", T.approx_tokens(F.col("cleaned")))
+    parts = F.when(F.col("tokens") > limit, T.merged_sentences(F.col("cleaned")))
+    headed = carry_headings(ready, "cleaned").select("raw_id", "source", "page", "header", "cleaned", parts.alias("parts"))
+    packed = headed.mapInArrow(_pack_rows(limit, overlap, count or count_tokens), "raw_id long, source string, page int, header string, chunks array<string>")
+    rows = packed.select("raw_id", "source", "page", "header", F.posexplode("chunks").alias("chunk_index", "body"))
     rows = rows.withColumn("text", F.concat(F.lit("[SECTION: "), "header", F.lit("]\n"), "body")).drop("body")
     rows = rows.filter(~T.low_value(F.col("text"))).withColumn("chunk_id", T.chunk_id(F.col("source"), F.col("page"), F.col("chunk_index"), F.col("text")))
-    first = rows.groupBy("chunk_id").agg(F.min("raw_id").alias("raw_id"))
-    return rows.join(first, ["chunk_id", "raw_id"], "left_semi")
+    # the id tells all columns but the record's number
+    same = [F.first(c).alias(c) for c in ("source", "page", "header", "chunk_index", "text")]
+    return rows.groupBy("chunk_id").agg(F.min("raw_id").alias("raw_id"), *same)

@@ -109,13 +109,15 @@ def page_stitch(spark, d):
 
 @query
 def header_propagate(spark, d):
-    return chunking.carry_headings(chunking.stitch(pages(spark, d)), "stitched").select("raw_id", "header")
+    cleaned = chunking.stitch(pages(spark, d)).withColumn("cleaned", T.clean(F.col("stitched")))
+    return chunking.carry_headings(cleaned, "cleaned").select("raw_id", "header")
 
 
 @query
 def chunk_pack(spark, d):
     """The whole preparation: stitched, headed, cleaned, packed with overlap, filtered, each chunk once."""
-    return chunking.chunk(pages(spark, d)).select("chunk_id", "raw_id", "source", "page", "header", "chunk_index", "text")
+    c = chunking.chunk(pages(spark, d))
+    return c.select("chunk_id", "raw_id", "source", F.coalesce("page", F.lit(0)).cast("long").alias("page"), "header", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
 @query

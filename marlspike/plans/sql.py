@@ -92,6 +92,25 @@ fused AS (SELECT qkey, key, score, row_number() OVER (PARTITION BY qkey ORDER BY
 
 _MARKED = f"regexp_replace({strip('text')}, '([.!?]){SPACE}+', '\\1' || chr(1), 'g')"
 _SENT = f"list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda s: {strip('s')}), lambda s: s <> '')"
+#: packing as a fold: ``start`` is the first part of the open chunk, prefix sums tell when it is full and where the overlap begins
+PACKED = f"""WITH RECURSIVE pages AS MATERIALIZED (SELECT p.raw_id, p.source, p.page, x.c, x.header FROM {PAGES} p JOIN (
+  SELECT raw_id, c, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq, raw_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '{DEFAULT_HEADING}') AS header
+  FROM (SELECT raw_id, source, seq, c, {HEADING} AS own FROM (SELECT raw_id, source, seq, {clean('stitched')} AS c FROM ({STITCHED}))) WHERE c <> '') x USING (raw_id)),
+long AS MATERIALIZED (SELECT raw_id, {_SENT.replace('text', 'c')} AS s FROM pages WHERE length({strip('c')}) // 4 > 1000),
+said AS (SELECT raw_id, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM long),
+part AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY raw_id ORDER BY i)::BIGINT AS upto FROM (SELECT raw_id, row_number() OVER (PARTITION BY raw_id ORDER BY grp) AS i, t, greatest(1, length(t) // 4) AS n FROM (
+  SELECT raw_id, grp, string_agg(s, ' ' ORDER BY k) AS t FROM (SELECT *, sum(CASE WHEN k = 1 OR len({words('s')}) >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY raw_id ORDER BY k) AS grp FROM said) GROUP BY 1, 2))),
+back AS MATERIALIZED (SELECT a.raw_id, a.i, a.n, a.upto, max(b.i) AS j FROM part a LEFT JOIN part b ON b.raw_id = a.raw_id AND b.i < a.i AND (a.upto - a.n) - (b.upto - b.n) >= 150 GROUP BY ALL),
+fold AS (SELECT raw_id, 1::BIGINT AS i, 1::BIGINT AS start, NULL::BIGINT AS e1, NULL::BIGINT AS e2 FROM long
+  UNION ALL SELECT raw_id, i + 1, CASE WHEN full_ THEN greatest(start, coalesce(j, start)) ELSE start END, CASE WHEN full_ THEN start END, CASE WHEN full_ THEN i - 1 END
+  FROM (SELECT f.raw_id, f.i, f.start, b.j, b.upto - (s.upto - s.n) > 1000 AND f.i > f.start AS full_ FROM fold f JOIN back b ON b.raw_id = f.raw_id AND b.i = f.i JOIN part s ON s.raw_id = f.raw_id AND s.i = f.start)),
+spans AS (SELECT raw_id, e1, e2 FROM fold WHERE e1 IS NOT NULL UNION ALL SELECT raw_id, start, i - 1 FROM (SELECT *, max(i) OVER (PARTITION BY raw_id) AS m FROM fold) WHERE i = m),
+bodies AS (SELECT raw_id, row_number() OVER (PARTITION BY raw_id ORDER BY e2) - 1 AS chunk_index, body FROM (SELECT s.raw_id, s.e2, string_agg(p.t, ' ' ORDER BY p.i) AS body FROM spans s JOIN part p ON p.raw_id = s.raw_id AND p.i BETWEEN s.e1 AND s.e2 GROUP BY s.raw_id, s.e1, s.e2)
+  UNION ALL SELECT raw_id, 0, c FROM pages WHERE raw_id NOT IN (SELECT raw_id FROM long)),
+texts AS (SELECT raw_id, source, page, header, chunk_index, '[SECTION: ' || header || ']' || chr(10) || body AS text FROM bodies JOIN pages USING (raw_id)),
+kept AS (SELECT *, {strip('text')} AS t FROM texts)
+SELECT sha256(coalesce(source, '') || '|' || coalesce(page, 0)::VARCHAR || '|' || chunk_index || '|' || text) AS chunk_id, min(raw_id) AS raw_id, source, coalesce(page, 0)::BIGINT AS page, header, chunk_index, text FROM kept
+WHERE NOT (length(t) < 40 OR {letters('t')}::DOUBLE / greatest(length(t), 1) < 0.35 OR (len(list_distinct({words('lower(t)')})) <= 5 AND length(t) > 300)) GROUP BY ALL"""
 _MARKS = "page, least(greatest(floor(l_quantity / 6.0), 0), 9)::BIGINT AS bucket"
 
 
@@ -123,6 +142,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {_SENT} AS x FROM documents WHERE text IS NOT NULL))) GROUP BY 1, 2) GROUP BY 1) g USING (doc_id)""",
     "page_stitch": f"SELECT raw_id, stitched FROM ({STITCHED})",
     "header_propagate": f"SELECT raw_id, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq, raw_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '{DEFAULT_HEADING}') AS header FROM (SELECT raw_id, source, seq, {HEADING} AS own FROM (SELECT raw_id, source, seq, {clean('stitched')} AS c FROM ({STITCHED})))",
+    "chunk_pack": PACKED,
     "chunk_id_dedup": f"SELECT chunk_id, min(raw_id) AS raw_id FROM (SELECT raw_id, sha256(coalesce(source, '') || '|' || coalesce(page, 0)::VARCHAR || '|0|' || {clean('page_content')}) AS chunk_id FROM {PAGES}) GROUP BY 1",
     "metadata_sanitise": f"SELECT raw_id, array_to_string(list_filter([CASE WHEN page_content IS NULL OR length(page_content) <= 2048 THEN 'body' END, CASE WHEN section_heading IS NULL OR length(section_heading) <= 2048 THEN 'heading' END, CASE WHEN source IS NULL OR length(source) <= 2048 THEN 'source' END], lambda x: x IS NOT NULL), ',') AS kept FROM {PAGES}",
     "template_fill": "SELECT s_suppkey, 'January 01, 2026: ' || s_name || ' (' || s_suppkey || ') has ' AS filled FROM supplier",
