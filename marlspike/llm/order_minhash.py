@@ -201,8 +201,8 @@ def _verify(k: int, threshold: float, measure: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 ia, ib = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts: dict[str, int] = {}
                 at = np.array([[texts.setdefault(t, len(texts)) for t in part.column(c).to_pylist()] for c in (2, 3)]).reshape(2, -1)
@@ -253,8 +253,8 @@ def _agreeing(needed: int, needed_first: int, orders: int):
     return run
 
 
-def agreement(threshold: float, k: int, sketch_k: int, orders: int, deviations: float = 5.0) -> int:
-    """Of so many orders those that agree for a pair at ``threshold``, less so many standard deviations: below five is one pair in three million.
+def agreement(threshold: float, k: int, sketch_k: int, orders: int, deviations: float = 4.0) -> int:
+    """Of so many orders those that agree for a pair at ``threshold``, less so many standard deviations: below four is one pair in 30,000.
 
     Edits scattered over the text hurt longer k-mers more: a share s of common k-mers becomes s ** (sketch_k / k).
     """
@@ -332,7 +332,8 @@ def near_duplicates(
     few = copies.limit(FEW + 1).count() <= FEW
     first = sk.join(F.broadcast(copies) if few else copies, "id", "left_anti").select(F.col("id").alias("rep"), "least", "keys")
     n_first = sketches // FIRST_ONLY
-    needed = (agreement(threshold, k, ks, sketches - n_first), agreement(threshold, k, ks, n_first, 3.0)) if by_sets else None
+    # the few orders of first occurrences are asked only where a text repeats itself
+    needed = (agreement(threshold, k, ks, sketches - n_first), agreement(threshold, k, ks, n_first, 1.5)) if by_sets else None
     pairs = _candidates(first, sketches, needed)
     need = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     # ids of a checked number are sent to the scan, so that only their texts move; more of them are joined
