@@ -196,18 +196,27 @@ def aligned(x: list[np.ndarray], y: list[np.ndarray], most: np.ndarray) -> np.nd
     return out
 
 
+def words_of(texts: list[str], at_once: int = 128) -> tuple[list[np.ndarray], np.ndarray]:
+    """The word codes of each text, and their numbers; few texts are taken apart at a time."""
+    out: list[np.ndarray] = []
+    for lo in range(0, len(texts), at_once):
+        codes, counts = code_batch(texts[lo : lo + at_once])
+        out += np.split(codes, np.cumsum(counts)[:-1])
+    return out, np.array([len(x) for x in out], np.int64)
+
+
 def _verify(k: int, threshold: float, measure: str):
     """id_a, id_b, edits, jaccard of the pairs that are similar; what wasn't needed to tell is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            # many pairs at a time, so that pairs of one width are aligned together
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
                 ia, ib = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts: dict[str, int] = {}
                 at = np.array([[texts.setdefault(t, len(texts)) for t in part.column(c).to_pylist()] for c in (2, 3)]).reshape(2, -1)
-                codes, counts = code_batch(list(texts))
-                words = np.split(codes, np.cumsum(counts)[:-1])
+                words, counts = words_of(list(texts))
                 longer = np.maximum(counts[at[0]], counts[at[1]])
                 x, y = [words[i] for i in at[0]], [words[i] for i in at[1]]
                 jac = np.full(len(ia), np.nan)
