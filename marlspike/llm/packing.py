@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -120,15 +122,17 @@ def _top_up(bins: np.ndarray, lengths: np.ndarray, capacity: int, n: int, small:
     return np.array(left + small[low:high].tolist(), np.int64)
 
 
-def _pack(classes: int, top_up: tuple[int, ...]):
+def _pack(capacities: list[tuple[int, int]], classes: int, top_up: tuple[int, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         worker = TaskContext.get().partitionId()
         # the worker's items: two numbers each
-        whole = pd.concat(list(batches) or [pd.DataFrame({"id": [], "n_tokens": [], "limit_id": [], "capacity": []})], ignore_index=True)
-        for (limit, capacity), pdf in whole.groupby(["limit_id", "capacity"], sort=True):
-            n, ids, c = pdf["n_tokens"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), int(capacity)
+        whole = pd.concat(list(batches) or [pd.DataFrame({"id": [], "n_tokens": []})], ignore_index=True)
+        # the same containers whatever order the items came in, should the task run again
+        whole = whole.sort_values("id", kind="stable")
+        n, ids = whole["n_tokens"].to_numpy(np.int64), whole["id"].to_numpy(np.int64)
+        for limit, c in capacities if len(n) else ():
             full, rest = n // c, n % c
             piece_of = np.repeat(np.arange(len(n)), full)
             at = np.flatnonzero(rest > 0)
@@ -148,18 +152,29 @@ def _pack(classes: int, top_up: tuple[int, ...]):
     return run
 
 
+#: items of a worker: enough to fill containers well, few enough for its memory
+FEWEST, MOST = 2_000, 500_000
+
+
+def workers_for(items: int, partitions: int) -> int:
+    """The number of workers for so many items: a share of the shuffle partitions each, within the bounds."""
+    each = min(MOST, max(FEWEST, -(-items // max(1, partitions))))
+    return max(1, -(-items // each))
+
+
 def pack(sizes: DataFrame, capacities: dict[int, int], classes: int = 8, top_up: tuple[int, ...] = (2, 3, 4, 6, 8), workers: int | None = None) -> DataFrame:
     """limit_id, bin, id, piece, n_tokens, capacity: every item's container for every capacity.
 
     ``sizes``: id, n_tokens; ``capacities``: limit_id -> tokens. Items are dealt out evenly over ``workers``
-    tasks (by default the shuffle partitions, so a task's share is set as for any shuffle).
+    tasks, by default as many as ``workers_for`` gives.
     """
     if not capacities:
         return sizes.sparkSession.createDataFrame([], SCHEMA)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("limit_id"), F.lit(c).alias("capacity")) for k, c in sorted(capacities.items())])).alias("l")
-    n = workers or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sizes.filter("n_tokens > 0").repartition(n, "id").select("id", "n_tokens", each).select("id", "n_tokens", "l.limit_id", "l.capacity")
-    return dealt.mapInPandas(_pack(classes, top_up), SCHEMA)
+    items = cut(sizes.filter("n_tokens > 0").select("id", "n_tokens"))
+    n = workers or workers_for(items.count(), int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # by a hash of the id that no earlier shuffle by id can stand in for
+    dealt = items.repartition(n, F.xxhash64("id", F.lit(n)))
+    return dealt.mapInPandas(_pack(sorted(capacities.items()), classes, top_up), SCHEMA)
 
 
 SCHEMA = "limit_id int, bin string, id long, piece int, n_tokens int, capacity int"
