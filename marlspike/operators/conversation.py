@@ -11,6 +11,9 @@ from ..functions import text as T
 
 ASSISTANT = ("assistant", "ai", "bot")
 USER = ("user", "human")
+#: how a summary opens; fixed value
+SUMMARY = "Previous conversation summary: "
+UPLOADED = " [Image Uploaded]"
 
 
 def role(c: Column) -> Column:
@@ -54,10 +57,10 @@ def transcript(messages: Column) -> Column:
 def compact(messages: Column, summarise: Callable[[Column], Column] | None = None, over: int = 10, keep: int = 6) -> Column:
     """Histories over ``over`` messages: a summary of all but the last ``keep``, then these.
 
-    Without a summariser the summary is the transcript of what it stands for.
+    The summary message opens with fixed words. Without a summariser the summary is the transcript of what it stands for.
     """
     head = transcript(all_but_last(messages, keep))
-    note = F.struct(F.lit("system").alias("role"), (summarise(head) if summarise else head).alias("content"))
+    note = F.struct(F.lit("system").alias("role"), F.concat(F.lit(SUMMARY), summarise(head) if summarise else head).alias("content"))
     plain = lambda ms: F.transform(ms, lambda m: F.struct(role(m["role"]).alias("role"), m["content"].alias("content")))
     return F.when(F.size(messages) > over, F.concat(F.array(note), plain(last_n(messages, keep)))).otherwise(plain(messages))
 
@@ -78,8 +81,35 @@ def reported(reports: DataFrame, chats: DataFrame, prefix: int = 50) -> DataFram
     """
     c = fullest(chats).select("conv_id", F.col("uid").alias("reporter_uid"), "messages")
     j = reports.select("report_id", "reporter_uid", "conv_id", "msg_snippet").join(c, ["conv_id", "reporter_uid"], "left")
-    head = F.left(F.coalesce("msg_snippet", F.lit("")), F.lit(prefix))
+    head = F.left(T.strip(F.coalesce("msg_snippet", F.lit(""))), F.lit(prefix))
     at = F.array_max(
         F.transform("messages", lambda m, i: F.when((role(m["role"]) == "assistant") & (head != "") & F.contains(F.coalesce(m["content"], F.lit("")), head), i + 1))
     )
     return j.select("report_id", F.coalesce(F.size("messages"), F.lit(-1)).alias("n_messages"), F.when(F.col("messages").isNull(), F.lit(-1)).otherwise(F.coalesce(at, F.size("messages"))).alias("cut"))
+
+
+def shown(text: Column, has_image: Column) -> Column:
+    """What is kept of a question: its text, marked where a picture came with it."""
+    return F.concat(F.coalesce(text, F.lit("")), F.when(F.coalesce(has_image, F.lit(False)), F.lit(UPLOADED)).otherwise(F.lit("")))
+
+
+def without_marker(text: Column) -> Column:
+    return F.replace(text, F.lit(UPLOADED), F.lit(""))
+
+
+def message_list(system: Column, history: Column, text: Column, image: Column) -> Column:
+    """The messages for a model: system text, history, and the question with its picture as a block of its own.
+
+    Every content is an array of blocks struct(type, text, url).
+    """
+    part = lambda kind, t, u: F.struct(F.lit(kind).alias("type"), t.cast("string").alias("text"), u.cast("string").alias("url"))
+    none = F.lit(None)
+    plain = lambda who, t: F.struct(who.alias("role"), F.array(part("text", t, none)).alias("content"))
+    asked = F.when(image.isNull(), F.array(part("text", text, none))).otherwise(F.array(part("text", text, none), part("image_url", none, F.concat(F.lit("data:image/jpeg;base64,"), image))))
+    said = F.transform(F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), lambda m: plain(role(m["role"]), m["content"]))
+    return F.concat(F.array(plain(F.lit("system"), system)), said, F.array(F.struct(F.lit("user").alias("role"), asked.alias("content"))))
+
+
+def text_of(blocks: Column) -> Column:
+    """The text blocks of a message, joined; pictures and blocks of other types are left out."""
+    return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")

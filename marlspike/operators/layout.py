@@ -25,14 +25,45 @@ def gaps(hist: DataFrame, page: str, share: float = 0.15, buckets: int = 10) ->
     return found.filter((F.col("start") > buckets * 0.1) & (F.col("stop") < buckets * 0.9))
 
 
-def columns(gap: DataFrame, page: str, buckets: int = 10) -> DataFrame:
-    """page, column, left, right: the spans between the middles of the gaps."""
+def columns(gap: DataFrame, page: str, pages: DataFrame, buckets: int = 10) -> DataFrame:
+    """page, column, left, right: the spans between the middles of the gaps; a page of ``pages`` without gaps is one column."""
     edges = gap.groupBy(page).agg(F.array_sort(F.collect_list((F.col("start") + F.col("stop")) / 2.0)).alias("m"))
+    edges = pages.select(page).distinct().join(edges, page, "left").withColumn("m", F.coalesce("m", F.array().cast("array<double>")))
     bounds = F.concat(F.array(F.lit(0.0)), F.col("m"), F.array(F.lit(float(buckets))))
     pairs = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.struct(i.alias("column"), F.element_at(bounds, i).alias("left"), F.element_at(bounds, i + 1).alias("right")))
     return edges.select(page, F.explode(pairs).alias("c")).select(page, "c.column", "c.left", "c.right")
 
 
+def column_text(words: DataFrame, page: str, spans: DataFrame) -> DataFrame:
+    """page, text: the words (page, x, y, word) column by column, rows by y and x; columns are parted by a blank line."""
+    placed = words.join(spans, page).filter((F.col("x") >= F.col("left")) & (F.col("x") < F.col("right")))
+    # one page's words: bounded by what fits on a page
+    cols = placed.groupBy(page, "column").agg(F.array_sort(F.collect_list(F.struct("y", "x", "word"))).alias("w"))
+    cols = cols.select(page, "column", F.array_join("w.word", " ").alias("t"))
+    whole = cols.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("column", "t"))).alias("c"))
+    return whole.select(page, F.array_join("c.t", "\n\n").alias("text"))
+
+
+def page_text(first: Column, second: Column) -> Column:
+    """The text of the first extractor, or of the second where the first gives none."""
+    return F.coalesce(F.when(F.trim(F.coalesce(first, F.lit(""))) != "", first), second, F.lit(""))
+
+
+def column_aware(linear: Column, by_columns: Column, n_words: Column, thin: Column, least: int = 25) -> Column:
+    """The text by columns where the page has word boxes enough, isn't thin, and the columns give more."""
+    better = (n_words >= least) & ~F.coalesce(thin, F.lit(True)) & (F.length(F.trim(by_columns)) > F.length(F.trim(linear)))
+    return F.when(F.coalesce(better, F.lit(False)), by_columns).otherwise(linear)
+
+
+def is_table_page(kind: Column, text: Column, least: int = 200) -> Column:
+    """Whether tables are looked for on a page: a PDF page with text enough."""
+    return F.coalesce((kind == "pdf") & (F.length(text) >= least), F.lit(False))
+
+
+def box_area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.greatest(x1 - x0, F.lit(0.0)) * F.greatest(y1 - y0, F.lit(0.0))
+
+
 def sections(blocks: DataFrame, doc: str, number: str, key: str, is_heading: Column, block: int = 4096) -> DataFrame:
     """Blocks with ``section``: a heading begins a new one; what stands before the first is section 0.
 
@@ -48,9 +79,12 @@ def sections(blocks: DataFrame, doc: str, number: str, key: str, is_heading: Col
     return joined.withColumn("section", F.col("__s") + F.col("__n")).drop("__h", "__b", "__s", "__d", "__c", "__n")
 
 
-def rolling(blocks: DataFrame, by: list[str], order: list[str], text: str, n: int = 5) -> DataFrame:
-    """Blocks with ``context``: the last n texts up to each, joined by line ends."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
+def rolling(blocks: DataFrame, by: list[str], order: list[str], text: str, n: int = 5, section: str | None = None) -> DataFrame:
+    """Blocks with ``context``: the last n texts up to each, joined by line ends.
+
+    With ``section`` (of ``sections``) the context begins anew at every heading, which is its first text.
+    """
+    w = W.partitionBy(*by, *([section] if section else [])).orderBy(*order).rowsBetween(-(n - 1), 0)
     return blocks.withColumn("context", F.array_join(F.collect_list(text).over(w), "\n"))
 
 

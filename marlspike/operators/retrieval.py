@@ -52,46 +52,44 @@ def top_ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _best(queries: tuple[list, np.ndarray], k: int, normal: bool):
-    ids, q = queries
-
+def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(0).to_pylist())
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(keys):
-                continue
-            scores = np.round(q @ x.T, 6)
-            n = min(k, len(keys))
-            # best score first, the lower key among equals: the same order as the final ranking
-            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.asarray(ids), n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                names=["qkey", "key", "score"],
-            )
+            for keys, vectors, ids, asked in zip(*(batch.column(i) for i in range(4))):
+                keys, ids = np.asarray(keys.values), np.asarray(ids.values)
+                x, q = (np.asarray(v.values.flatten()).reshape(len(n), -1) for v, n in ((vectors, keys), (asked, ids)))
+                scores = np.round(q @ x.T, 6)
+                n = min(k, len(keys))
+                # best score first, the lower key among equals: the same order as the final ranking
+                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
+                    names=["qkey", "key", "score"],
+                )
 
     return run
 
 
+def _blocked(df: DataFrame, key: str, vector: str, names: tuple[str, str], size: int) -> DataFrame:
+    """Vectors in blocks of about ``size``: one row a block."""
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and v is not null")
+    n = max(1, -(-rows.count() // size))
+    blocks = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias(f"{names[0]}_block")).agg(F.collect_list(F.struct("k", "v")).alias("b"))
+    return blocks.select(f"{names[0]}_block", F.col("b.k").alias(names[0]), F.col("b.v").alias(names[1]))
+
+
 def dense_topk(vectors: DataFrame, key: str, vector: str, questions: DataFrame, qkey: str, qvector: str, k: int = 10, block: int = 2000) -> DataFrame:
-    """qkey, key, score, rank by dot product: exact, each worker keeping its k best, questions in blocks."""
-    out = None
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).filter("v is not null")
-    asked = questions.select(F.col(qkey).cast("long").alias("q"), F.col(qvector).alias("v")).filter("v is not null")
-    batch: list = []
-
-    def scan(part: list) -> DataFrame:
-        return rows.mapInArrow(_best(([r.q for r in part], np.array([r.v for r in part], np.float64)), k, False), "qkey long, key long, score double")
-
-    for r in asked.toLocalIterator():
-        batch.append(r)
-        if len(batch) == block:
-            out, batch = scan(batch) if out is None else out.unionByName(scan(batch)), []
-    if batch:
-        out = scan(batch) if out is None else out.unionByName(scan(batch))
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "qkey long, key long, score double")
-    return top_ranked(out, k)
+    """qkey, key, score, rank by dot product: exact. A stated set of questions meets all vectors, block by block.
+
+    Vectors are read once and put in blocks, so are the questions; every block of vectors is sent to each block of
+    questions by a join on the questions' block, keeps its k best, and only those are ranked. Neither side is on the driver.
+    """
+    left, right = _blocked(vectors, key, vector, ("key", "x"), block), _blocked(questions, qkey, qvector, ("q", "y"), block)
+    ids = right.select("q_block").distinct().groupBy().agg(F.collect_set("q_block").alias("all"))
+    # one row with the numbers of the questions' blocks: a number for every ``block`` questions
+    sent = left.join(F.broadcast(ids)).withColumn("q_block", F.explode("all"))
+    scored = sent.join(right, "q_block").select("key", "x", "q", "y").mapInArrow(_best(k), "qkey long, key long, score double")
+    return top_ranked(scored, k)
 
 
 def fuse(lists: dict[str, tuple[DataFrame, float]], c: int = 60) -> DataFrame:
@@ -110,9 +108,143 @@ def rerank(candidates: DataFrame, n: int = 5, scorer: Callable[..., Column] | No
     return top_ranked(candidates.drop("rank").withColumn("score", scorer(F.col("qkey"), F.col("key"))), n)
 
 
-def context(hits: DataFrame, base: str = "") -> DataFrame:
-    """qkey, context: the hits' texts as numbered blocks. hits: qkey, rank, source, page, text; a few per question."""
+NO_CONTEXT = "No relevant context found."
+
+
+def context(hits: DataFrame, base: str = "", questions: DataFrame | None = None) -> DataFrame:
+    """qkey, context: the hits' texts as numbered blocks. hits: qkey, rank, source, page, text; a few per question.
+
+    A question of ``questions`` (qkey) without hits gets a fixed sentence.
+    """
     tag = F.when(F.contains(F.lower("source"), F.lit(base)) if base else F.lit(True), F.lit("")).otherwise(F.lit(" [UPDATE]"))
     block = F.concat(F.lit("[DOCUMENT "), F.col("rank").cast("string"), F.lit("]"), tag, F.lit("\nSource: "), F.coalesce("source", F.lit("Unknown")), F.lit(" | Page: "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("\nContent:\n"), F.coalesce("text", F.lit("")))
     rows = hits.groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
-    return rows.select("qkey", F.array_join(F.col("b.block"), "\n\n---\n\n").alias("context"))
+    made = rows.select("qkey", F.array_join(F.col("b.block"), "\n\n---\n\n").alias("context"))
+    if questions is None:
+        return made
+    return questions.select("qkey").distinct().join(made, "qkey", "left").select("qkey", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
+
+
+def rerank_batches(candidates: DataFrame, score: Callable[[str, list[str]], list[tuple[int, float]] | None], n: int = 5) -> DataFrame:
+    """qkey, key, rank by a model that is given a question and all its texts: candidates of qkey, key, rank, question, text, a few a question.
+
+    The model returns (position, score) pairs; positions out of range are left out. Where it fails or returns None, the
+    first ``n`` in their old order stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for q, question, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                keys = [c["key"] for c in own]
+                try:
+                    said = score(question, [c["text"] for c in own])
+                except Exception:
+                    said = None
+                best = range(min(n, len(keys))) if said is None else [i for i, _ in sorted(said, key=lambda x: -x[1]) if 0 <= i < len(keys)][:n]
+                out += [(q, keys[i], r + 1) for r, i in enumerate(best)]
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["qkey", "key", "rank"])
+
+    grouped = candidates.groupBy("qkey").agg(F.first("question").alias("question"), F.array_sort(F.collect_list(F.struct("rank", F.col("key").cast("long").alias("key"), "text"))).alias("own"))
+    return grouped.select(F.col("qkey").cast("long").alias("qkey"), "question", "own").mapInArrow(run, "qkey long, key long, rank long")
+
+
+def at_positions(results: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Results (qkey, position from 0, ...) with the candidate at that place of the question's list; places that it doesn't have are left out."""
+    return results.join(candidates.withColumn("position", F.col("rank") - 1), ["qkey", "position"])
+
+
+# ---- models that are passed in, given a batch of texts at a time
+
+
+def in_batches(df: DataFrame, text: str, out: str, kind: str, model: Callable[[list[str]], list], fallback: Callable[[str], object] = lambda t: None, attempts: int = 1, wait: Callable[[float], None] | None = None, size: int = 100) -> DataFrame:
+    """``df`` with a column ``out`` of type ``kind``: what the model says of each text, ``size`` texts at a time.
+
+    A batch that fails is tried ``attempts`` times with growing pauses (2, 4, at most 8 seconds, by ``wait``); then its
+    rows get the fallback. Null texts get it at once.
+    """
+    import time
+
+    from pyspark.sql.types import DataType, StructType
+
+    pause = wait or time.sleep
+    schema = StructType.fromJson(df.schema.jsonValue()).add(out, DataType.fromDDL(kind))
+
+    def ask(texts: list[str]) -> list:
+        for k in range(attempts):
+            try:
+                said = model(texts)
+                if len(said) == len(texts):
+                    return said
+            except Exception:
+                if k + 1 < attempts:
+                    pause(backoff(k + 1))
+        return [fallback(t) for t in texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = to_arrow_type(schema[out].dataType)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            said = [fallback(t) if t is None else None for t in texts]
+            at = [i for i, t in enumerate(texts) if t is not None]
+            for lo in range(0, len(at), size):
+                part = at[lo : lo + size]
+                for i, x in zip(part, ask([texts[i] for i in part])):
+                    said[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, arrow)], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def backoff(attempt: int, most: float = 8.0) -> float:
+    """Seconds to wait behind a failed attempt, counted from 1."""
+    return min(most, 2.0**attempt)
+
+
+def normalised(vector: Column) -> Column:
+    """The vector at length 1; zero vectors stay."""
+    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.when(size == 0, F.transform(vector, lambda x: x.cast("double"))).otherwise(F.transform(vector, lambda x: x.cast("double") / size))
+
+
+def embed(df: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:
+    """``df`` with a vector of length 1 for each text."""
+    return in_batches(df, text, out, "array<double>", model).withColumn(out, normalised(F.col(out)))
+
+
+def rewritten(df: DataFrame, history: str, question: str, model: Callable[[list[str]], list[str]], out: str = "query") -> DataFrame:
+    """``df`` with the question as the model rewrites it in view of the last six messages; blank and failed answers leave it as it is."""
+    from .conversation import last_n, role
+
+    said = F.transform(last_n(F.col(history), 6), lambda m: F.concat(F.initcap(role(m["role"])), F.lit(": "), F.coalesce(m["content"], F.lit(""))))
+    before = F.when(F.coalesce(F.size(history), F.lit(0)) > 0, F.array_join(said, "\n")).otherwise(F.lit("No previous history."))
+    asked = F.concat(F.lit("Chat History:\n"), before, F.lit("\n\nLatest Question: "), F.coalesce(question, F.lit("")))
+    made = in_batches(df.withColumn("__prompt", asked), "__prompt", out, "string", model)
+    return made.withColumn(out, F.coalesce(F.nullif(T.strip(F.col(out)), F.lit("")), F.col(question))).drop("__prompt")
+
+
+def extracted(df: DataFrame, text: str, schema: str, model: Callable[[list[str]], list[str]], out: str = "record") -> DataFrame:
+    """``df`` with a struct of ``schema`` that is read from the JSON the model answers; what can't be read is null."""
+    return in_batches(df, text, "__json", "string", model).withColumn(out, F.from_json("__json", schema)).drop("__json")
+
+
+# ---- the sparse index's state
+
+
+def save_state(counts: DataFrame, stats: DataFrame, path: str) -> None:
+    """Document frequencies and statistics, written beside each other."""
+    document_frequencies(counts).write.mode("overwrite").parquet(f"{path}/df")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_state(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(document frequencies, statistics) as saved; an empty state where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/stats")
+    except AnalysisException:
+        return spark.createDataFrame([], "term string, df long"), spark.createDataFrame([(0, 0.0)], "n_docs long, avgdl double")

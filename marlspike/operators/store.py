@@ -40,8 +40,10 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
 def delete_stale(df: DataFrame, current: DataFrame, key: str, same: str) -> DataFrame:
     """Rows that share ``same`` with a current row but have another ``key`` go."""
     now = current.select(F.col(same), F.col(key).alias("__now")).filter(F.col(same).isNotNull())
-    now = now.groupBy(same).agg(F.collect_set("__now").alias("__now"))
-    return df.join(now, same, "left").filter(F.col("__now").isNull() | F.array_contains("__now", F.col(key))).drop("__now")
+    shared = now.select(same).distinct().withColumn("__shared", F.lit(True))
+    mine = now.select(same, F.col("__now").alias(key)).distinct().withColumn("__mine", F.lit(True))
+    kept = df.join(shared, same, "left").join(mine, [same, key], "left").filter("__shared is null or __mine")
+    return kept.select(*df.columns)
 
 
 def insert(df: DataFrame, key: str, constants: dict[str, Column]) -> DataFrame:
@@ -100,3 +102,33 @@ def activity(files: DataFrame, chats: DataFrame, users: DataFrame, n: int) -> Da
     b = chats.select(F.lit("chat").alias("icon"), moment(F.col("created_at")).alias("ts"), say("New conversation started: ", F.coalesce("title", F.lit("Untitled"))).alias("description"))
     c = attributes(users).select(F.lit("user").alias("icon"), F.col("joined").alias("ts"), say("New user registered: ", F.col("username")).alias("description"))
     return top(top(a.distinct()).unionByName(top(b.distinct())).unionByName(top(c.distinct())))
+
+
+def delete_everywhere(tables: dict[str, tuple[DataFrame, str]], keys: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Each table (and the name of its column) without the keys: index, metadata and stored objects go together."""
+    return {name: delete_keys(df, keys.select(F.col(key).alias(column)), [column]) for name, (df, column) in tables.items()}
+
+
+def set_attribute(users: DataFrame, condition: Column, name: str, value: Column) -> DataFrame:
+    """Users with one attribute set where the condition holds: replaced where it is, else put at the end."""
+    had = F.coalesce(F.col("attributes"), F.array().cast("array<struct<name:string,value:string>>"))
+    new = F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    changed = F.when(F.exists(had, lambda a: a["name"] == name), F.transform(had, lambda a: F.when(a["name"] == name, new).otherwise(a))).otherwise(F.concat(had, F.array(new)))
+    return users.withColumn("attributes", F.when(F.coalesce(condition, F.lit(False)), changed).otherwise(F.col("attributes")))
+
+
+def rewrite_key(records: DataFrame, identities: DataFrame, on: str, key: str, new: str) -> DataFrame:
+    """Records with ``key`` replaced by the identity's ``new`` for the same ``on``; records without an identity are left out."""
+    known = identities.filter(F.col(on).isNotNull()).groupBy(on).agg(F.min(new).alias("__new"))
+    return records.join(known, on).withColumn(key, F.col("__new")).drop("__new")
+
+
+def allowed(value: Column, states: tuple[str, ...]) -> Column:
+    """Whether a value is one of the allowed states; null isn't."""
+    return F.coalesce(value.isin(*states), F.lit(False))
+
+
+def file_list(files: DataFrame) -> DataFrame:
+    """Files as a client lists them: name, size (0 if unknown); rows without a name are left out."""
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("long") if "size" in files.columns else F.lit(0).cast("long")
+    return files.filter("filename is not null").select(F.col("filename").alias("name"), size.alias("size"))

@@ -219,7 +219,8 @@ def rerank_top5(spark, d):
 @query
 def context_blocks(spark, d):
     hits = _sparse(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source", "text"), "key")
-    return retrieval.context(hits.withColumn("page", F.lit(None).cast("int")), base="library")
+    asked = table(spark, d, "eval_items").select(F.col("item_id").alias("qkey")).unionByName(spark.range(-1, 0).select(F.col("id").alias("qkey")))
+    return retrieval.context(hits.withColumn("page", F.lit(None).cast("int")), base="library", questions=asked)
 
 
 # ---- records
@@ -330,9 +331,9 @@ def distinct_sources(spark, d):
 
 @query
 def missing_uploads(spark, d):
-    """Sources with pages but without a row of their upload."""
+    """Sources with pages but without an upload that names who made it."""
     s = table(spark, d, "raw_docs").select(F.col("source").alias("filename")).distinct()
-    return s.join(table(spark, d, "files").select("filename").distinct(), "filename", "left_anti")
+    return s.join(table(spark, d, "files").filter("uploaded_by is not null").select("filename").distinct(), "filename", "left_anti")
 
 
 @query
@@ -385,7 +386,7 @@ def history_last6(spark, d):
 def history_compaction(spark, d):
     c = conversation.fullest(table(spark, d, "conversations")).filter("messages is not null")
     m = c.select("conv_id", conversation.compact(F.col("messages")).alias("m"))
-    return m.select("conv_id", F.size("m").cast("long").alias("n"), F.length(F.coalesce(F.try_element_at("m", F.lit(1))["content"], F.lit(""))).cast("long").alias("first_length"))
+    return m.select("conv_id", F.size("m").cast("long").alias("n"), F.coalesce(F.try_element_at("m", F.lit(1))["content"], F.lit("")).alias("first_content"))
 
 
 @query
@@ -427,8 +428,8 @@ def gap_islands(spark, d):
 @query
 def page_columns(spark, d):
     m = _marks(spark, d).filter("not (l_quantity between 12 and 17) and not (l_quantity between 36 and 41)")
-    g = layout.gaps(layout.histogram(m, "page", F.col("l_quantity"), F.lit(60.0)), "page")
-    return layout.columns(g, "page").select("page", F.col("column").cast("long").alias("column"), "left", "right")
+    g = layout.gaps(layout.histogram(m, "page", F.col("l_quantity"), F.lit(60.0)), "page").filter("page % 5 <> 0")
+    return layout.columns(g, "page", m).select("page", F.col("column").cast("long").alias("column"), "left", "right")
 
 
 @query
@@ -470,30 +471,37 @@ def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _drain(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream until its input is used up and return what it wrote, from files in the shared folder."""
+def _drain(df: DataFrame, mode: str, keys: list[str] = ()) -> DataFrame:
+    """Run a stream until its input is used up and return what it wrote, from files in the shared folder.
+
+    In append mode a row is written once. In update mode every batch writes its changed rows under its number,
+    and of each key the row of the last batch counts.
+    """
     spark = df.sparkSession
     root = f"{session.shared_folder(spark)}/stream-{spark.sql('SELECT uuid()').first()[0]}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{root}/out")
     else:
-        q = df.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out")).outputMode(mode)
+        q = df.writeStream.foreachBatch(lambda b, n: b.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/batch={n}")).outputMode(mode)
     q.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{root}/out")
+    if mode == "append":
+        return spark.read.schema(df.schema).parquet(f"{root}/out")
+    written = spark.read.parquet(f"{root}/out/batch=*")
+    return store.latest(written, keys, [F.col("__batch")]).select(*df.columns)
 
 
 @query
 def stream_counts(spark, d):
-    """Counts by type kept by a stream over the events, as of its end."""
+    """Counts by type kept by a stream over the events, as of its end; only changed counts are written."""
     events = _streamed(spark, d, "events")
-    return _drain(events.groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+    return _drain(events.groupBy("event_type").agg(F.count("*").alias("n")), "update", ["event_type"])
 
 
 @query
 def stream_windows(spark, d):
-    """Five-minute windows of the events; complete mode keeps every window, so nothing is too late."""
+    """Five-minute windows of the events that are closed at the end: written once, when the watermark has passed them."""
     w = chat.windowed(_streamed(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    return _drain(w, "complete").select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+    return _drain(w, "append").select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 # ---- further forms
@@ -522,11 +530,8 @@ def top_per_group(spark, d):
 
 @query
 def longest_recent_word(spark, d):
-    """The longest of a text's last eight words that is no number and longer than three; the first of equals."""
-    last = F.slice(F.reverse(T.words(F.coalesce("text", F.lit("")))), 1, 8)
-    good = F.filter(F.reverse(last), lambda w: (F.length(w) > 3) & ~w.rlike(r"^[0-9.,]+$"))
-    ranked = F.transform(good, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w")))
-    return table(spark, d, "documents").select("doc_id", F.array_max(ranked)["w"].alias("word"))
+    """The longest of a text's last eight words, marks taken off, that is no number and longer than three; the first of equals."""
+    return table(spark, d, "documents").select("doc_id", T.longest_recent_word(F.col("text")).alias("word"))
 
 
 @query
@@ -565,3 +570,196 @@ def history_merge(spark, d):
 def server_events(spark, d):
     """Regions as the lines that a browser reads."""
     return chat.server_events(table(spark, d, "region").select(F.lit("chunk").alias("type"), F.col("r_name").alias("text")))
+
+
+@query
+def event_lines(spark, d):
+    """Lines of all three sorts, read again."""
+    r = table(spark, d, "region")
+    kind = F.when(F.col("r_regionkey") == 0, "error").when(F.col("r_regionkey") == 1, "done").otherwise("chunk")
+    lines = chat.server_events(r.select(kind.alias("type"), F.col("r_name").alias("text"), F.when(kind == "done", F.lit("c1")).alias("conv_id")))
+    return chat.read_events(lines, "line")
+
+
+@query
+def relative_time_text(spark, d):
+    """Upload times as text: missing ones are just now, malformed ones a while ago."""
+    f = table(spark, d, "files").select("filename", "uploaded_at").distinct()
+    return f.select("filename", "uploaded_at", T.relative_time(F.col("uploaded_at"), F.lit(NOW).cast("timestamp")).alias("ago"))
+
+
+@query
+def rolling_sections(spark, d):
+    """The last five pages up to each, anew at every heading."""
+    b = pages(spark, d).filter("type = 'docx_section'").select("raw_id", "source", "seq", "section_heading", F.left(F.coalesce("page_content", F.lit("")), F.lit(20)).alias("head"))
+    s = layout.sections(b, "source", "seq", "raw_id", F.coalesce(F.trim("section_heading"), F.lit("")) != "")
+    return layout.rolling(s, ["source"], ["seq", "raw_id"], "head", 5, "section").select("raw_id", "context")
+
+
+@query
+def users_by_joined(spark, d):
+    u = store.attributes(table(spark, d, "users")).distinct().filter("joined is not null")
+    return u.select("id", F.unix_micros("joined").alias("joined")).orderBy(F.col("joined").desc(), "id")
+
+
+@query
+def customers_by_name(spark, d):
+    return table(spark, d, "customer").select("c_name", "c_custkey").orderBy("c_name", "c_custkey")
+
+
+@query
+def file_list(spark, d):
+    return store.file_list(table(spark, d, "files")).distinct()
+
+
+@query
+def log_snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.log_snippet(F.col("text")).alias("snippet"))
+
+
+@query
+def kilobytes(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.kilobytes(F.col("n_chars")).alias("kb"))
+
+
+@query
+def html_titles(spark, d):
+    html = F.concat(F.lit("<html><TITLE>"), "n_name", F.lit("\n</Title><title>x</title>"))
+    return table(spark, d, "nation").select("n_nationkey", T.html_title(F.when(F.col("n_nationkey") > 3, html).otherwise(F.lit("none"))).alias("title"))
+
+
+@query
+def paragraph_split(spark, d):
+    p = table(spark, d, "documents").select("doc_id", T.paragraphs(F.coalesce("text", F.lit(""))).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", "¶").alias("paragraphs"))
+
+
+@query
+def iso_times(spark, d):
+    return table(spark, d, "documents").filter("published_at is not null").select("doc_id", T.iso(F.col("published_at").cast("timestamp")).alias("published"))
+
+
+@query
+def thousands(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.grouped(F.when(F.col("c_custkey") % 3 == 0, F.lit("n/a")).otherwise((F.col("c_custkey") * 7919).cast("string"))).alias("shown"))
+
+
+@query
+def allowed_states(spark, d):
+    r = table(spark, d, "reports").dropDuplicates(["report_id"])
+    return r.select("report_id", store.allowed(F.lower(F.trim("status")), ("done", "ignored")).alias("allowed"))
+
+
+@query
+def usable_names(spark, d):
+    return table(spark, d, "users").select("username").distinct().select("username", T.usable_name(F.col("username")).alias("usable"), T.usable_name(F.left("username", F.lit(2))).alias("short"))
+
+
+@query
+def delete_everywhere(spark, d):
+    """A source deleted from pages and uploads together: what is left, by table."""
+    gone = table(spark, d, "raw_docs").groupBy("source").agg(F.countDistinct("raw_id").alias("n")).filter("n > 20").select("source")
+    left = store.delete_everywhere({"pages": (pages(spark, d), "source"), "files": (table(spark, d, "files"), "filename")}, gone, "source")
+    return left["pages"].agg(F.count("*").alias("n")).select(F.lit("pages").alias("tab"), "n").unionByName(left["files"].agg(F.count("*").alias("n")).select(F.lit("files").alias("tab"), "n"))
+
+
+@query
+def attribute_update(spark, d):
+    """Unconfirmed users get a role; others keep theirs."""
+    u = store.set_attribute(table(spark, d, "users"), F.col("userstatus") == "UNCONFIRMED", "custom:role", F.lit("guest"))
+    return store.attributes(u).select("id", "role").distinct()
+
+
+@query
+def identity_rewrite(spark, d):
+    """Reports with the reporter's id taken from the user with the same address."""
+    u = store.attributes(table(spark, d, "users")).select(F.nullif("email", F.lit("")).alias("reporter_email"), "sub")
+    r = table(spark, d, "reports").dropDuplicates(["report_id"]).select("report_id", "reporter_email", "reporter_uid")
+    return store.rewrite_key(r, u, "reporter_email", "reporter_uid", "sub").select("report_id", "reporter_uid")
+
+
+@query
+def first_row_header(spark, d):
+    n = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    return table(spark, d, "nation").select("n_nationkey", F.concat(F.when(n == 1, "Nations: ").otherwise("  "), "n_name").alias("line"))
+
+
+@query
+def model_messages(spark, d):
+    """The messages for a model with a picture block for some, as their roles and texts, and the marked question."""
+    c = conversation.fullest(table(spark, d, "conversations"))
+    image = F.when(F.length("conv_id") % 2 == 0, F.base64(F.encode("conv_id", "utf-8")))
+    m = conversation.message_list(F.lit("Be brief."), F.col("messages"), F.coalesce("title", F.lit("?")), image)
+    said = F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit("="), conversation.text_of(x["content"]))), "|")
+    marked = conversation.shown(F.coalesce("title", F.lit("?")), image.isNotNull())
+    return c.select("conv_id", said.alias("said"), marked.alias("marked"), conversation.without_marker(marked).alias("bare"))
+
+
+@query
+def vector_norms(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", retrieval.normalised(F.col("embedding")).alias("v"))
+    return v.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("size"))
+
+
+# ---- models passed in, by deterministic stand-ins
+
+
+@query
+def embedded_texts(spark, d):
+    """Vectors of three counts, at length 1."""
+    q = table(spark, d, "eval_items").select("item_id", "question")
+    e = retrieval.embed(q, "question", lambda texts: [[float(len(t)), float(t.count("e")), float(t.count(" "))] for t in texts])
+    return e.select("item_id", F.round(F.col("embedding")[0], 6).alias("x"), F.round(F.col("embedding")[1], 6).alias("y"), F.round(F.col("embedding")[2], 6).alias("z"))
+
+
+def _by_length(question, texts):
+    """Longest modulo 97 first, one place too many; questions of some lengths make it fail."""
+    if len(question) % 7 == 0:
+        raise TimeoutError
+    return [(i, len(t or "") % 97) for i, t in enumerate(texts)] + [(len(texts), 1000)]
+
+
+@query
+def reranked_by_model(spark, d):
+    hits = _sparse(spark, d, 10).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), "key").join(table(spark, d, "eval_items").select(F.col("item_id").alias("qkey"), "question"), "qkey")
+    return retrieval.rerank_batches(hits, _by_length, 5)
+
+
+@query
+def rewritten_queries(spark, d):
+    """The question behind the history in capitals; the model fails on batches that hold a blank one."""
+    c = conversation.fullest(table(spark, d, "conversations")).select("conv_id", "messages", F.coalesce("title", F.lit("")).alias("title"))
+    out = retrieval.rewritten(c, "messages", "title", lambda ps: [p.rpartition("Latest Question: ")[2].upper() + (" *" if p.startswith("Chat History:\nNo previous") else "") for p in ps])
+    return out.select("conv_id", "query")
+
+
+@query
+def extracted_records(spark, d):
+    """Records read from a model's JSON; broken answers are null."""
+    said = lambda ts: ["{" if len(t) % 5 == 0 else '{"n": %d, "kind": "q"}' % len(t) for t in ts]
+    r = retrieval.extracted(table(spark, d, "eval_items").select("item_id", "question"), "question", "n long, kind string", said)
+    return r.select("item_id", F.coalesce("record.n", F.lit(-1)).alias("n"), F.coalesce("record.kind", F.lit("none")).alias("kind"))
+
+
+@query
+def recognised(spark, d):
+    """A model that fails twice on every batch and then answers, without waiting; a null gives an empty text."""
+    tries = {}
+
+    def model(texts):
+        tries[texts[0]] = tries.get(texts[0], 0) + 1
+        if tries[texts[0]] < 3:
+            raise TimeoutError
+        return [t[::-1] for t in texts]
+
+    n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") != 5, F.col("n_name")).alias("image"))
+    return retrieval.in_batches(n, "image", "text", "string", model, lambda t: "", 3, lambda s: None).select("n_nationkey", "text")
+
+
+@query
+def bm25_chunks(spark, d):
+    """Document frequencies over the final chunks, saved and loaded."""
+    chunks = chunking.chunk(pages(spark, d)).select("chunk_id", "text")
+    path = f"{session.shared_folder(spark)}/state-{spark.sql('SELECT uuid()').first()[0]}"
+    retrieval.save_state(retrieval.term_counts(chunks, "chunk_id", "text"), retrieval.corpus_statistics(chunks, "chunk_id", "text"), path)
+    return retrieval.load_state(spark, path)[0]

@@ -150,15 +150,15 @@ ORACLES: dict[str, str] = {
     "display_text": f"SELECT report_id, CASE WHEN length(msg_snippet) > 70 THEN left(msg_snippet, 70) || '…' ELSE msg_snippet END AS snippet, upper(left(trim(status), 1)) || lower(substr(trim(status), 2)) AS status, replace(replace(other_text, '<', '&lt;'), '>', '&gt;') AS other FROM {REPORTS}",
     "citation_rank": f"""SELECT raw_id, number, file, pages FROM (SELECT raw_id, unnest([1, 2])::BIGINT AS number, unnest([source, 'manual.pdf']) AS file,
         unnest([array_to_string(list_sort(list_distinct([coalesce(page, 0)::VARCHAR, '7', '3'])), ','), '']) AS pages FROM {PAGES} WHERE source <> 'manual.pdf')""",
-    "password_marks": "SELECT p_partkey, CASE WHEN m <= 2 THEN 'Weak' WHEN m <= 4 THEN 'Medium' ELSE 'Strong' END AS strength FROM (SELECT p_partkey, (length(x) >= 8)::INT + regexp_matches(x, '[a-z]')::INT + regexp_matches(x, '[A-Z]')::INT + regexp_matches(x, '[0-9]')::INT + regexp_matches(x, '[^A-Za-z0-9]')::INT AS m FROM (SELECT p_partkey, p_brand || '-' || p_size AS x FROM part))",
+    "password_marks": f"SELECT p_partkey, CASE WHEN m < 2 THEN 'Weak' WHEN m < 4 THEN 'Medium' ELSE 'Strong' END AS strength FROM (SELECT p_partkey, (length(x) >= 8)::INT + regexp_matches(x, '[a-z]')::INT + regexp_matches(x, '[A-Z]')::INT + regexp_matches(x, '[0-9]')::INT + regexp_matches(x, '[!@#$%^&*(),.?\":{{}}|<>]')::INT AS m FROM (SELECT p_partkey, p_brand || '-' || p_size AS x FROM part))",
     "bm25_fit": f"SELECT term, count(*) AS df FROM {TF} GROUP BY 1",
     "bm25_stats": f"SELECT count(*) AS n_docs, round(avg(len({terms('text')})), 6) AS avgdl FROM documents",
     "bm25_topk": f"WITH {SPARSE} SELECT * FROM sparse WHERE rank <= 10",
     "dense_topk": f"WITH {dense('SELECT vec_id AS qkey, embedding FROM embeddings WHERE vec_id % 50 = 0')} SELECT * FROM dense WHERE rank <= 10",
     "rrf_fusion": f"{FUSED} SELECT * FROM fused",
     "rerank_top5": f"{FUSED} SELECT qkey, key, rank FROM fused WHERE rank <= 5",
-    "context_blocks": f"""WITH {SPARSE} SELECT qkey, string_agg('[DOCUMENT ' || rank || ']' || CASE WHEN source IS NULL THEN '' WHEN contains(lower(source), 'library') THEN '' ELSE ' [UPDATE]' END || chr(10) || 'Source: ' || coalesce(source, 'Unknown') || ' | Page: ?' || chr(10) || 'Content:' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
-        FROM sparse JOIN documents ON doc_id = key WHERE rank <= 5 GROUP BY 1""",
+    "context_blocks": f"""WITH {SPARSE} SELECT a.qkey, coalesce(c.context, 'No relevant context found.') AS context FROM (SELECT item_id AS qkey FROM eval_items UNION SELECT -1) a LEFT JOIN (SELECT qkey, string_agg('[DOCUMENT ' || rank || ']' || CASE WHEN source IS NULL THEN '' WHEN contains(lower(source), 'library') THEN '' ELSE ' [UPDATE]' END || chr(10) || 'Source: ' || coalesce(source, 'Unknown') || ' | Page: ?' || chr(10) || 'Content:' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+        FROM sparse JOIN documents ON doc_id = key WHERE rank <= 5 GROUP BY 1) c USING (qkey)""",
     "upsert_latest": "SELECT conv_id, uid, max(len(messages))::BIGINT AS n_messages FROM conversations GROUP BY 1, 2",
     "keyed_upsert": "SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN upper(s_name) ELSE s_name END AS s_name, CASE WHEN s_nationkey = 3 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier",
     "conditional_update": f"SELECT report_id, CASE WHEN lower(status) = 'pending' THEN 'done' ELSE status END AS status, CASE WHEN lower(status) = 'pending' THEN '2026-01-01T00:00:00Z' ELSE resolved_at END AS resolved_at FROM {REPORTS}",
@@ -177,9 +177,9 @@ ORACLES: dict[str, str] = {
     "user_lookup_fallback": f"""SELECT report_id, coalesce(a.id, b.id) AS id FROM {REPORTS} r LEFT JOIN (SELECT sub, min(id) AS id FROM {USERS} WHERE sub IS NOT NULL GROUP BY 1) a ON a.sub = r.reporter_uid
         LEFT JOIN (SELECT email, min(id) AS id FROM {USERS} WHERE email <> '' GROUP BY 1) b ON b.email = r.reporter_email""",
     "report_cutoff": f"""SELECT report_id, coalesce(len(messages), -1)::BIGINT AS n_messages, CASE WHEN messages IS NULL THEN -1 ELSE coalesce(list_max(list_transform(messages, lambda m, i: CASE WHEN {role('m.role')} = 'assistant' AND h <> '' AND contains(coalesce(m.content, ''), h) THEN i END)), len(messages)) END::BIGINT AS cut
-        FROM (SELECT r.report_id, c.messages, left(coalesce(r.msg_snippet, ''), 50) AS h FROM {REPORTS} r LEFT JOIN {LATEST} c ON c.conv_id = r.conv_id AND c.uid = r.reporter_uid)""",
+        FROM (SELECT r.report_id, c.messages, left({strip("coalesce(r.msg_snippet, '')")}, 50) AS h FROM {REPORTS} r LEFT JOIN {LATEST} c ON c.conv_id = r.conv_id AND c.uid = r.reporter_uid)""",
     "distinct_sources": "SELECT source, min(seq)::BIGINT AS first_seq, count(DISTINCT raw_id) AS n FROM raw_docs GROUP BY 1",
-    "missing_uploads": "SELECT DISTINCT source AS filename FROM raw_docs WHERE NOT EXISTS (SELECT 1 FROM files WHERE filename = source)",
+    "missing_uploads": "SELECT DISTINCT source AS filename FROM raw_docs WHERE NOT EXISTS (SELECT 1 FROM files WHERE filename = source AND uploaded_by IS NOT NULL)",
     "existence_flags": "SELECT DISTINCT username, len(list_filter(attributes, lambda a: a.name = 'email')) > 0 AS has_email, len(attributes)::BIGINT AS n FROM users",
     "code_lookup": "SELECT n_nationkey, coalesce(r_name, 'other') AS region FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey",
     "positional_zip": "SELECT p_partkey, unnest([0, 1, 2])::BIGINT AS pos, unnest(['name', 'brand', 'type']) AS k, unnest([p_name, p_brand, p_type]) AS v FROM part",
@@ -187,14 +187,15 @@ ORACLES: dict[str, str] = {
     "yearly_rollup": "SELECT o_custkey, year(o_orderdate)::BIGINT AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2",
     "grouped_members": "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS members FROM nation GROUP BY 1",
     "history_last6": f"SELECT conv_id, pos, {role('m.role')} AS role, m.content AS content FROM (SELECT conv_id, unnest(x) AS m, (generate_subscripts(x, 1) - 1)::BIGINT AS pos FROM (SELECT conv_id, list_slice(messages, -6, -1) AS x FROM {LATEST}))",
-    "history_compaction": f"""SELECT conv_id, CASE WHEN len(messages) > 10 THEN 7 ELSE len(messages) END::BIGINT AS n, CASE WHEN len(messages) > 10 THEN length(array_to_string(list_transform(list_slice(messages, 1, len(messages) - 6), lambda m: {role('m.role')} || ': ' || coalesce(m.content, '')), chr(10)))
-        ELSE length(coalesce(messages[1].content, '')) END::BIGINT AS first_length FROM {LATEST} WHERE messages IS NOT NULL""",
+    "history_compaction": f"""SELECT conv_id, CASE WHEN len(messages) > 10 THEN 7 ELSE len(messages) END::BIGINT AS n, CASE WHEN len(messages) > 10 THEN 'Previous conversation summary: ' || array_to_string(list_transform(list_slice(messages, 1, len(messages) - 6), lambda m: {role('m.role')} || ': ' || coalesce(m.content, '')), chr(10))
+        ELSE coalesce(messages[1].content, '') END AS first_content FROM {LATEST} WHERE messages IS NOT NULL""",
     "visible_messages": f"SELECT conv_id, coalesce(len(list_filter(messages, lambda m: {role('m.role')} <> 'system')), 0)::BIGINT AS n FROM {LATEST}",
     "conv_title": f"SELECT conv_id, coalesce(left(list_filter(messages, lambda m: {role('m.role')} = 'user')[1].content, 40), 'Untitled Chat') AS derived FROM {LATEST}",
     "transcript": f"SELECT conv_id, array_to_string(list_transform(messages, lambda m: {role('m.role')} || ': ' || coalesce(m.content, '')), chr(10)) AS text FROM {LATEST} WHERE messages IS NOT NULL",
     "column_histogram": hist(),
     "gap_islands": GAPS,
-    "page_columns": f"""SELECT page, row_number() OVER (PARTITION BY page ORDER BY l) AS "column", l AS "left", r AS "right" FROM (SELECT page, unnest(list_concat([0.0::DOUBLE], m)) AS l, unnest(list_concat(m, [10.0::DOUBLE])) AS r FROM (SELECT page, list((start + stop) / 2.0::DOUBLE ORDER BY start) AS m FROM ({GAPS}) GROUP BY 1))""",
+    "page_columns": f"""SELECT page, row_number() OVER (PARTITION BY page ORDER BY l) AS "column", l AS "left", r AS "right" FROM (SELECT page, unnest(list_concat([0.0::DOUBLE], m)) AS l, unnest(list_concat(m, [10.0::DOUBLE])) AS r FROM (
+        SELECT p.page, coalesce(m, []) AS m FROM (SELECT DISTINCT l_suppkey AS page FROM lineitem WHERE {_THIN}) p LEFT JOIN (SELECT page, list((start + stop) / 2.0::DOUBLE ORDER BY start) AS m FROM ({GAPS}) WHERE page % 5 <> 0 GROUP BY 1) USING (page)))""",
     "heading_sections": f"SELECT raw_id, sum(CASE WHEN coalesce(trim(section_heading), '') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY seq, raw_id)::BIGINT AS section FROM {PAGES} WHERE type = 'docx_section'",
     "rolling_context": "SELECT o_orderkey, string_agg(o_orderpriority, chr(10)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS context FROM orders",
     "merged_cells": "SELECT n_nationkey, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 'region ' || n_regionkey ELSE '' END AS cell FROM nation",
@@ -205,7 +206,7 @@ ORACLES: dict[str, str] = {
     "running_total": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS total FROM orders",
     "top_per_group": "SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
     "longest_recent_word": f"""SELECT d.doc_id, w AS word FROM documents d LEFT JOIN (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, i) AS rn FROM (
-        SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_slice({words("coalesce(text, '')")}, -8, -1) AS x FROM documents)) WHERE length(w) > 3 AND NOT regexp_matches(w, '^[0-9.,]+$')) g ON g.doc_id = d.doc_id AND rn = 1""",
+        SELECT doc_id, regexp_replace(unnest(x), '[^A-Za-z0-9_-]', '', 'g') AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_slice({words("coalesce(text, '')")}, -8, -1) AS x FROM documents)) WHERE length(w) > 3 AND try_cast(w AS DOUBLE) IS NULL) g ON g.doc_id = d.doc_id AND rn = 1""",
     "url_encoded": "SELECT DISTINCT filename, replace(url_encode(filename), '%20', '+') AS encoded FROM files",
     "date_display": "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS shown FROM orders",
     "base64_text": "SELECT n_nationkey, base64(encode(n_name)) AS b FROM nation",
@@ -215,6 +216,37 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT conv_id, unnest(['user', 'assistant']) FROM {LATEST}) GROUP BY 1, 2""",
     "server_events": """SELECT 'data: {"type":"chunk","text":"' || r_name || '"}' || chr(10) || chr(10) AS line FROM region""",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
-    "stream_windows": "SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "stream_windows": """SELECT start, event_type, n, value FROM (SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2)
+        WHERE start + 300000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""",
     "row_text": "SELECT s_suppkey, 'Row: ' || s_name || ' | ' || s_nationkey || CASE WHEN s_nationkey > 9 THEN ' | x' ELSE '' END AS line FROM supplier",
+    "event_lines": "SELECT CASE r_regionkey WHEN 0 THEN 'error' WHEN 1 THEN 'done' ELSE 'chunk' END AS type, r_name AS text, CASE WHEN r_regionkey = 1 THEN 'c1' END AS conv_id FROM region",
+    "relative_time_text": f"""SELECT filename, uploaded_at, CASE WHEN uploaded_at IS NULL OR uploaded_at = '' THEN 'just now' WHEN s IS NULL THEN 'a while ago' ELSE CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' minute' || CASE WHEN s // 60 > 1 THEN 's' ELSE '' END || ' ago' WHEN s < 86400 THEN (s // 3600) || ' hour' || CASE WHEN s // 3600 > 1 THEN 's' ELSE '' END || ' ago' ELSE (s // 86400) || ' day' || CASE WHEN s // 86400 > 1 THEN 's' ELSE '' END || ' ago' END END AS ago
+        FROM (SELECT DISTINCT filename, uploaded_at, 1767225600 - floor(epoch({moment('uploaded_at')}))::BIGINT AS s FROM files)""",
+    "rolling_sections": f"""SELECT raw_id, string_agg(head, chr(10)) OVER (PARTITION BY source, section ORDER BY seq, raw_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS context FROM (
+        SELECT raw_id, source, seq, left(coalesce(page_content, ''), 20) AS head, sum(CASE WHEN coalesce(trim(section_heading), '') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY seq, raw_id) AS section FROM {PAGES} WHERE type = 'docx_section')""",
+    "users_by_joined": f"SELECT id, epoch_us(joined) AS joined FROM {USERS} WHERE joined IS NOT NULL ORDER BY joined DESC, id",
+    "customers_by_name": "SELECT c_name, c_custkey FROM customer ORDER BY c_name, c_custkey",
+    "file_list": "SELECT DISTINCT filename AS name, 0::BIGINT AS size FROM files WHERE filename IS NOT NULL",
+    "log_snippets": "SELECT doc_id, left(replace(text, chr(10), ' '), 80) AS snippet FROM documents",
+    "kilobytes": "SELECT doc_id, printf('%.1f', floor(coalesce(n_chars, 0) / 1024.0::DOUBLE * 10 + 0.5) / 10) AS kb FROM documents",
+    "html_titles": "SELECT n_nationkey, CASE WHEN n_nationkey > 3 THEN n_name || chr(10) END AS title FROM nation",
+    "paragraph_split": f"""SELECT doc_id, len(p)::BIGINT AS n, array_to_string(p, '¶') AS paragraphs FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\n+'), lambda x: {strip('x')}), lambda x: x <> '') AS p FROM documents)""",
+    "iso_times": "SELECT doc_id, strftime(published_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS published FROM documents WHERE published_at IS NOT NULL",
+    "thousands": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE format('{:,}', c_custkey * 7919) END AS shown FROM customer",
+    "allowed_states": f"SELECT report_id, coalesce(lower(trim(status)) IN ('done', 'ignored'), false) AS allowed FROM {REPORTS}",
+    "usable_names": "SELECT DISTINCT username, coalesce(length(trim(username)) >= 3 AND NOT regexp_matches(username, '[@\\s]'), false) AS usable, false AS short FROM users",
+    "delete_everywhere": f"""WITH gone AS (SELECT source FROM raw_docs GROUP BY 1 HAVING count(DISTINCT raw_id) > 20) SELECT 'pages' AS tab, count(*) AS n FROM {PAGES} WHERE source IS NULL OR source NOT IN (SELECT source FROM gone WHERE source IS NOT NULL)
+        UNION ALL SELECT 'files', count(*) FROM files WHERE filename NOT IN (SELECT source FROM gone WHERE source IS NOT NULL)""",
+    "attribute_update": f"SELECT DISTINCT id, CASE WHEN status = 'UNCONFIRMED' THEN 'guest' ELSE role END AS role FROM {USERS}",
+    "identity_rewrite": f"SELECT report_id, u.sub AS reporter_uid FROM {REPORTS} r JOIN (SELECT email, min(sub) AS sub FROM {USERS} WHERE email <> '' GROUP BY 1) u ON u.email = r.reporter_email",
+    "first_row_header": "SELECT n_nationkey, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 'Nations: ' ELSE '  ' END || n_name AS line FROM nation",
+    "model_messages": f"""SELECT conv_id, 'system=Be brief.' || coalesce(array_to_string(list_transform(messages, lambda m: '|' || {role('m.role')} || '=' || coalesce(m.content, '')), ''), '') || '|user=' || coalesce(title, '?') AS said,
+        coalesce(title, '?') || CASE WHEN length(conv_id) % 2 = 0 THEN ' [Image Uploaded]' ELSE '' END AS marked, coalesce(title, '?') AS bare FROM {LATEST}""",
+    "vector_norms": "SELECT vec_id, round(v[1] / n, 6) AS first, 1.0::DOUBLE AS size FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)",
+    "embedded_texts": "SELECT item_id, round(a / n, 6) AS x, round(b / n, 6) AS y, round(c / n, 6) AS z FROM (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM (SELECT item_id, length(question)::DOUBLE AS a, length(question)::DOUBLE - length(replace(question, 'e', '')) AS b, length(question)::DOUBLE - length(replace(question, ' ', '')) AS c FROM eval_items))",
+    "reranked_by_model": f"""WITH {SPARSE} SELECT qkey, key, r AS rank FROM (SELECT qkey, key, CASE WHEN length(question) % 7 = 0 THEN rank ELSE row_number() OVER (PARTITION BY qkey ORDER BY length(coalesce(text, '')) % 97 DESC, rank) END AS r FROM sparse JOIN documents ON doc_id = key JOIN eval_items ON item_id = qkey WHERE rank <= 10) WHERE r <= CASE WHEN true THEN 5 END""",
+    "rewritten_queries": f"SELECT conv_id, CASE WHEN x = '' THEN title ELSE x END AS query FROM (SELECT conv_id, coalesce(title, '') AS title, trim(upper(coalesce(title, '')) || CASE WHEN coalesce(len(messages), 0) = 0 THEN ' *' ELSE '' END) AS x FROM {LATEST})",
+    "extracted_records": "SELECT item_id, CASE WHEN length(question) % 5 = 0 THEN -1 ELSE length(question) END::BIGINT AS n, CASE WHEN length(question) % 5 = 0 THEN 'none' ELSE 'q' END AS kind FROM eval_items",
+    "recognised": "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN '' ELSE reverse(n_name) END AS text FROM nation",
+    "bm25_chunks": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest({terms('text')}) AS term FROM ({PACKED})) GROUP BY 1",
 }

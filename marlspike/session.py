@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +29,15 @@ def build(app: str = "marlspike", master: str | None = None, shuffle_partitions:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) a temporary one is made.
+    Where that is unset a temporary one is made, but only on a single machine (tests): on a cluster a folder
+    of one machine's own would lose data with it, so this fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="marlspike-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -17,6 +19,8 @@ from ..functions import text as T
 #: bytes -> the text of each page; None leaves PDF files out
 PageParser = Callable[[bytes], list[str]]
 PAGES = "source string, seq int, page int, type string, section_heading string, page_content string"
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -77,13 +81,24 @@ def _parse(pdf: PageParser | None):
     return run
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One record per row: its fields as "name: value" lines."""
-    df = spark.read.option("header", True).option("encoding", "utf-8").option("pathGlobFilter", "*.csv").csv(path).withColumn("_source", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    fields = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in df.columns if c != "_source"]
-    text = F.array_join(F.array(*fields), "\n") if fields else F.lit("")
-    # the order of a file's rows: ids of a scan grow within a file
-    return df.select(F.url_decode("_source").alias("source"), F.monotonically_increasing_id().alias("seq"), text.alias("page_content"))
+def _csv(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """source, seq, page_content of the rows of each file, by the file's own header."""
+    for batch in batches:
+        for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = csv.DictReader(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""), restval="", restkey="")
+            n = 0
+            while part := list(islice(rows, 1000)):
+                texts = ["\n".join(f"{k}: {v if isinstance(v, str) else ' '.join(v)}" for k, v in r.items() if k or v) for r in part]
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(texts)), pa.array(range(n, n + len(texts)), pa.int32()), pa.array(texts)], names=["source", "seq", "page_content"])
+                n += len(texts)
+
+
+def csv_rows(files: DataFrame) -> DataFrame:
+    """source, seq, page_content: one record per row of each CSV file (source, content), its fields as "name: value" lines.
+
+    Files have headers of their own; rows are numbered within a file, short rows filled with blanks.
+    """
+    return files.select("source", "content").mapInArrow(_csv, "source string, seq int, page_content string")
 
 
 def corpus(spark: SparkSession, path: str, pdf: PageParser | None = None) -> DataFrame:
@@ -93,7 +108,24 @@ def corpus(spark: SparkSession, path: str, pdf: PageParser | None = None) -> Dat
     plain = files.filter(F.col("ext").isin("txt", "md")).select("source", F.lit(0).alias("seq"), none("int").alias("page"), none("string").alias("type"), none("string").alias("section_heading"), F.col("content").cast("string").alias("page_content"))
     parsed = files.filter(F.col("ext").isin("docx", "pdf")).select("source", "ext", "content").mapInArrow(_parse(pdf), PAGES)
     out = plain.unionByName(parsed)
-    if files.filter(F.col("ext") == "csv").limit(1).count():
-        rows = csv_rows(spark, path).select("source", F.col("seq").cast("int").alias("seq"), none("int").alias("page"), none("string").alias("type"), none("string").alias("section_heading"), "page_content")
-        out = out.unionByName(rows)
-    return out
+    rows = csv_rows(files.filter(F.col("ext") == "csv")).select("source", "seq", none("int").alias("page"), none("string").alias("type"), none("string").alias("section_heading"), "page_content")
+    return out.unionByName(rows)
+
+
+def docx_images(data: bytes) -> list[tuple[int, str, bytes]]:
+    """(block, name, bytes) of the pictures in a document's paragraphs, found by their relationship ids."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        try:
+            relations = ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))
+        except KeyError:
+            return []
+        targets = {r.get("Id"): r.get("Target", "") for r in relations}
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        out = []
+        for i, el in enumerate(body if body is not None else ()):
+            for blip in el.iter(f"{_A}blip"):
+                name = targets.get(blip.get(f"{_R}embed"), "")
+                path = name.lstrip("/") if name.startswith("/") else f"word/{name}"
+                if name and path in z.namelist():
+                    out.append((i, name.rsplit("/", 1)[-1], z.read(path)))
+        return out

@@ -48,7 +48,26 @@ def answers(events: DataFrame) -> DataFrame:
 
 def server_events(df: DataFrame) -> DataFrame:
     """Rows of a chunk, done or error as the lines that a browser reads."""
-    return df.select(F.concat(F.lit("data: "), F.to_json(F.struct("type", "text")), F.lit("\n\n")).alias("line"))
+    fields = [c for c in ("type", "text", "conv_id", "new_conversation_created", "new_conv_title") if c in df.columns]
+    return df.select(F.concat(F.lit("data: "), F.to_json(F.struct(*fields)), F.lit("\n\n")).alias("line"))
+
+
+def read_events(lines: DataFrame, line: str) -> DataFrame:
+    """The fields of such lines again; what isn't JSON is null."""
+    return lines.select(F.from_json(F.regexp_extract(line, r"(?s)^data: (.*?)\n*$", 1), "type string, text string, conv_id string").alias("e")).select("e.*")
+
+
+def state_of(updates: DataFrame) -> DataFrame:
+    """thread, values of a stream of updates (thread, seq, values map): the last value written of each key."""
+    each = updates.select("thread", "seq", F.explode("values").alias("k", "v"))
+    last = each.groupBy("thread", "k").agg(F.max_by("v", "seq").alias("v"))
+    return last.groupBy("thread").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("values"))
+
+
+def sessions_of(logins: DataFrame) -> DataFrame:
+    """session, user, state of a log (session, seq, what: new, restore or clear; user): the last event of a session tells."""
+    last = logins.groupBy("session").agg(F.max_by(F.struct("what", "user"), "seq").alias("l"))
+    return last.select("session", F.when(F.col("l.what") != "clear", F.col("l.user")).alias("user"), F.when(F.col("l.what") == "clear", "cleared").otherwise("open").alias("state"))
 
 
 def ingest(pages: DataFrame, prepare: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str):
@@ -61,8 +80,13 @@ def ingest(pages: DataFrame, prepare: Callable[[DataFrame], DataFrame], write: C
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
+def refreshed(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 60):
+    """A stream whose changed rows are written every ``seconds``."""
+    return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
+
+
 def status_counts(reports: DataFrame) -> DataFrame:
-    """Counts by state for a dashboard, in complete mode."""
+    """Counts by state for a dashboard; only changed ones are written in update mode."""
     return reports.groupBy(F.lower(F.trim("status")).alias("status")).agg(F.count("*").alias("n"))
 
 

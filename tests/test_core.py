@@ -2,11 +2,13 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from marlspike import session
 from marlspike.functions import text as T
 from marlspike.operators import chunking, conversation, layout, retrieval, store
 from marlspike.sources import readers, sinks
@@ -53,13 +55,24 @@ def test_low_value(spark):
     assert not one(spark, T.low_value, "A sentence of ordinary words that says something useful.")
 
 
+def naive_sentences(text):
+    """Sentence after sentence, a short one hung on the last."""
+    parts, out = re.split(r"(?<=[.!?])\s+", text.strip()), []
+    for part in parts:
+        if len(part.split()) >= 5 or not out:
+            out += [part] if part else []
+        else:
+            out[-1] += " " + part
+    return out
+
+
 def test_sentences_follow_the_sequential_rule(spark):
     rng = random.Random(3)
     texts = ["", "One.", "Hi. There are five words here. Ok. Fine! Really? Now this is a longer sentence."]
     texts += [" ".join(rng.choice(["a", "word", "end.", "what?", "No!", "long", "x"]) for _ in range(40)) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.merged_sentences(F.col("t")).alias("s"))
     for r in df.collect():
-        assert r.s == chunking.split_sentences(texts[r.i])
+        assert r.s == naive_sentences(texts[r.i])
 
 
 def test_citations(spark):
@@ -222,7 +235,7 @@ def test_layout(spark):
     assert {r.bucket: r.n for r in h.collect()} == {0: 2, 1: 2, 2: 1, 3: 0, 4: 0, 5: 0, 6: 2, 7: 1, 8: 0, 9: 3}
     gaps = layout.gaps(h, "p")
     assert {(r.start, r.stop) for r in gaps.collect()} == {(3, 6)}
-    assert [(r.column, r.left, r.right) for r in layout.columns(gaps, "p").orderBy("column").collect()] == [(1, 0.0, 4.5), (2, 4.5, 10.0)]
+    assert [(r.column, r.left, r.right) for r in layout.columns(gaps, "p", w).orderBy("column").collect()] == [(1, 0.0, 4.5), (2, 4.5, 10.0)]
     rows = spark.createDataFrame([("t", 1, ["h", "i"]), ("t", 2, ["a"]), ("t", 3, [None, "b"])], "t string, r int, c array<string>")
     assert layout.markdown(rows, "t", "r", "c").first().markdown == "| h | i |\n| --- | --- |\n| a |  |\n|  | b |"
     m = spark.createDataFrame([(1, 2.0, 3.0), (1, 2.25, 3.0), (2, 1.0, 0.0)], "g int, v double, w double")
@@ -297,3 +310,84 @@ def test_ingest_stream(spark, tmp_path):
     q = chat.ingest(spark.readStream.schema(df.schema).parquet(src), chunking.chunk, lambda b, n: seen.update({n: b.count()}), str(tmp_path / "c"))
     q.trigger(availableNow=True).start().awaitTermination()
     assert list(seen.values()) == [1]
+
+
+def test_unlike_csv_files_keep_their_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,age\nann,3\n\"b, c\",\"4\n5\"\nshort\n")
+    (tmp_path / "b.csv").write_text("\ufeffcity,zip,land\nx,1,y\n")
+    (tmp_path / "c.csv").write_text("")
+    rows = {(r.source, r.seq): r.page_content for r in readers.corpus(spark, str(tmp_path)).collect()}
+    assert rows == {("a.csv", 0): "name: ann\nage: 3", ("a.csv", 1): "name: b, c\nage: 4\n5", ("a.csv", 2): "name: short\nage: ", ("b.csv", 0): "city: x\nzip: 1\nland: y"}
+
+
+def of(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first().y
+
+
+def test_forms_of_the_pages(spark):
+    strong = lambda x: of(spark, x, T.password_strength)
+    assert [strong(x) for x in ("a", "aA", "aA1", "aA1!", "aA1-", "aA1!bbbb")] == ["Weak", "Medium", "Medium", "Strong", "Medium", "Strong"]
+    assert of(spark, "see the words, wordy ones 12345678 of it", T.longest_recent_word) == "words" and of(spark, "a b c 99999", T.longest_recent_word) is None
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    ago = lambda x: of(spark, x, lambda c: T.relative_time(c, now))
+    assert [ago(x) for x in (None, "", "soon", "2025-12-31T23:00:00Z", "2025-12-30 00:00:00")] == ["just now", "just now", "a while ago", "1 hour ago", "2 days ago"]
+    assert of(spark, 256, T.kilobytes, "long") == "0.3" and of(spark, "1234567", T.grouped) == "1,234,567" and of(spark, "x", T.grouped) == "x"
+    assert of(spark, "<TITLE>a\nb</title>", T.html_title) == "a\nb" and of(spark, "a\n\n\n b ", T.paragraphs) == ["a", "b"]
+    assert [of(spark, x, T.usable_name) for x in ("ab", "abc", "a@c", "a c", None)] == [False, True, False, False, False]
+
+
+def test_pages_by_columns(spark):
+    words = spark.createDataFrame([(1, 1.0, 0.0, "left"), (1, 8.0, 0.0, "right"), (1, 1.5, 1.0, "below"), (2, 3.0, 0.0, "only")], "p int, x double, y double, word string")
+    spans = layout.columns(spark.createDataFrame([(1, 4, 6)], "p int, start int, stop int"), "p", words)
+    assert {r.p: r.text for r in layout.column_text(words, "p", spans).collect()} == {1: "left below\n\nright", 2: "only"}
+    df = spark.createDataFrame([(" ", "second", 30, False), ("first", "longer text", 30, False), ("first", "longer text", 9, False)], "a string, b string, n int, thin boolean")
+    got = df.select(layout.page_text(F.col("a"), F.col("b")).alias("t"), layout.column_aware(F.col("a"), F.col("b"), F.col("n"), F.col("thin")).alias("c")).collect()
+    assert [(r.t, r.c) for r in got] == [("second", "second"), ("first", "longer text"), ("first", "first")]
+
+
+def test_models_that_fail(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "i int, t string")
+
+    def broken(texts):
+        raise TimeoutError
+
+    assert [r.o for r in retrieval.in_batches(df, "t", "o", "string", broken, lambda t: "-", 3, lambda s: None).orderBy("i").collect()] == ["-", "-", "-"]
+    assert [r.o for r in retrieval.in_batches(df, "t", "o", "long", lambda ts: [len(t) for t in ts]).orderBy("i").collect()] == [2, None, 0]
+    assert [retrieval.backoff(k) for k in (1, 2, 3, 4)] == [2, 4, 8, 8]
+    hits = spark.createDataFrame([(1, 10, 1, "q", "a"), (1, 11, 2, "q", "b"), (2, 12, 1, "r", "c")], "qkey long, key long, rank int, question string, text string")
+    score = lambda q, ts: [(1, 0.9), (7, 1.0), (0, 0.1)] if q == "q" else None
+    assert {(r.qkey, r.key, r["rank"]) for r in retrieval.rerank_batches(hits, score).collect()} == {(1, 11, 1), (1, 10, 2), (2, 12, 1)}
+    results = spark.createDataFrame([(1, 1, 0.9), (1, 5, 0.8)], "qkey long, position long, score double")
+    assert [(r.key, r.score) for r in retrieval.at_positions(results, hits).collect()] == [(11, 0.9)]
+
+
+def test_state_of_the_sparse_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red boat"), (2, "red house")], "k long, t string")
+    path = str(tmp_path / "state")
+    assert retrieval.load_state(spark, path)[1].first().n_docs == 0
+    retrieval.save_state(retrieval.term_counts(docs, "k", "t"), retrieval.corpus_statistics(docs, "k", "t"), path)
+    df, stats = retrieval.load_state(spark, path)
+    assert {r.term: r.df for r in df.collect()} == {"red": 2, "boat": 1, "house": 1} and stats.first().n_docs == 2
+
+
+def test_token_counters_are_passed_on(spark):
+    long = " ".join(f"Sentence number {i} says that the office is open." for i in range(40))
+    got = chunking.chunk(spark.createDataFrame([(1, "a", 0, 1, long)], PAGE), 100, 0, count=lambda t: len(t.split())).collect()
+    assert len(got) == 4 and all(len(r.text.split("\n", 1)[1].split()) <= 100 for r in got)
+
+
+def test_sessions_and_state(spark):
+    u = spark.createDataFrame([("t", 1, {"a": "1", "b": "1"}), ("t", 2, {"a": "2"})], "thread string, seq int, values map<string,string>")
+    assert chat.state_of(u).first()["values"] == {"a": "2", "b": "1"}
+    log = spark.createDataFrame([("s", 1, "new", "ann"), ("s", 2, "restore", "ann"), ("r", 1, "new", "bo"), ("r", 2, "clear", None)], "session string, seq int, what string, user string")
+    assert {(r.session, r.user, r.state) for r in chat.sessions_of(log).collect()} == {("s", "ann", "open"), ("r", None, "cleared")}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    fake = type("S", (), {"conf": Conf(), "sparkContext": type("C", (), {"master": "spark://x:7077"})})
+    with pytest.raises(ValueError):
+        session.shared_folder(fake)
