@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -48,13 +49,20 @@ LANGUAGES = {
     "would could here only during each every out also more other into up long still open need many yes".split(),
     "fil": "ang ng sa na mga ay at po ba ito hindi kung ni si mula nang opo ko para po bang may kailangan kailangang saan kailan sino paano bakit ano pwede "
     "maaari maaaring dapat muna ayon walang wala ika-1 nasa naman lang din rin kayo ninyo namin natin iyan iyon niyan niya nila siya sila ako akin aking "
-    "bago matapos mahalaga nagkaroon inaanyayahan ipinaaalala tatanggapin bayad".split(),
+    "bago matapos mahalaga nagkaroon bayad".split(),
     "es": "el la los las de que y en se con por del al un una lo su para como más pero sin sobre este entre cuando muy es no debe deben según antes después".split(),
     "fr": "le la les des et du est pour dans une un sur pas que qui au aux ce il elle avec par plus doit être même selon dès n'y".split(),
     "de": "der die das und ist nicht mit auf für dem den ein eine einer zu von wird wer sich im am auch vor nach bei aus gilt dass ohne während".split(),
-    "pt": "o os as e do da em um uma não com para que no na dos das ao se por mais como é foi já durante antes após recebeu pronta".split(),
+    "pt": "o os as e do da em um uma não com para que no na dos das ao se por mais como é foi já durante antes após".split(),
     "it": "il lo gli di che e è per con una un non sono della del nel alla come più anche si dopo prima".split(),
     "id": "yang dan di untuk dengan dari pada tidak ini itu akan ke oleh jika harus wajib setelah sebelum selama tanpa adalah ada silakan kepada menurut".split(),
+    "ceb": "ang sa mga nga ug dili unsa unsaon naa wala'y kini kana adto asa kanus-a kinsa imong akong among atong ikaw mao usa kinahanglan pinaagi gikan alang nimo nako namo human sulod gawas karon ugma".split(),
+    "ilo": "ti iti ken dagiti kadagiti nga saan ania sadino kaano siasino ngem wenno tapno kas daytoy dayta dita idiay manipud para".split(),
+    "vi": "và của là có cho không được các những này đó với trong khi từ tại phải sẽ đã một người bạn tôi ở để".split(),
+    "pl": "i w z na do nie jest się że są oraz przez dla które jak po przed lub tylko może będzie".split(),
+    "tr": "ve bir bu için ile değil olarak daha olan gibi sonra önce kadar veya ancak çok her mi".split(),
+    "sv": "och att det som är på av för med inte till den om har eller ska efter före".split(),
+    "sw": "na ya wa kwa ni katika kuwa hii hiyo lakini au baada kabla kila si".split(),
     "nl": "de het een en van is niet met op voor dat zijn te aan er maar ook bij uit wordt naar".split(),
 }
 _TELLS: dict[str, list[tuple[str, float]]] = {}
@@ -72,6 +80,10 @@ REFUSAL = re.compile(
     r"\bi (?:have to|must|need to|will|would) (?:refuse|decline)|\bi (?:refuse|decline)\b|\bi(?: would|[’']d) (?:rather|prefer) not|"
     r"\bnot (?:something|a (?:topic|matter|subject)) (?:that )?i (?:am|can|may)|\b(?:falls|is|lies) outside (?:of )?what i|\bbeyond what i (?:can|may|am)|"
     r"\bnot be appropriate for me|\bmy (?:guidelines|instructions|rules|policy|policies|programming) (?:do|does|will|would|forbid|prevent|prohibit)|\bagainst my (?:guidelines|rules|policy)|"
+    r"\b(?:we|this assistant|the assistant|this bot) (?:can ?not|can[’']?t|won[’']?t|will not|are (?:not able|unable)|is (?:not able|unable)|must decline|decline)(?: to)? ?(?:answer|help|assist|respond|reply|discuss|comment|provide|share|give|offer|comply|support)|"
+    r"\b(?:violates?|goes against|against|not (?:allowed|permitted) (?:by|under)|breach\w*) (?:our|my|the|its|these) (?:\w+ ){0,2}(?:polic(?:y|ies)|guidelines|rules|terms)|^no comment$|\brequest (?:is |has been |was )?(?:denied|declined|refused|rejected)|"
+    r"\b(?:this|that|it|such a \w+) (?:can ?not|can[’']?t|will not|won[’']?t|may not) be (?:answered|discussed|disclosed|commented on|shared) (?:by me|here)|^(?:that|this|it)[’']?s? (?:is )?(?:not something (?:i|we) (?:can|will|may)|off[- ]limits)|"
+    r"\bas an ai\b[^.!?]{0,40}\b(?:can ?not|can[’']?t|not able|unable)|\blet[’']?s (?:talk about|discuss) something else|\bi[’']?m afraid (?:i|that i) (?:can ?not|can[’']?t|must)|"
     r"\bhindi ko (?:po )?(?:ma|pwede|puwede|kaya|maaari|sasagutin)|\bhindi (?:po )?ako (?:po )?(?:pwede|puwede|pinahihintulutan|pinapayagan|maaari|makaka|makasasagot|makatutulong|awtorisado)|"
     r"\bbawal (?:po )?sa akin|\bwala (?:po )?ako sa posisyon|\btumatanggi (?:po )?ako|\bhindi (?:po )?saklaw|\bhindi ko (?:po )?matutulungan",
     re.I,
@@ -92,8 +104,29 @@ def is_filler(text: str | None) -> bool:
     return text is None or FILLER.fullmatch(INVISIBLE.sub(" ", text).strip()) is not None
 
 
+#: writing systems by the ranges of their letters; a text mostly in one of them is of its language, or of a language of it
+WRITINGS = (
+    ("greek", 0x370, 0x400), ("cyrillic", 0x400, 0x530), ("armenian", 0x530, 0x590), ("hebrew", 0x590, 0x600), ("arabic", 0x600, 0x780), ("indic", 0x900, 0xE00), ("thai", 0xE00, 0xE80),
+    ("georgian", 0x10A0, 0x1100), ("ethiopic", 0x1200, 0x1380), ("khmer", 0x1780, 0x1800), ("kana", 0x3040, 0x3100), ("han", 0x3400, 0xA000), ("hangul", 0xAC00, 0xD7B0),
+)
+
+
+def writing(text: str) -> str | None:
+    """The writing system of most letters, None for Latin; kana among Chinese characters tell Japanese."""
+    if text.isascii():
+        return None
+    letters = [ord(c) for c in text if c.isalpha()]
+    seen = Counter(name for n in letters if n >= 0x370 for name, a, b in WRITINGS if a <= n < b)
+    if not seen or 2 * sum(seen.values()) <= len(letters):
+        return None
+    return "kana" if seen["kana"] else seen.most_common(1)[0][0]
+
+
 def language(text: str) -> tuple[str | None, float]:
-    """The language whose telling words outweigh the others', and their number."""
+    """The language whose telling words outweigh the others', and their number; texts in another writing are of that writing's."""
+    other = writing(text)
+    if other:
+        return other, float(sum(map(str.isalpha, text)))
     score: Counter = Counter()
     for w in LETTERS.findall(text.lower()):
         for lang, weight in _TELLS.get(w, ()):
@@ -104,34 +137,51 @@ def language(text: str) -> tuple[str | None, float]:
     return (lang, top) if not rest or top > rest[0][1] else (None, top)
 
 
+def speaks_otherwise(question: str, answer: str) -> bool:
+    """Whether the answer's language isn't the main one of the question.
+
+    Few words tell if most of them are telling ones of the answer's language and none of the question's.
+    """
+    lq, nq = language(question)
+    la, na = language(answer)
+    if not lq or not la or lq == la or nq < 1:
+        return False
+    words = LETTERS.findall(answer.lower())
+    if len(answer.split()) >= 6 or writing(answer):
+        return na >= 2
+    told = [{x for x, _ in _TELLS.get(w, ())} for w in words]
+    return len(words) >= 2 and 2 * sum(la in x for x in told) > len(words) and not any(lq in x for x in told)
+
+
 def _plain(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", text.lower()))
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """Whether the answer says nothing but the question (or a sentence of it) again, introduced or slightly altered."""
-    if len(answer) > 3.2 * len(question) + 80:
+    """Whether the answer says nothing but the question (or a sentence of it) again, introduced or slightly altered, once or several times."""
+    whole, plain = _plain(question), _plain(answer)
+    repeated = bool(whole) and plain.count(whole) > 1
+    if len(answer) > 3.2 * len(question) + 80 and not repeated:
         return False
-    bare = INTRO.sub("", answer)
-    whole = _plain(question)
     parts = [p for p in map(_plain, SENTENCE.split(question)) if p.count(" ") >= 3 and p != whole]
-    said = {_plain(answer), _plain(bare), _plain(LEAD.sub("", answer, count=1))}
+    said = {plain, _plain(INTRO.sub("", answer)), _plain(LEAD.sub("", answer, count=1))}
     return any(_copies(q, a) for q in [whole, *parts] for a in said if q and a)
 
 
 def _copies(q: str, a: str) -> bool:
-    if len(a) < 0.6 * len(q) or len(a) > 2.6 * len(q) + 10:
+    if len(a) < 0.6 * len(q) or len(a) > 2.6 * len(q) + 10 and a.count(q) < 2:
         return False
+    words, known = Counter(a.split()), Counter(q.split())
+    if sum((words & known).values()) < 0.5 * sum(known.values()):
+        return False  # too few words in common for the dictionary to give the rest
     # what the dictionary leaves: literal bytes of the frame, less its fixed part
     body = a.encode()
-    prompt = zstandard.ZstdCompressionDict(f"{q} ".encode() * 4, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    if len(_compressor(prompt).compress(body)) - _EMPTY_FRAME > 14 + 0.24 * len(body):
+    if len(_compressor(q).compress(body)) - _EMPTY_FRAME > 14 + 0.24 * len(body):
         return False
     if q in a:
         # repeated whole: beside it stands nothing, or the question again
-        rest = a.replace(q, " ", 1).split()
+        rest = a.replace(q, " ").split()
         return not rest or (len(rest) >= 0.6 * q.count(" ") and set(rest) <= set(q.split()))
-    words, known = Counter(a.split()), Counter(q.split())
     n = sum(words.values())
     return sum((words - known).values()) <= max(1, 0.12 * n) and sum((words & known).values()) >= 0.75 * sum(known.values())
 
@@ -145,7 +195,10 @@ def without_echo(question: str | None, answer: str) -> str:
     return rest.lstrip(" ?.!\"'”’") if re.search(r"\w", rest) else answer
 
 
-def _compressor(prompt: zstandard.ZstdCompressionDict) -> zstandard.ZstdCompressor:
+@lru_cache(maxsize=64)
+def _compressor(question: str) -> zstandard.ZstdCompressor:
+    """One with the question as its dictionary; made once for all forms of an answer."""
+    prompt = zstandard.ZstdCompressionDict(f"{question} ".encode() * 4, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=3, dict_data=prompt, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -251,10 +304,8 @@ def _first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif is_refusal(a):
                 defect = "refusal"
             else:
-                lq, nq = language(q or "")
                 a = without_echo(q, a)
-                la, na = language(a)
-                if lq and la and lq != la and na >= 2 and nq >= 1 and len(a.split()) >= 6:
+                if speaks_otherwise(q or "", a):
                     defect = "other_language"
                 else:
                     state, key = _open_end(a)

@@ -202,6 +202,29 @@ def test_refusals(text, want):
     assert pairs.is_refusal(text) is want
 
 
+def test_copies_of_any_number():
+    q = "When is the deadline for the library fines?"
+    for n in (1, 2, 3, 5, 8):
+        assert pairs.is_copy(q, " ".join([q] * n))
+    assert not pairs.is_copy(q, " ".join([q] * 3) + " It is on Friday, at the window of the cashier, before five o'clock.")
+
+
+@pytest.mark.parametrize("answer", ["窓口で金曜日までに申請してください。", "Обратитесь в библиотеку до пятницы.", "请在星期五之前到窗口。", "Bạn phải nộp đơn tại quầy trước thứ sáu và không được trễ.", "Kinahanglan nimo nga moadto sa opisina ug dili ka malangan.", "Opo, libre po ito."])
+def test_answers_in_other_languages(answer):
+    assert pairs.speaks_otherwise("Where do I pay the fee for the library card?", answer)
+    assert not pairs.speaks_otherwise(answer, answer)
+
+
+def test_short_answers_in_the_same_language():
+    for answer in ("Yes, it is.", "On Friday.", "Room 3", "OK", "PHP 300.00"):
+        assert not pairs.speaks_otherwise("Where do I pay the fee for the library card?", answer)
+
+
+@pytest.mark.parametrize("text", ["This request violates our usage policy.", "No comment.", "We are unable to discuss this matter.", "Your request has been declined.", "That is not something I can talk about.", "As an AI model, I can't answer that."])
+def test_further_refusals(text):
+    assert pairs.is_refusal(text)
+
+
 def test_pairs(spark):
     done = "The office keeps the records of the permit on the second floor of the annex."
     chats = [
