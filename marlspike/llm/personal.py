@@ -7,11 +7,13 @@ chooses boundaries and types of all spans of a text at once. The weights are
 fitted here, by the gradient of the conditional likelihood, on ``SENTENCES``
 generated sentences (a documented bound) of invented people, numbers, places and
 look-alikes. Given names and surnames are told by a lexicon, which the caller
-takes from the user table (at most ``LEXICON`` words a list; other names are
-still found by title, initial and case).
+takes from the user table: up to ``LEXICON`` words a list go to the workers, beyond
+that every text gets the words of its own by a join, with the same result. Names
+that no lexicon knows are candidates behind a title or a word that introduces a
+name, by their capitals and initials; their context decides.
 
-Defined cases: null, blank and very long texts come out as they are or masked
-whole; texts without personal data come out unchanged with no types; repeated
+Defined cases: null and blank texts come out as they are; texts of any length are
+read whole; texts without personal data come out unchanged with no types; repeated
 rows count once; a missing lexicon leaves shape and context.
 """
 
@@ -27,10 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import frequent
-
 TYPES = ("email", "phone", "id_number", "address", "name")
-SENTENCES = 2400
+SENTENCES = 4800
 LEXICON = 100_000
 #: code points that a span of a type may have
 LONGEST = {"email": 120, "phone": 90, "id_number": 40, "address": 140, "name": 60}
@@ -51,7 +51,7 @@ EMAIL = re.compile(
 )
 SPELLED = re.compile(rf"\b{DIGIT}(?:[\s,-]+{DIGIT}){{5,}}\b", re.I)
 NUMBER = re.compile(
-    r"(?<![\w.@/-])(?:(?:P|PHP|Php)\s?|₱\s?)?(?:\b(?:PSN|TIN|SSS|GSIS|UMID|LRN|CRN|passport|PhilHealth|Pag-?IBIG|PhilSys)\b[\s:#]*(?:no\.?\s*)?)?"
+    r"(?<![\w.@/-])(?:(?:P|PHP|Php)\s?|₱\s?)?(?:\b(?:PSN|TIN|SSS|GSIS|UMID|LRN|CRN|PRC|passport|PhilHealth|Pag-?IBIG|PhilSys|licen[cs]e|voter[’']?s? ID)\b[\s:#]*(?:no\.?\s*)?)?"
     r"(?:[A-Z]{1,3}-?)?[+(]{0,2}\d(?:[\d()]|[ .-](?=[\d(]))*\d\)?(?:-?[A-Z]{1,2}\b)?(?:,?\s?(?:loc(?:al)?|ext)\b\.?\s?\d{1,5})?(?![\w])", re.I
 )
 ADDRESS = re.compile(
@@ -173,6 +173,7 @@ def candidates(text: str, given: frozenset, surname: frozenset) -> list[Span]:
                 s = text[m.start() : m.end() + end]
                 out.append(Span(m.start(), m.end() + end, "address", _address_features(s, m.group()) + [f"address:{x}" for x in _beside(text, m.start(), m.end() + end)[:1]]))
     out += _names(text, given, surname, emails)
+    out += _open_names(text, given, surname, emails)
     return [s for s in out if s.end - s.start <= LONGEST[s.label]]
 
 
@@ -267,6 +268,40 @@ def _names(text: str, given: frozenset, surname: frozenset, emails: list[tuple[i
                 yield Span(start, end, "name", f)
 
 
+#: words that introduce a name; fixed values
+CUES = frozenset("is am im si ni kay sina nina named name ako ay po : called".split())
+OPEN = re.compile(r"[A-ZÀ-ÖØ-Þ](?:[^\W\d_A-Z]+(?:[’'-][A-ZÀ-Þ]?[^\W\d_A-Z]+)*|\.)")
+
+
+def _open_names(text: str, given: frozenset, surname: frozenset, emails: list[tuple[int, int]]) -> Iterator[Span]:
+    """Capitalised words and initials behind a word that introduces a name, none of them in the lexicon."""
+    for cue in re.finditer(r"(?:(?<![^\W\d_])(?:I['’]m|[^\W\d_]+)|:)\s+(?=[A-ZÀ-ÖØ-Þ])", text):
+        first = cue.group().strip().lower().replace("'", "").replace("’", "")
+        if first not in CUES:
+            continue
+        at, words = cue.end(), []
+        while len(words) < 4 and (m := OPEN.match(text, at)):
+            words.append(m)
+            if text[m.end() : m.end() + 1] != " ":
+                break
+            at = m.end() + 1
+        before = re.findall(r"[^\W_]+|[^\w\s]", text[max(0, cue.start() - 32) : cue.start()].lower())[-1:] or ["^"]
+        for n in range(2, len(words) + 1):
+            own = [m.group() for m in words[:n]]
+            low = [w.rstrip(".").lower() for w in own]
+            if own[-1].endswith(".") or any(w in given or w in surname for w in low) or any(x < words[n - 1].end() and words[0].start() < y for x, y in emails):
+                continue
+            pattern = "".join("I" if w.endswith(".") else "C" for w in own)
+            f = ["open", f"open {pattern}", f"open l1={first}", f"open l2={before[0]} {first}"]
+            if any(w in THINGS or w in TITLES for w in low) or (n < len(words) and words[n].group().lower() in THINGS):
+                f.append("open thing")
+            if n < len(words):
+                f.append("open goes on")
+            tail = re.findall(r"[^\W\d_]+|[^\w\s]", text[words[n - 1].end() : words[n - 1].end() + 24].lower())[:1]
+            f.append(f"open r1={tail[0] if tail else '$'}")
+            yield Span(words[0].start(), words[n - 1].end(), "name", f)
+
+
 def _boundaries(spans: list[Span]) -> tuple[list[int], dict[int, int]]:
     points = sorted({p for s in spans for p in (s.start, s.end)})
     return points, {p: i for i, p in enumerate(points)}
@@ -334,6 +369,8 @@ _SURNAME = "Almazor Bantigue Cordovan Dimasupil Esguer Fajarito Galvezon Hinagpi
 _PLACES = ("San Rafael Sur", "Lungsod Bago", "Port Aurora", "Villa Celeste", "Mabini Bay", "Bagong Nayon", "Santa Lucia")
 _STREETS = "Rizaleda Acacia Mangga Camia Anahaw Lapulapo Del-Mar".split()
 _HOSTS = ("mail.example", "post.test", "alumni.invalid", "students.college.example", "college.example")
+_FIRST = "Applied Rural Technical World Student Physical Honor Graduate Speech Basic Human Marine Civic Modern Public Business".split()
+_SECOND = "Sociology Drawing Religions Affairs Education Roll Program Communication Science Research Ethics Statistics Records Services Law Literature".split()
 _BUILDINGS = ("Hall", "Library", "Gymnasium", "Pavilion", "Annex", "Medal", "Prize", "Scholarship", "Grant", "Chapel", "Auditorium", "Award")
 
 
@@ -368,7 +405,7 @@ def _phone(r: random.Random) -> str:
 
 
 def _id(r: random.Random) -> str:
-    return _d(r, r.choice(["PSN 9999-9999-9999-9999", "TIN 999-999-999-000", "SSS 99-9999999-9", "PhilHealth 99-999999999-9", f"passport P9999999{r.choice('ABC')}", "2{}-99999", "2{}-99999-HC", "HC-202{}-99999", "202{}-99999", "S9999999", "1{}-99999-HC", "201{}-99999"]).replace("{}", str(r.randint(0, 8))))
+    return _d(r, r.choice(["PSN 9999-9999-9999-9999", "TIN 999-999-999-000", "SSS 99-9999999-9", "PhilHealth 99-999999999-9", f"passport P9999999{r.choice('ABC')}", "N99-99-999999", "license N99-99-999999", "PRC 9999999", "2{}-99999", "2{}-99999-HC", "HC-202{}-99999", "202{}-99999", "S9999999", "1{}-99999-HC", "201{}-99999"]).replace("{}", str(r.randint(0, 8))))
 
 
 def _email(r: random.Random) -> str:
@@ -391,7 +428,7 @@ def _address(r: random.Random) -> str:
 
 _MAKE = {"email": _email, "phone": _phone, "id_number": _id, "address": _address, "name": _person}
 _FRAMES = (
-    "My name is {name}.", "I am {name}, student number {id_number}.", "this is {name}, number ko {phone}", "Reply to {email} or call {phone}.", "I live at {address}.", "Regards,\n{name}\n{phone}",
+    "My name is {name}.", "I am {name}, student number {id_number}.", "my driver's license {id_number} was lost", "driver's license no. {id_number}", "I'm {name} from the second section.", "The student is named {name}.", "Name: {name}", "Full name: {name}, {phone}", "Ang pangalan ko ay {name}.", "this is {name}, number ko {phone}", "Reply to {email} or call {phone}.", "I live at {address}.", "Regards,\n{name}\n{phone}",
     "Name: {name}\nStudent no.: {id_number}\nAddress: {address}", "Ako po si {name}.", "Si {name} po ang aking tagapayo.", "Please send the copy to {email}.", "You may call the desk at {phone}.",
     "The certificate will be mailed to {address}.", "Your record lists {name} with number {id_number}.", "My ID is {id_number} and I stay at {address}.", "It gave out the ID {id_number} of {name}!",
     "contact my guardian {name} at {phone}.", "Kindly look for {name} ({id_number}), {address}, {phone}.", "Still shows {phone}, my new one is {phone}.", "My adviser {name} asked me to check.", "I already gave {id_number} to the cashier.",
@@ -405,7 +442,8 @@ _TRAPS = (
     "{n2} students from Rural Sociology and {n2} from World Religions joined the fair.", "Requests are received at Window {n1} from {n1}:00 PM to {n1}:30 PM.", "Students taking Technical Drawing (BA {n3}) meet in Room N-{n3}.", "The symposium was held in {thing} on July {n1}, 202{n1}.",
     "A fee of PHP {n2},{n3}.25 is charged at the cashier.", "Section {n3} of the manual was read aloud.", "I applied for the {thing}.", "The minutes of May {n1}, 202{n1} show that the Office of Student Affairs met.", "In school year 201{n1}-202{n1}, it cost ₱{n3}.", "Ms. means miss, and Prof. means professor.",
     "Wer das benötigt, meldet sich vor Freitag (A-{n3}/{n3}, {n1}.{n1}.202{n1}).", "Según el decano, se entrega 1{n1}.{n1}.201{n1}.", "avant vendredi (1{n1}.1{n1}.202{n1}, B-{n3}/{n3}) et la caisse", "setelah rapat 2{n1}.{n1}.202{n1} dan dekan",
-    "On November 1{n1}, 20{n2}, the extension services unit reconciled the list.", "As of May 20{n2}, the road works and the extension hall are closed.", "Between {n1}:00 PM and {n1}:30 PM the extension services unit must update the list.", "In the rainy months, {n2} members of the college read the road map.", "TELL ME ABOUT THE {THING} AND THE PERMIT.",
+    "On November 1{n1}, 20{n2}, the extension services unit reconciled the list.", "As of May 20{n2}, the road works and the extension hall are closed.", "Between {n1}:00 PM and {n1}:30 PM the extension services unit must update the list.", "My course is {cap}.", "The form is called {cap}.", "Subject: {cap}", "Office: {cap}, Room {n3}", "The next topic is {cap} and its exam.", "Ang asignatura ay {cap}.", "I am in {cap}.", "I am enrolled, section is {cap}.", "Is {cap} offered?", "The event is named {cap} Day.", "Course: {cap}", "Ang opisina ni {cap}?", "The prize is {cap}.", "This is {cap} Week.",
+    "In the rainy months, {n2} members of the college read the road map.", "TELL ME ABOUT THE {THING} AND THE PERMIT.",
 )
 
 
@@ -427,7 +465,7 @@ def training(n: int = SENTENCES, seed: int = 7) -> Iterator[tuple[str, list[tupl
                         text += part
             else:
                 filled = re.sub(r"\{n(\d+)\}", lambda m: _d(r, "9" * int(m.group(1))), r.choice(_TRAPS))
-                text += filled.format(THING=f"{r.choice(_SURNAME)} {r.choice(_BUILDINGS)}".upper(), thing=f"{r.choice(_SURNAME)} {r.choice(_BUILDINGS)}", handle=r.choice(_SURNAME).lower() + "news", street=r.choice(_STREETS))
+                text += filled.format(THING=f"{r.choice(_SURNAME)} {r.choice(_BUILDINGS)}".upper(), cap=f"{r.choice(_FIRST)} {r.choice(_SECOND)}", thing=f"{r.choice(_SURNAME)} {r.choice(_BUILDINGS)}", handle=r.choice(_SURNAME).lower() + "news", street=r.choice(_STREETS))
         yield text, gold
 
 
@@ -436,8 +474,11 @@ def fit(sentences: int = SENTENCES, passes: int = 3, rate: float = 0.25, decay:
     """The weights, by stochastic gradient of the conditional likelihood of the right spans."""
     given, surname = frozenset(x.lower() for x in _GIVEN), frozenset(x.lower() for x in _SURNAME)
     data = []
-    for text, gold in training(sentences):
+    for i, (text, gold) in enumerate(training(sentences)):
         spans = candidates(text, given, surname)
+        if i % 2 == 0:
+            # every other sentence is read without a lexicon, for the names that it doesn't know
+            spans = [s for s in spans if s.label != "name"] + [s for s in candidates(text, frozenset(), frozenset()) if s.features[0] == "open"]
         right = []
         for a, b, label in gold:
             # the candidate of the label that covers the entity best
@@ -480,18 +521,25 @@ def mask(text: str, found: Iterable[Span]) -> str:
     return "".join(out) + text[last:]
 
 
-def lexicon(users: DataFrame, limit: int = LEXICON) -> tuple[frozenset, frozenset]:
-    """Given names and surnames of the users' ``name`` attribute, the ``limit`` most frequent words of each."""
-    names = users.select(F.explode("attributes").alias("a")).filter("a.name = 'name' and a.value is not null").select(F.lower(F.trim("a.value")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    parts = names.select(F.split("v", r"\s+").alias("p"), "n").filter(F.size("p") >= 2)
-    first = parts.select(F.element_at("p", 1).alias("w"), "n")
-    last = parts.select(F.element_at("p", -1).alias("w"), "n")
+def lexicon(users: DataFrame) -> DataFrame:
+    """word, given, surname: the words of the users' ``name`` attribute and whether they stand first or last in one."""
+    names = users.select(F.explode("attributes").alias("a")).filter("a.name = 'name' and a.value is not null").select(F.lower(F.trim("a.value")).alias("v")).distinct()
+    parts = names.select(F.split("v", r"\s+").alias("p")).filter(F.size("p") >= 2)
+    ends = F.explode(F.array(F.struct(F.element_at("p", 1).alias("w"), F.lit(True).alias("g")), F.struct(F.element_at("p", -1).alias("w"), F.lit(False).alias("g")))).alias("e")
+    words = parts.select(ends).select(F.regexp_replace("e.w", r"\.+$", "").alias("word"), "e.g").filter((F.length("word") >= 2) & ~F.col("word").rlike(r"\d"))
+    out = words.groupBy("word").agg(F.max("g").alias("given"), F.max(~F.col("g")).alias("surname"))
+    return out.withColumn("surname", F.col("surname") & ~F.col("word").isin(*THINGS, *SUFFIXES))
 
-    def top(df: DataFrame) -> frozenset:
-        counted = df.groupBy("w").agg(F.sum("n").alias("n")).filter((F.length("w") >= 2) & ~F.col("w").rlike(r"\d"))
-        return frozenset(w.rstrip(".") for w in frequent(counted, "w", "n", limit))
 
-    return top(first), top(last) - THINGS - SUFFIXES
+def own_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``texts`` with ``given`` and ``surname``: the words of the lexicon that each text holds, by a join."""
+    # a text's key is its hash, so equal texts are looked up once
+    keyed = texts.withColumn("__text", F.sha2("text", 256))
+    spelled = keyed.select("__text", "text").dropDuplicates(["__text"]).select("__text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+(?:[’'-][\p{L}]+)*)"), F.lit(1)))).alias("said"))
+    # a possessive is looked up as its owner too
+    spelled = spelled.select("__text", F.explode(F.array_distinct(F.array("said", F.regexp_replace("said", "['’]s$", "")))).alias("word"))
+    hits = spelled.join(words, "word").groupBy("__text").agg(F.collect_set(F.when(F.col("given"), F.col("word"))).alias("given"), F.collect_set(F.when(F.col("surname"), F.col("word"))).alias("surname"))
+    return keyed.join(hits, "__text", "left").drop("__text")
 
 
 KEY = "tab string, rec_id string, field string, msg_idx int"
@@ -502,7 +550,9 @@ def _run(model: object):
         weights, given, surname = model.value
         for batch in batches:
             texts = batch.column(4).to_pylist()
-            found = [find(t, weights, given, surname) for t in texts]
+            own = [batch.column(i).to_pylist() for i in (5, 6)] if batch.num_columns > 5 else None
+            known = [(frozenset(g or ()), frozenset(n or ())) for g, n in zip(*own)] if own else [(given, surname)] * len(texts)
+            found = [find(t, weights, *k) for t, k in zip(texts, known)]
             masked = [mask(t, f) if f else t for t, f in zip(texts, found)]
             types = [sorted({s.label for s in f}) for f in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(masked, pa.string()), pa.array(types, pa.list_(pa.string()))], names=["tab", "rec_id", "field", "msg_idx", "masked", "types"])
@@ -510,7 +560,18 @@ def _run(model: object):
     return run
 
 
-def mask_texts(texts: DataFrame, users: DataFrame) -> DataFrame:
-    """tab, rec_id, field, msg_idx, masked, types of every text; texts: tab, rec_id, field, msg_idx, text."""
-    model = texts.sparkSession.sparkContext.broadcast((fit(), *lexicon(users)))
-    return texts.select("tab", "rec_id", "field", "msg_idx", "text").mapInArrow(_run(model), f"{KEY}, masked string, types array<string>")
+def mask_texts(texts: DataFrame, users: DataFrame, limit: int = LEXICON) -> DataFrame:
+    """tab, rec_id, field, msg_idx, masked, types of every text once; texts: tab, rec_id, field, msg_idx, text.
+
+    A lexicon of at most ``limit`` words goes to the workers; of a larger one each text gets its own words.
+    """
+    rows = texts.select("tab", "rec_id", "field", "msg_idx", "text").dropDuplicates()
+    words = lexicon(users)
+    few = words.limit(limit + 1).collect()
+    given, surname = frozenset(), frozenset()
+    if len(few) <= limit:
+        given, surname = frozenset(r.word for r in few if r.given), frozenset(r.word for r in few if r.surname)
+    else:
+        rows = own_words(rows, words)
+    model = texts.sparkSession.sparkContext.broadcast((fit(), given, surname))
+    return rows.mapInArrow(_run(model), f"{KEY}, masked string, types array<string>")

@@ -162,6 +162,44 @@ def test_single_cases(model, text, want):
     assert {s.label for s in personal.find(text, *model)} == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("My name is Maria Santos.", {"name"}), ("I am Juan P. Reyes, student.", {"name"}), ("Ako po si Liza Manalo.", {"name"}), ("Name: Pedro Cruz", {"name"}), ("I'm Lito Ramos from Naga.", {"name"}),
+        ("My course is Rural Sociology.", set()), ("Subject: Technical Drawing", set()), ("The office is Student Affairs.", set()), ("I am in Statistics Research.", set()), ("The prize is Honor Roll.", set()),
+        ("my driver's license N01-12-345678", {"id_number"}), ("license no. N01-12-345678 was lost", {"id_number"}),
+    ],
+)
+def test_names_without_a_lexicon(model, text, want):
+    assert {s.label for s in personal.find(text, model[0], frozenset(), frozenset())} == want
+
+
+def test_held_out_templates(model):
+    r = random.Random(77)
+    frames = ["Kindly route the papers of {name} to me.", "{name} still waits at {address} for it.", "Text {phone} when done.", "Forward everything to {email}, thanks.", "The clerk typed {id_number} by mistake.", "pakisabi kay {name} na tumawag sa {phone}", "Deliver to {address} only.", "Both {email} and {phone} bounced."]
+    traps = ["Room {n3} opens at 8:00 AM.", "We paid PHP {n2},{n3}.00 in May 2023.", "Section {n2} of the handbook applies.", "The Drawing Hall holds {n3} seats.", "It took {n2} days and {n2} nights."]
+    right = wrong = missed = 0
+    for _ in range(300):
+        gold, parts = set(), []
+        for part in re.split(r"(\{\w+\})", r.choice(frames + traps)):
+            key = part[1:-1]
+            if key in personal._MAKE:
+                gold.add(key)
+            parts.append(personal._MAKE[key](r) if key in personal._MAKE else personal._d(r, "9" * int(key[1:])) if part.startswith("{n") else part)
+        found = {s.label for s in personal.find("".join(parts), *model)}
+        right, wrong, missed = right + len(found & gold), wrong + len(found - gold), missed + len(gold - found)
+    assert right > 200 and wrong <= 0.03 * right and missed <= 0.03 * right, (right, wrong, missed)
+
+
+def test_a_lexicon_of_any_size_gives_the_same(spark):
+    people = ["Bruno Esguer", "Carla Bantigue", "Dario de la Hinagpis", "Elsa Villasin Jr."]
+    users = spark.createDataFrame([([("name", p)],) for p in people], "attributes array<struct<name: string, value: string>>")
+    said = ["bantigue carla was here", "Mr. Hinagpis' form", "ELSA VILLASIN JR. and Esguer's card", "Bruno Esguer", "nobody", None, "Bruno Esguer"]
+    texts = spark.createDataFrame([("t", str(i), "f", 0, x) for i, x in enumerate(said)], "tab string, rec_id string, field string, msg_idx int, text string")
+    sent, joined = ({(r.rec_id, r.masked, tuple(r.types)) for r in personal.mask_texts(texts, users, n).collect()} for n in (100, 2))
+    assert sent == joined and sum(bool(x[2]) for x in sent) >= 4
+
+
 def test_masking(spark, model):
     text = "I am Bruno Esguer, reach me at bruno@mail.example."
     assert personal.mask(text, personal.find(text, *model)) == "I am [NAME], reach me at [EMAIL]."
