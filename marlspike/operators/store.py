@@ -132,3 +132,8 @@ def file_list(files: DataFrame) -> DataFrame:
     """Files as a client lists them: name, size (0 if unknown); rows without a name are left out."""
     size = F.coalesce(F.col("size"), F.lit(0)).cast("long") if "size" in files.columns else F.lit(0).cast("long")
     return files.filter("filename is not null").select(F.col("filename").alias("name"), size.alias("size"))
+
+
+def with_status(df: DataFrame, status: str | None, column: str = "status") -> DataFrame:
+    """Rows of a state; all of them for None and "all"."""
+    return df if status in (None, "all") else df.filter(F.col(column) == status)

@@ -763,3 +763,71 @@ def bm25_chunks(spark, d):
     path = f"{session.shared_folder(spark)}/state-{spark.sql('SELECT uuid()').first()[0]}"
     retrieval.save_state(retrieval.term_counts(chunks, "chunk_id", "text"), retrieval.corpus_statistics(chunks, "chunk_id", "text"), path)
     return retrieval.load_state(spark, path)[0]
+
+
+@query
+def file_kinds(spark, d):
+    return table(spark, d, "raw_docs").select("source").distinct().select("source", T.file_kind(F.col("source")).alias("icon"), T.file_kind(F.col("source"), True).alias("mime"))
+
+
+@query
+def stable_choices(spark, d):
+    """Choices that look random and are the same in every run: even, weighted, a number, a sample and an order."""
+    c = table(spark, d, "customer").select("c_custkey")
+    key = F.col("c_custkey")
+    return c.select("c_custkey", T.pick(key, ["a", "b", "c"]).alias("even"), T.pick(key, ["often", "rarely"], [9.0, 1.0]).alias("weighted"), T.between(key, 10, 19).alias("number"), (T.fraction(key) < 0.25).alias("sampled"))
+
+
+@query
+def local_times(spark, d):
+    return table(spark, d, "documents").filter("published_at is not null").select("doc_id", T.local_time(F.col("published_at").cast("timestamp")).alias("shown"))
+
+
+@query
+def inline_relation(spark, d):
+    """A relation written out, joined to the nations it names."""
+    fees = spark.createDataFrame([(1, 10), (2, 20), (99, 30)], "n_nationkey long, fee long")
+    return table(spark, d, "nation").join(F.broadcast(fees), "n_nationkey").select("n_nationkey", "n_name", "fee")
+
+
+@query
+def status_filter(spark, d):
+    """Reports by an optional state: those that are done, and all of them."""
+    r = table(spark, d, "reports").dropDuplicates(["report_id"]).select("report_id", "status")
+    both = {k: store.with_status(r, k).select("report_id", F.lit(k).alias("asked")) for k in ("done", "all")}
+    return both["done"].unionByName(both["all"])
+
+
+@query
+def user_by_address(spark, d):
+    """The sub of the first user with the address of any report's reporter."""
+    u = store.attributes(table(spark, d, "users")).filter("email <> ''")
+    asked = table(spark, d, "reports").select("reporter_email").filter("reporter_email <> ''").groupBy().agg(F.min("reporter_email").alias("email"))
+    return u.join(F.broadcast(asked), "email").groupBy("email").agg(F.min("sub").alias("sub"))
+
+
+@query
+def page_extraction(spark, d):
+    """Text of the first extractor or the second, by columns where they give more, and what is done with the page: boxes are made of numbers at hand."""
+    p = pages(spark, d).withColumn("boxes", F.pmod("raw_id", F.lit(60))).withColumn("first", F.when(F.pmod("raw_id", F.lit(7)) != 0, F.col("page_content")))
+    linear = layout.page_text(F.col("first"), F.coalesce("section_heading", F.lit("")))
+    p = p.withColumn("linear", linear).withColumn("columns", F.concat("linear", F.lit("\n\nmore")))
+    p = p.withColumn("thin", T.needs_recognition(T.quality(F.col("linear"))))
+    text = layout.column_aware(F.col("linear"), F.col("columns"), F.col("boxes"), F.col("thin"))
+    p = p.withColumn("text", text).withColumn("ocr", T.needs_recognition(T.quality(F.col("text")), boxes=F.col("boxes")))
+    return p.select("raw_id", F.length("text").cast("long").alias("n"), "ocr", layout.is_table_page(F.when(F.col("ocr"), "pdf_ocr").otherwise("pdf"), T.strip(F.col("text"))).alias("tables"))
+
+
+@query
+def table_noise(spark, d):
+    """Boxes too small to be a table."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", layout.box_area(F.lit(0.0), F.lit(0.0), F.col("l_quantity"), F.col("l_linenumber") * 5.0).alias("area"))
+    return li.filter("area < 500").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+
+
+@query
+def thread_state(spark, d):
+    """State of threads, the last value written of each key: users as threads, event types as keys."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("thread"), F.struct("ts", "event_id").alias("seq"), F.create_map("event_type", F.col("event_id").cast("string")).alias("values"))
+    s = chat.state_of(e).select("thread", F.array_sort(F.map_entries("values")).alias("e"))
+    return s.select("thread", F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("state"))

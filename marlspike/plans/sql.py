@@ -249,4 +249,19 @@ ORACLES: dict[str, str] = {
     "extracted_records": "SELECT item_id, CASE WHEN length(question) % 5 = 0 THEN -1 ELSE length(question) END::BIGINT AS n, CASE WHEN length(question) % 5 = 0 THEN 'none' ELSE 'q' END AS kind FROM eval_items",
     "recognised": "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN '' ELSE reverse(n_name) END AS text FROM nation",
     "bm25_chunks": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest({terms('text')}) AS term FROM ({PACKED})) GROUP BY 1",
+    "file_kinds": """SELECT DISTINCT source, CASE e WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'word' WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' WHEN 'csv' THEN 'table' ELSE 'file' END AS icon,
+        CASE e WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'csv' THEN 'text/csv' ELSE 'application/octet-stream' END AS mime
+        FROM (SELECT source, lower(regexp_extract(source, '\\.([^./\\\\]+)$', 1)) AS e FROM raw_docs)""",
+    "stable_choices": """SELECT c_custkey, CASE WHEN f < 1.0::DOUBLE / 3 THEN 'a' WHEN f < 2.0::DOUBLE / 3 THEN 'b' ELSE 'c' END AS even, CASE WHEN f < 0.9::DOUBLE THEN 'often' ELSE 'rarely' END AS weighted, (floor(f * 10) + 10)::BIGINT AS number, f < 0.25::DOUBLE AS sampled
+        FROM (SELECT c_custkey, ('0x' || left(md5(c_custkey::VARCHAR), 8))::BIGINT / 4294967296.0::DOUBLE AS f FROM customer)""",
+    "local_times": "SELECT doc_id, strftime(published_at, '%-m/%-d/%Y, %-I:%M:%S %p') AS shown FROM documents WHERE published_at IS NOT NULL",
+    "inline_relation": "SELECT n_nationkey, n_name, fee::BIGINT AS fee FROM nation JOIN (VALUES (1, 10), (2, 20), (99, 30)) v(n_nationkey, fee) USING (n_nationkey)",
+    "status_filter": f"SELECT report_id, 'done' AS asked FROM {REPORTS} WHERE status = 'done' UNION ALL SELECT report_id, 'all' FROM {REPORTS}",
+    "user_by_address": f"SELECT email, min(sub) AS sub FROM {USERS} WHERE email = (SELECT min(reporter_email) FROM reports WHERE reporter_email <> '') GROUP BY 1",
+    "page_extraction": f"""WITH a AS (SELECT raw_id, raw_id % 60 AS boxes, CASE WHEN raw_id % 7 <> 0 AND trim(coalesce(page_content, ''), ' ') <> '' THEN page_content ELSE coalesce(section_heading, '') END AS l FROM {PAGES}),
+        b AS (SELECT *, {strip('l')} AS t, len(regexp_extract_all({strip('l')}, '[A-Za-z0-9]+')) AS w FROM a), c AS (SELECT *, length(t) < 180 OR w < 40 OR CASE WHEN length(t) = 0 THEN 0.0::DOUBLE ELSE {letters('t')}::DOUBLE / length(t) END < 0.12 AS thin FROM b),
+        e AS (SELECT *, CASE WHEN boxes >= 25 AND NOT thin THEN l || chr(10) || chr(10) || 'more' ELSE l END AS x FROM c), g AS (SELECT *, {strip('x')} AS y, len(regexp_extract_all({strip('x')}, '[A-Za-z0-9]+')) AS v FROM e),
+        h AS (SELECT *, boxes < 25 OR length(y) < 180 OR v < 40 OR CASE WHEN length(y) = 0 THEN 0.0::DOUBLE ELSE {letters('y')}::DOUBLE / length(y) END < 0.12 AS ocr FROM g) SELECT raw_id, length(x)::BIGINT AS n, ocr, NOT ocr AND length(y) >= 200 AS tables FROM h""",
+    "table_noise": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_quantity * l_linenumber * 5.0 < 500",
+    "thread_state": "SELECT user_id::VARCHAR AS thread, string_agg(event_type || '=' || event_id, ',' ORDER BY event_type) AS state FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY 1",
 }

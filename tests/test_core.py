@@ -391,3 +391,19 @@ def test_a_cluster_needs_a_shared_folder():
     fake = type("S", (), {"conf": Conf(), "sparkContext": type("C", (), {"master": "spark://x:7077"})})
     with pytest.raises(ValueError):
         session.shared_folder(fake)
+
+
+def test_pictures_of_a_document():
+    out = io.BytesIO()
+    w, a, r = ("http://schemas.openxmlformats.org/" + x for x in ("wordprocessingml/2006/main", "drawingml/2006/main", "officeDocument/2006/relationships"))
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:a="{a}" xmlns:r="{r}"><w:body><w:p/><w:p><a:blip r:embed="rId7"/><a:blip r:embed="rId8"/></w:p></w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="rId7" Target="media/one.png"/><Relationship Id="rId8" Target="media/gone.png"/></Relationships>')
+        z.writestr("word/media/one.png", b"png")
+    assert readers.docx_images(out.getvalue()) == [(1, "one.png", b"png")]
+
+
+def test_choices_are_stable_and_even(spark):
+    df = spark.range(4000).select(T.pick(F.col("id"), ["a", "b"], [3.0, 1.0]).alias("p"), T.between(F.col("id"), 5, 9).alias("n"))
+    counts = {r.p: r["count"] for r in df.groupBy("p").count().collect()}
+    assert 2800 < counts["a"] < 3200 and {r.n for r in df.select("n").distinct().collect()} == {5, 6, 7, 8, 9}
