@@ -79,7 +79,7 @@ def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = table(spark, sf_dir, "size_limits").filter("purpose = 'split'").select("max_tokens", "overlap_tokens").first()
+    limits = table(spark, sf_dir, "size_limits").filter("purpose = 'split'").orderBy("max_tokens", "limit_id").select("max_tokens", "overlap_tokens").first()
     return splitting.split(table(spark, sf_dir, "raw_docs"), "raw_id", "page_content", limits.max_tokens, limits.overlap_tokens or 0).withColumnRenamed("id", "raw_id")
 
 
@@ -131,4 +131,14 @@ QUERIES: dict[str, Query] = {
     for f in (p1_found, p1_classes, p2_found, p2_masked, p3_found, p4_found, p4_repaired, p5_found, p5_stats, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_restored)
 }
 
-ORACLES: dict[str, str] = {}
+#: white space as Python strips it, for RE2
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+ORACLES: dict[str, str] = {
+    # every pair that shares a sequence is counted: feasible on the 0.01 tables
+    "p1_found": """WITH w AS (SELECT raw_id, regexp_extract_all(lower(page_content), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT raw_id, page_content FROM raw_docs)),
+        s AS MATERIALIZED (SELECT DISTINCT raw_id, hash(unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 30),
+        n AS (SELECT raw_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.raw_id AS x, b.raw_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.raw_id < b.raw_id GROUP BY 1, 2)
+        SELECT x AS raw_id_a, y AS raw_id_b FROM p JOIN n m ON m.raw_id = x JOIN n o ON o.raw_id = y WHERE c * 10 >= 6 * (m.n + o.n - c)""",
+    "p6_found": f"SELECT DISTINCT raw_id FROM raw_docs WHERE length(regexp_replace(page_content, '^{_SPACE}+|{_SPACE}+$', '', 'g')) // 4 > (SELECT min(max_tokens) FROM size_limits WHERE purpose = 'split')",
+}
