@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import quality
+from .pairs import LANGUAGES, language
 from .vocabulary import frequent
 
 #: what recognition writes -> what stood there; fixed values
 CONFUSED = (
     ("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("m", "in"), ("n", "ri"), ("c", "e"), ("ä", "a"), ("0", "o"), ("!", "i"), ("†", "t"), ("5", "s"),
-    ("I", "l"), ("1", "l"), ("¢", "c"), ("|", "l"), ("b", "h"), ("9", "g"), ("$", "s"), ("1", "i"), ("li", "h"), ("6", "b"), ("8", "B"), ("£", "e"), ("€", "e"), ("@", "a"),
+    ("I", "l"), ("1", "l"), ("¢", "c"), ("|", "l"), ("b", "h"), ("9", "g"), ("$", "s"), ("1", "i"), ("li", "h"), ("6", "b"), ("8", "B"), ("£", "e"), ("€", "e"), ("@", "a"), ("d", "cl"), ("m", "rn"),
 )
-#: signs and digits that are no letters, so that a word with one inside is suspect by itself
+#: the languages that a word tells
+TELLING = {w: frozenset(k for k, ws in LANGUAGES.items() if w in ws) for ws in LANGUAGES.values() for w in ws}
 HYPHENS = "-‐\xad¬‑–"
 EDGE = ".,;:()[]{}\"'“”’‘?*–—…`"
 PLAIN = re.compile(r"[^\W\d_]+(?:[-'’‑][^\W\d_]+)*")
@@ -61,7 +63,8 @@ def form(token: str) -> str:
 
 def undone(token: str) -> list[str]:
     """The words that a token may stand for: one or two confusions undone, of the same or two kinds."""
-    once: dict[str, None] = {}
+    # a small l at the beginning may have been read as a capital I, which lower case hides
+    once: dict[str, None] = {"l" + token[1:]: None} if token[:1] in ("i", "I") else {}
     for wrong, right in CONFUSED:
         at = token.find(wrong)
         while at >= 0:
@@ -208,6 +211,12 @@ def title_like(line: str) -> bool:
     return len(line) <= TITLE_LENGTH and NOT_TITLE.search(line) is None and TITLE_START.match(line) is not None
 
 
+def at_home(token: str, line: str) -> bool:
+    """Whether a token is a telling word of a language, and the line, read without it, is of that language."""
+    langs = TELLING.get(token)
+    return langs is not None and language(re.sub(rf"(?<!\w){re.escape(token)}(?!\w)", " ", line, flags=re.I))[0] in langs
+
+
 def _lists(rows: list[list[tuple]], fields: tuple) -> pa.ListArray:
     offsets = [0]
     for r in rows:
@@ -265,7 +274,7 @@ def _pages(known: object, min_words: int):
                         if not unknown.keys().isdisjoint(words):
                             # the pieces of cut words are no tokens
                             words = words[broken : len(words) - (m is not None)]
-                            own_tokens += [(i, f) for f in dict.fromkeys(unknown[w] for w in words if w in unknown)]
+                            own_tokens += [(i, f) for f in dict.fromkeys(unknown[w] for w in words if w in unknown) if not at_home(f, line)]
                     broken = m is not None
                 edges.append(own_edges)
                 cuts.append(own_cuts)

@@ -290,7 +290,12 @@ def test_numbers_and_skeletons():
     assert scans.number_of("2021.") == (2021, False) and scans.number_of("iiii")[0] is None and scans.number_of("Report 3")[0] is None
     same = {scans.skeleton(x) for x in ("Bound Reports of the College", "Bouncl Reports of the College 12", "- 4 - Bound Rep0rts of the C0llege")}
     assert len(same) == 1
-    assert "office" in scans.undone("officc") and "department" in scans.undone("clepartment") and "month" in scans.undone("montb")
+    assert "office" in scans.undone("officc") and "department" in scans.undone("clepartment") and "month" in scans.undone("montb") and "list" in scans.undone("iist") and "circle" in scans.undone("cirde")
+
+
+def test_a_word_of_another_language_is_at_home_there():
+    assert scans.at_home("dass", "Für die Gebühr gilt, dass die Kasse zuständig ist") and not scans.at_home("dass", "inspect the dass schedule of the year")
+    assert not scans.at_home("derk", "der derk ist da")
 
 
 def test_numbers_of_any_length():
