@@ -92,6 +92,60 @@ def dense_topk(vectors: DataFrame, key: str, vector: str, questions: DataFrame,
     return top_ranked(scored, k)
 
 
+#: vectors that the cells of an index are fitted on, at most: those of the least hashes
+SAMPLE = 20_000
+
+
+def fit_cells(vectors: DataFrame, key: str, vector: str, cells: int, rounds: int = 8) -> np.ndarray:
+    """Centres of ``cells`` cells, unit vectors, fitted on ``SAMPLE`` vectors at most; the same for the same rows."""
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and v is not null")
+    x = np.array([r.v for r in rows.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).collect()], np.float64)
+    if not len(x):
+        return np.zeros((1, 1))
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    x = unit(x)
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        # an empty cell keeps its centre
+        centres = np.where(np.bincount(of, minlength=len(centres))[:, None] > 0, unit(sums), centres)
+    return centres
+
+
+def _cells_of(centres: np.ndarray, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            best = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+            at = np.repeat(np.arange(batch.num_rows), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(best.ravel()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["cell", "k", "v"])
+
+    return run
+
+
+def cell_topk(vectors: DataFrame, key: str, vector: str, questions: DataFrame, qkey: str, qvector: str, k: int = 10, cells: int = 64, probes: int = 16, block: int = 2000) -> DataFrame:
+    """qkey, key, score, rank like ``dense_topk``, looked for in the ``probes`` cells nearest to each question: an index, not exact.
+
+    Every vector is indexed; a cell is dealt out to blocks by its number of vectors, so a full one is no task's alone.
+    Scores within the cells are exact. With all cells probed the result is that of ``dense_topk``.
+    """
+    centres = fit_cells(vectors, key, vector, cells)
+
+    def placed(df: DataFrame, key: str, vector: str, n: int, names: tuple[str, str]) -> DataFrame:
+        rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and v is not null")
+        at = rows.mapInArrow(_cells_of(centres, n), "cell int, k long, v array<double>")
+        sizes = at.groupBy("cell").agg(F.count("*").alias("n"))
+        at = at.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / block)))
+        return at.groupBy("cell", "part").agg(F.collect_list(F.struct("k", "v")).alias("b")).select("cell", F.col("b.k").alias(names[0]), F.col("b.v").alias(names[1]))
+
+    met = placed(vectors, key, vector, 1, ("key", "x")).join(placed(questions, qkey, qvector, probes, ("q", "y")), "cell")
+    return top_ranked(met.select("key", "x", "q", "y").mapInArrow(_best(k), "qkey long, key long, score double"), k)
+
+
 def fuse(lists: dict[str, tuple[DataFrame, float]], c: int = 60) -> DataFrame:
     """qkey, key, score, rank: weighted reciprocal ranks of several ranked lists, summed up per document."""
     parts = [df.select("qkey", "key", (F.lit(w) / (F.col("rank") + c)).alias("part")) for df, w in lists.values()]

@@ -407,3 +407,18 @@ def test_choices_are_stable_and_even(spark):
     df = spark.range(4000).select(T.pick(F.col("id"), ["a", "b"], [3.0, 1.0]).alias("p"), T.between(F.col("id"), 5, 9).alias("n"))
     counts = {r.p: r["count"] for r in df.groupBy("p").count().collect()}
     assert 2800 < counts["a"] < 3200 and {r.n for r in df.select("n").distinct().collect()} == {5, 6, 7, 8, 9}
+
+
+def test_index_of_cells_against_all_vectors(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = r.normal(size=(30, 16))
+    x = base[r.integers(0, 30, 1500)] + 0.4 * r.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + [(9999, None)], "k long, v array<double>")
+    asked = df.filter("k % 50 = 0")
+    pairs = lambda d: {(p.qkey, p.key) for p in d.collect()}
+    exact = pairs(retrieval.dense_topk(df, "k", "v", asked, "k", "v", 10, 400))
+    assert len(pairs(retrieval.cell_topk(df, "k", "v", asked, "k", "v", 10, 32, 8, 100)) & exact) >= 0.9 * len(exact)
+    assert pairs(retrieval.cell_topk(df, "k", "v", asked, "k", "v", 10, 16, 16, 100)) == exact
+    assert retrieval.cell_topk(df.limit(0), "k", "v", asked.limit(0), "k", "v").count() == 0
