@@ -192,7 +192,7 @@ def _passage_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[0]]), pa.array(np.full(pairs.shape[1], i, np.int32)), pa.array(pairs[1])], names=["item_id", "mask", "hash"])
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def bit_places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64((1 << bits) - 1)
     return hashes & low, (hashes >> np.uint64(32)) & low
 
@@ -207,7 +207,7 @@ def _fold(bits: int, ready: bool):
                 for x in batch.column(0).to_pylist():
                     out |= np.frombuffer(x, np.uint8)
             else:
-                for places in _places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
+                for places in bit_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
                     np.bitwise_or.at(out, places >> np.uint64(3), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
 
@@ -232,7 +232,7 @@ def _corpus_seeds(table: object, need: int):
         known = np.unpackbits(sieve, bitorder="little").view(bool) if bits <= 25 else None
 
         def passes(h: np.ndarray) -> np.ndarray:
-            a, b = _places(h, bits)
+            a, b = bit_places(h, bits)
             if known is not None:
                 maybe = np.flatnonzero(known[a])
                 return maybe[known[b[maybe]]]

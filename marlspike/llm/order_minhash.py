@@ -10,8 +10,12 @@ pairs that it can't accept, reordered ones among them, are decided by the exact
 overlap of their distinct k-mers.
 
 Copies (the same words in the same order) are folded into one class before any
-pair is made, so a group of copies costs one representative. Buckets are joined
-by a sort-merge self join, whose hot buckets AQE splits; no bucket is capped.
+pair is made, so a group of copies costs one representative. Tuples are dealt out
+packed and meet in Python; a bucket that comes again under another tuple is taken
+once, a large one is taken apart into pairs of blocks, and none is capped. Pairs are
+made within buckets and leave them only if the sketches of both allow the similarity.
+Before texts move, bit tables of their k-mers bound what a pair can have in common;
+that bound is exact: no pair that reaches the threshold is lost by it.
 
 Defined cases: null or empty texts, and texts of fewer than ``min_words`` words,
 are in no pair and no class of two; repeated rows (the same id) count once;
@@ -23,16 +27,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .leakage import bit_places, bit_table
 from .words import code_batch, mix, shingles
 
-#: ids of candidates, 8 bytes each, up to which they are broadcast
+#: ids, 8 bytes each, up to which they are broadcast as they are; more of them as a bit table
 FEW = 500_000
+#: bytes of a key that are kept; the others would only tell chance meetings apart, which the sketches do as well
+KEY_BYTES = 5
+#: keys that meet in one place at a time, and the records of one block of a large bucket
+MEETING, BLOCK = 1 << 19, 512
 #: no text has 2 ** 32 words: strings end at 2 GB
 POSITION_BITS = np.uint64(32)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -66,13 +76,13 @@ FIRST_ONLY = 4
 
 
 def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key and the very least k-mer (16 bits of it) of each order, per text with at least one k-mer."""
+    """A key and the very least k-mer (8 bits of it) of each order, per text with at least one k-mer."""
     sizes = sizes[sizes > 0]
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     at = (np.arange(len(kmers)) - np.repeat(starts, sizes)).astype(np.uint64)
     mask = ~((np.uint64(1) << POSITION_BITS) - np.uint64(1))
     out = np.empty((len(sizes), len(orders)), np.uint64)
-    least = np.zeros((len(sizes), len(orders)), np.uint16)
+    least = np.zeros((len(sizes), len(orders)), np.uint8)
     picked = np.empty((len(sizes), samples), np.int64)
     for i, a in enumerate(orders):
         h = kmers * a
@@ -84,7 +94,7 @@ def sketch(kmers: np.ndarray, sizes: np.ndarray, orders: np.ndarray, samples: in
             pos = np.where(low == TOP, -1, (low & ~mask).astype(np.int64))
             picked[:, j] = np.where(pos >= 0, pos, picked[:, j - 1] if j else 0)
             h[starts + picked[:, j]] = TOP
-        least[:, i] = (kmers[starts + picked[:, 0]] & np.uint64(0xFFFF)).astype(np.uint16)
+        least[:, i] = (kmers[starts + picked[:, 0]] & np.uint64(0xFF)).astype(np.uint8)
         picked.sort(axis=1)
         key = np.full(len(sizes), a, np.uint64)
         for j in range(samples):
@@ -107,19 +117,19 @@ def _sketches(k: int, orders_n: int, samples: int, min_words: int):
                 kmers, doc, first = labelled(kept, kc, k)
                 sizes = np.bincount(doc, minlength=len(kc))
                 n_all = orders_n - orders_n // FIRST_ONLY
-                keys, least = np.empty((0, orders_n), np.uint64), np.empty((0, orders_n), np.uint16)
+                keys, least = np.empty((0, orders_n), np.uint64), np.empty((0, orders_n), np.uint8)
                 if len(kmers):
                     halves = sketch(kmers, sizes, orders[:n_all], samples), sketch(kmers[first], np.bincount(doc[first], minlength=len(kc)), orders[n_all:], samples)
                     keys, least = (np.ascontiguousarray(np.concatenate(x, axis=1)) for x in zip(*halves))
                 ids = np.asarray(part.column(0).to_pylist(), object)[ok]
                 same = [xxhash.xxh3_128_digest(codes[e - c : e].tobytes()) for e, c in zip(ends[ok], kc)]
-                flat = pa.array(keys.view(np.int64).ravel())
+                packed = keys.view(np.uint8).reshape(-1, orders_n, 8)[:, :, :KEY_BYTES]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array(same, pa.binary()),
                         pa.array([x.tobytes() for x in least], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * orders_n), flat),
+                        pa.array([x.tobytes() for x in packed], pa.binary()),
                     ],
                     names=["id", "same", "least", "keys"],
                 )
@@ -247,17 +257,154 @@ def _verify(k: int, threshold: float, measure: str):
     return run
 
 
+def _scattered(orders: int, parts: int):
+    """The keys of a batch of records, dealt out over so many parts: a row holds those of one part, and their ids byte by byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+            keys = _unpacked(raw)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), orders)
+            part = (keys % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, raw, ids = part[order], raw[order], ids[order]
+            cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+            ends = list(zip(cuts[:-1], cuts[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[cuts[:-1]], pa.int32()),
+                    pa.array([raw[a:b].tobytes() for a, b in ends], pa.binary()),
+                    # the upper bytes of ids are alike, so that they take no room
+                    pa.array([np.ascontiguousarray(ids[a:b].view(np.uint8).reshape(-1, 8).T).tobytes() for a, b in ends], pa.binary()),
+                ],
+                names=["part", "keys", "ids"],
+            )
+
+    return run
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :KEY_BYTES] = raw
+    return wide.view(np.uint64).ravel()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each key that two or more have, in order; of many the union of every two blocks of them."""
+    for batch in batches:
+        for met in batch.column(0):
+            met = met.as_py()
+            keys = _unpacked(np.frombuffer(b"".join(x["keys"] for x in met), np.uint8).reshape(-1, KEY_BYTES))
+            ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x["ids"], np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in met])
+            order = np.argsort(keys)
+            keys, ids = keys[order], ids[order]
+            same = keys[1:] == keys[:-1]
+            keep = np.r_[same, False] | np.r_[False, same]
+            keys, ids = keys[keep], ids[keep]
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            # repeated rows meet themselves
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])][: len(keys)]
+            keys, ids = keys[new], ids[new]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            sizes = np.diff(np.r_[starts, len(keys)])
+            few = (sizes > 1) & (sizes <= 2 * BLOCK)
+            if few.any():
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes[few])].astype(np.int32), ids[np.repeat(few, sizes)])], names=["reps"])
+            for lo, n in zip(starts[sizes > 2 * BLOCK], sizes[sizes > 2 * BLOCK]):
+                blocks = [ids[lo + i : min(lo + i + BLOCK, lo + n)] for i in range(0, n, BLOCK)]
+                for i, a in enumerate(blocks):
+                    unions = [np.concatenate([a, b]) for b in blocks[i + 1 :]]
+                    if unions:
+                        ends = np.r_[0, np.cumsum([len(x) for x in unions])].astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate(unions))], names=["reps"])
+
+
 def _agreeing(needed: int, needed_first: int, orders: int):
-    """The pairs whose least k-mers agree often enough, in the orders of all k-mers or in those of first occurrences."""
+    """The pairs of each bucket whose least k-mers agree often enough, in the orders of all k-mers or in those of first occurrences."""
     n_all = orders - orders // FIRST_ONLY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, orders) for i in (2, 3))
-                same = a == b
-                batch = batch.filter(pa.array((same[:, :n_all].sum(axis=1) >= needed) | (same[:, n_all:].sum(axis=1) >= needed_first)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id_a", "id_b"])
+            for lo in range(0, batch.num_rows, 4096):
+                lists = batch.column(0).slice(lo, 4096)
+                members = lists.flatten()
+                if not len(members):
+                    continue
+                ids = members.field(0).to_numpy(zero_copy_only=False)
+                least = np.frombuffer(b"".join(members.field(1).to_pylist()), np.uint8).reshape(-1, orders)
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+                for n in np.unique(sizes[sizes > 1]):
+                    i, j = np.triu_indices(n, 1)
+                    own = starts[sizes == n]
+                    step = max(1, (1 << 17) // len(i))
+                    for at in range(0, len(own), step):
+                        for cut_ in range(0, len(i), 1 << 17):
+                            x = (own[at : at + step, None] + i[cut_ : cut_ + (1 << 17)]).ravel()
+                            y = (own[at : at + step, None] + j[cut_ : cut_ + (1 << 17)]).ravel()
+                            same = least[x] == least[y]
+                            ok = (np.count_nonzero(same[:, :n_all], axis=1) >= needed) | (np.count_nonzero(same[:, n_all:], axis=1) >= needed_first)
+                            found.append(np.sort(np.stack([ids[x[ok]], ids[y[ok]]]), axis=0))
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["id_a", "id_b"])
+
+    return run
+
+
+def bits_of(kmers: np.ndarray) -> bytes:
+    """A table of 8 to 16 bits to each k-mer."""
+    size = 1 << max(8, (8 * len(kmers) - 1).bit_length())
+    flags = np.zeros(size, bool)
+    flags[kmers & np.uint64(size - 1)] = True
+    return np.packbits(flags).tobytes()
+
+
+def _bits(k: int):
+    """The number of distinct k-mers of each text, and their bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, tables = [], []
+            for lo in range(0, batch.num_rows, 128):
+                for w in words_of(batch.column(1).slice(lo, 128).to_pylist())[0]:
+                    kmers = np.unique(shingles(w, k))
+                    sizes.append(len(kmers))
+                    tables.append(bits_of(kmers))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(tables, pa.binary())], names=["id", "n", "bits"])
+
+    return run
+
+
+def most_common(n_a: int, a: bytes, n_b: int, b: bytes) -> int:
+    """As many k-mers as two texts can have in common at most, by their numbers and bit tables: an upper bound.
+
+    Common k-mers are common bits, but for those that share a bit with another, which are as many as the fuller text's at most.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    count = lambda z: int(np.bitwise_count(z).sum())
+    return min(n_a, n_b, count(x & y) + min(n_a - count(x), n_b - count(y)))
+
+
+def _possible(threshold: float):
+    """The pairs that can have as many k-mers in common as ``threshold`` demands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 4))
+            needed = threshold / (1 + threshold) * (na + nb) - 1e-6
+            ok = np.minimum(na, nb) >= needed
+            for i in np.flatnonzero(ok):
+                ok[i] = most_common(na[i], batch.column(3)[i].as_py(), nb[i], batch.column(5)[i].as_py()) >= needed[i]
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["id_a", "id_b"])
 
     return run
 
@@ -297,16 +444,44 @@ class NearDuplicates:
         return own.unionByName(x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
 
 
-def _candidates(reps: DataFrame, orders: int, needed: tuple[int, int] | None) -> DataFrame:
+def _sent(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with those ids, and perhaps few others: the ids are sent to the scan, many of them as a bit table, so that no other text moves."""
+    if ids.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(ids), "id", "left_semi")
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("id").alias("hash"))))
+
+    def there(hashes: pd.Series) -> pd.Series:
+        bits, sieve = table.value
+        a, b = (sieve[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) for x in bit_places(hashes.to_numpy().view(np.uint64), bits))
+        return pd.Series((a & b & 1).astype(bool))
+
+    return rows.filter(F.pandas_udf(there, "boolean")(F.xxhash64("id")))
+
+
+def _both(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs with the columns of ``own`` (by id) of either record; its size is that of the corpus, so it is never broadcast."""
+    for end in "ab":
+        pairs = pairs.join(own.withColumnsRenamed({c: f"{c}_{end}" for c in own.columns}).hint("merge"), f"id_{end}")
+    return pairs
+
+
+def _candidates(sk: DataFrame, members: DataFrame, sketches: int, needed: tuple[int, int]) -> DataFrame:
     """The pairs of representatives with a key in common, of least k-mers that allow the similarity."""
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b")).distinct()
-    if needed:
-        small = reps.select("rep", "least").dropDuplicates(["rep"])
-        both = pairs.join(small.withColumnsRenamed({"rep": "id_a", "least": "la"}), "id_a").join(small.withColumnsRenamed({"rep": "id_b", "least": "lb"}), "id_b")
-        pairs = both.select("id_a", "id_b", "la", "lb").mapInArrow(_agreeing(*needed, orders), "id_a long, id_b long")
-    return cut(pairs)
+    reps = members.filter("id = rep").select("id")
+    copies = members.filter("id <> rep").select("id")
+    # keys of copies are left out; a copy that passes the bit table goes at the join with the representatives
+    if copies.limit(FEW + 1).count() <= FEW:
+        first = sk.join(F.broadcast(copies), "id", "left_anti")
+    else:
+        first = _sent(sk, reps)
+    parts = reps.count() * sketches // MEETING + 1
+    dealt = first.select("id", "keys").mapInArrow(_scattered(sketches, parts), "part int, keys binary, ids binary")
+    met = dealt.groupBy("part").agg(F.collect_list(F.struct("keys", "ids")).alias("met")).select("met")
+    buckets = met.mapInArrow(_met, "reps array<long>").distinct()
+    placed = buckets.select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("id"))
+    least = sk.groupBy("id").agg(F.first("least").alias("least")).join(reps, "id", "left_semi")
+    lists = placed.join(least.hint("merge"), "id").groupBy("bucket").agg(F.collect_list(F.struct("id", "least")).alias("members"))
+    return cut(lists.select("members").mapInArrow(_agreeing(*needed, sketches), "id_a long, id_b long").filter("id_a < id_b").distinct())
 
 
 def near_duplicates(
@@ -327,27 +502,25 @@ def near_duplicates(
     "jaccard" links by the shared part of the distinct k-mers, which the alignment
     proves where it can. ``id_col`` is a bigint. Sketches take k-mers of ``sketch_k``
     words (``k`` if not given). With "jaccard" the least k-mers of the sketches, a few
-    bytes a record, settle most candidates before any text is moved.
+    bytes a record, settle most candidates before any text is moved, and bit tables of
+    their k-mers most others.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     by_sets = measure == "jaccard"
     ks = sketch_k or k
     run = _sketches(ks, sketches, samples, max(min_words or k, k))
-    sk = cut(rows.mapInArrow(run, "id long, same binary, least binary, keys array<long>"))
+    sk = cut(rows.mapInArrow(run, "id long, same binary, least binary, keys binary"))
     ids = sk.groupBy("id").agg(F.min("same").alias("same"))
     members = cut(ids.join(ids.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep"))
-    # the sketches of copies are left out; of a checked number their ids go to the sketches, so that these don't move
-    copies = members.filter("id <> rep").select("id")
-    few = copies.limit(FEW + 1).count() <= FEW
-    first = sk.join(F.broadcast(copies) if few else copies, "id", "left_anti").select(F.col("id").alias("rep"), "least", "keys")
     n_first = sketches // FIRST_ONLY
     # the few orders of first occurrences are asked only where a text repeats itself
-    needed = (agreement(threshold, k, ks, sketches - n_first), agreement(threshold, k, ks, n_first, 1.5)) if by_sets else None
-    pairs = _candidates(first, sketches, needed)
-    need = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    # ids of a checked number are sent to the scan, so that only their texts move; more of them are joined
-    few = need.limit(FEW + 1).count() <= FEW
-    texts = rows.join(F.broadcast(need) if few else need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    wide = pairs.join(texts.withColumnsRenamed({"id": "id_a", "text": "ta"}), "id_a").join(texts.withColumnsRenamed({"id": "id_b", "text": "tb"}), "id_b")
-    done = wide.select("id_a", "id_b", "ta", "tb").mapInArrow(_verify(k, threshold, measure), "id_a long, id_b long, edits long, jaccard double")
+    needed = (agreement(threshold, k, ks, sketches - n_first), agreement(threshold, k, ks, n_first, 1.5)) if by_sets else (0, 0)
+    pairs = _candidates(sk, members, sketches, needed)
+    ends = lambda p: p.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    if by_sets:
+        tables = _sent(rows, ends(pairs)).mapInArrow(_bits(k), "id long, n int, bits binary").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        wide = _both(pairs, tables).select("id_a", "id_b", "n_a", "bits_a", "n_b", "bits_b")
+        pairs = cut(wide.mapInArrow(_possible(threshold), "id_a long, id_b long"))
+    texts = _sent(rows, ends(pairs)).groupBy("id").agg(F.first("text").alias("text"))
+    done = _both(pairs, texts).select("id_a", "id_b", "text_a", "text_b").mapInArrow(_verify(k, threshold, measure), "id_a long, id_b long, edits long, jaccard double")
     return NearDuplicates(members, done.withColumnsRenamed({"id_a": "rep_a", "id_b": "rep_b"}))

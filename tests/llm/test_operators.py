@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,62 @@ def test_alignment_proves_what_it_accepts():
         assert d > most or both / (len(a) + len(b) - both) >= 0.6
 
 
+def test_large_buckets_are_taken_apart_whole(monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 4)
+    r = random.Random(18)
+    width = order_minhash.KEY_BYTES
+    ids = [*range(10, 40), 17]
+    keys = {i: [b"\1" * width, r.randbytes(width)] for i in ids} | {5: [r.randbytes(width)] * 2, -3: [b"\2" * width, b"\3" * width], 1 << 40: [b"\4" * width, b"\2" * width]}
+    rows = [(i, b"".join(keys[i])) for i in [*ids, 5, -3, 1 << 40]]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows[a:b]], pa.int64()), "keys": [k for _, k in rows[a:b]]}) for a, b in ((0, 9), (9, len(rows)))]
+    dealt = [x for b in order_minhash._scattered(2, 3)(iter(batches)) for x in b.to_pylist()]
+    met = [[{"keys": x["keys"], "ids": x["ids"]} for x in dealt if x["part"] == p] for p in range(3)]
+    one = pa.RecordBatch.from_pydict({"met": pa.array([m for m in met if m])})
+    buckets = [x for b in order_minhash._met(iter([one])) for x in b.column(0).to_pylist()]
+    found = {(x, y) for b in buckets for x in b for y in b if x < y}
+    assert found == {(x, y) for x in range(10, 40) for y in range(x + 1, 40)} | {(-3, 1 << 40)}
+    assert max(map(len, buckets)) <= 8
+
+
+def test_bit_tables_bound_what_is_common():
+    r = random.Random(19)
+    settled = 0
+    for _ in range(300):
+        base = [r.randrange(1 << 30) for _ in range(r.randint(30, 900))]
+        other = base[: r.randint(0, len(base))] + [r.randrange(1 << 30) for _ in range(r.randint(30, 400))]
+        (n_a, a), (n_b, b) = ((len(k), t) for k, t in (_table(x) for x in (base, other)))
+        x, y = (set(words.shingles(np.array(z, np.uint64), 3).tolist()) for z in (base, other))
+        bound = order_minhash.most_common(n_a, a, n_b, b)
+        assert bound >= len(x & y)
+        settled += bound < 0.375 * (n_a + n_b) and len(x & y) < 0.3 * (n_a + n_b)
+    assert settled > 100
+
+
+def _table(codes):
+    kmers = np.unique(words.shingles(np.array(codes, np.uint64), 3))
+    return kmers, order_minhash.bits_of(kmers)
+
+
+def test_a_common_passage_moves_no_pairs(spark):
+    r = random.Random(20)
+    passage = " ".join(prose(r, 1).split()[:9])
+    rows = [(i, " ".join([passage, *(f"w{r.randrange(10**6)}" for _ in range(40))])) for i in range(400)]
+    rows += [(1000, rows[0][1] + " more of it")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = {x.stageId() for x in _stages(store)}
+    got = order_minhash.near_duplicates(df, "i", "t", k=3, threshold=0.6, measure="jaccard", min_words=30, sketches=64, samples=3, sketch_k=4)
+    assert {(x.rep_a, x.rep_b) for x in got.links.collect()} == {(0, 1000)}
+    written = [x.shuffleWriteRecords() for x in _stages(store) if x.stageId() not in before]
+    # the tuples of the passage are in hundreds of records each, and so in tens of thousands of pairs
+    assert max(written) < 5_000
+
+
+def _stages(store):
+    found = store.stageList(None, False, False, *(getattr(store, f"stageList$default${i}")() for i in (4, 5)))
+    return [found.apply(i) for i in range(found.size())]
+
+
 # ---- 2
 
 
