@@ -155,37 +155,68 @@ def edit_distance_banded(a: list[np.ndarray], b: list[np.ndarray], band: int) ->
         tb.append(y[: len(y) - s])
     la, lb = np.array([len(x) for x in ta]), np.array([len(x) for x in tb])
     out = np.full(len(a), band + 1, np.int64)
-    live = np.flatnonzero(np.abs(la - lb) <= band)
-    live = live[np.argsort(la[live], kind="stable")]
+    for i in np.flatnonzero(np.abs(la - lb) <= band):
+        out[i] = _edits(ta[i].tolist(), tb[i].tolist(), band)
+    return out
+
+
+def _edits(a: list[int], b: list[int], band: int) -> int:
+    """The edits between two sequences, or band + 1: differences of neighbouring cells as bits of one number (Hyyro 2003).
+
+    A bit is a row of the table; where the band is narrower than the table, the bits move along with it.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+    if not m:
+        return min(n, band + 1)
+    rows: dict[int, int] = {}
+    for i, c in enumerate(a):
+        rows[c] = rows.get(c, 0) | 1 << i
     width = 2 * band + 1
-    # wide bands are taken few at a time
-    step = max(1, min(256, (1 << 22) // width))
-    for lo in range(0, len(live), step):
-        idx = live[lo : lo + step]
-        n = int(la[idx].max(initial=0))
-        x = np.zeros((len(idx), n + 1), np.uint64)
-        y = np.full((len(idx), n + 1 + 2 * width), 1, np.uint64)
-        for r, i in enumerate(idx):
-            x[r, : la[i]] = ta[i]
-            y[r, band : band + lb[i]] = tb[i][: n + 1 + width]
-        off = np.arange(width) - band
-        big = np.int32(1 << 20)
-        row = np.where(off < 0, big, off).astype(np.int32)[None, :].repeat(len(idx), 0)
-        slope = np.arange(width, dtype=np.int32)
-        ends = lb[idx] - la[idx] + band
-        done = la[idx] == 0
-        out[idx[done]] = row[done, ends[done]]
-        for i in range(1, n + 1):
-            sub = row + (x[:, i - 1 : i] != y[:, i - 1 : i - 1 + width])
-            dele = np.full_like(row, big)
-            dele[:, :-1] = row[:, 1:] + 1
-            row = np.minimum(sub, dele)
-            row[:, off + i < 0] = big
-            row = np.minimum.accumulate(row - slope, axis=1) + slope
-            done = la[idx] == i
-            if done.any():
-                out[idx[done]] = row[done, ends[done]]
-    return np.minimum(out, band + 1)
+    vn = 0
+    if m <= width:
+        every = vp = (1 << m) - 1
+        last, d = 1 << (m - 1), m
+        for left, c in zip(range(n - 1, -1, -1), b):
+            x = rows.get(c, 0)
+            d0 = ((((x & vp) + vp) ^ vp) | x | vn) & every
+            hp, hn = vn | (every ^ (d0 | vp)), d0 & vp
+            if hp & last:
+                d += 1
+                if d - left > band:
+                    return band + 1
+            elif hn & last:
+                d -= 1
+            hp = (hp << 1 | 1) & every
+            vp, vn = (hn << 1 | (every ^ (d0 | hp))) & every, hp & d0
+        return min(d, band + 1)
+    every = (1 << width) - 1
+    vp = every & (every << band)
+    bottom, d, most = 1 << (width - 1), band, 2 * band + n - m
+    # along the lowest diagonal of the band to the last row, which may take off what is left of it
+    for at in range(m - band):
+        x = rows.get(b[at], 0)
+        x = (x << (band - at) if at < band else x >> (at - band)) & every
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & every
+        hp, hn = vn | (every ^ (d0 | vp)), d0 & vp
+        if not d0 & bottom:
+            d += 1
+            if d > most:
+                return band + 1
+        half = d0 >> 1
+        vp, vn = hn | (every ^ (half | hp)), half & hp
+    row = bottom >> 1
+    for at in range(m - band, n):
+        x = rows.get(b[at], 0)
+        x = (x << (band - at) if at < band else x >> (at - band)) & every
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & every
+        hp, hn = vn | (every ^ (d0 | vp)), d0 & vp
+        d += bool(hp & row) - bool(hn & row)
+        row >>= 1
+        half = d0 >> 1
+        vp, vn = hn | (every ^ (half | hp)), half & hp
+    return min(d, band + 1)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:

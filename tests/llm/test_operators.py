@@ -91,6 +91,20 @@ def test_banded_distance_against_the_full_table():
     assert got.tolist() == [min(9, full(x.tolist(), y.tolist())) for x, y in zip(a, b)]
 
 
+def test_distance_of_long_texts_takes_no_rows_of_arrays(monkeypatch):
+    r = random.Random(21)
+    x = [r.randrange(1 << 40) for _ in range(3000)]
+    y = list(x)
+    for i in r.sample(range(3000), 90):
+        y[i] = 7
+    y[1500:1500] = [8] * 60
+    moved = x[1500:] + x[:1500]
+    calls = []
+    monkeypatch.setattr(order_minhash.np, "full_like", lambda *a: calls.append(1) or np.zeros_like(a[0]) + a[1])
+    got = order_minhash.edit_distance_banded([np.array(x, np.uint64)] * 3, [np.array(z, np.uint64) for z in (y, moved, x)], 256)
+    assert got.tolist() == [150, 257, 0] and not calls
+
+
 def test_edit_measure_needs_order(spark):
     r = random.Random(4)
     base = [sentence(r) for _ in range(20)]
