@@ -500,6 +500,28 @@ def test_counts_are_the_same_at_every_chunk_size():
     assert quality.Summary.of(texts[0]).total()[quality.AT["words"]] == 1
 
 
+def test_long_lines_are_judged_as_short_ones(monkeypatch):
+    r = random.Random(22)
+    many = lambda n, *bits: "".join(r.choice(bits) for _ in range(n))
+    lines = [
+        "- " + " ".join(r.choice(NOUNS) for _ in range(2000)), "Fees 2024, room 12, " * 900, "4f20 " * 3000, "pen  cup  " * 1500, "contents " * 1100 + ". . . . . 12",
+        " " * 9000 + "total: 12", "1 " + " " * 9000 + "2", "Q9x" * 6000, "12,500." * 2000, "krtz vbn " * 1200, "a) " + "word. " * 2000, "Yes" + ")" * 9000 + ". no", "UPPER CASE " * 1000,
+    ]
+    bits = [*NOUNS, "GE 101", "|", "12.50", "- item", "q", "7f 3a", "Name:", "a, b,", "....", "Xq9Zt7Bw", "end.)", "krtz", "é", " ", "  ", "\t", ", ", "\xa0", ". ."]
+    lines += [" " * r.randrange(9) + many(9000, *r.sample(bits, r.randint(2, 6)), " ", " ") for _ in range(60)]
+    got = [[quality.line_counts(x)] for x in lines]
+    for x, found in zip(lines, got):
+        assert len(x) > quality.LONG
+        for size in (777, 5000):
+            parts = [quality.Words.of(x[i : i + size]) for i in range(0, len(x), size)]
+            while len(parts) > 1:
+                parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            found.append(parts[0].line())
+    monkeypatch.setattr(quality, "LONG", 1 << 30)
+    for x, found in zip(lines, got):
+        assert found == [quality.line_counts(x)] * 3, x[:40]
+
+
 def test_both_ways_to_a_kind_agree():
     r = random.Random(17)
     bits = ["The clinic keeps", "GE 101", "|", "12.50", "- item", "q", "7f 3a", "Name:", "a, b, c, d", "MWF", "......... 7", "Xq9Zt7Bw", "pending.", "krtz"]
